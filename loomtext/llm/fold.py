@@ -13,12 +13,19 @@ Nothing here changes letter case, digit shapes, added marks or words: those diff
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from functools import lru_cache
 
 import ahocorasick
+import pandas as pd
 import regex
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..shared import durable, ship
 
 #: Letters of one shape in two alphabets (Cyrillic, Greek and others, then the Latin letter).
 LOOKALIKES = (
@@ -39,23 +46,31 @@ INVISIBLE = frozenset(
 #: Tags of compatibility decompositions that keep the look of a character.
 SAME_LOOK_TAGS = frozenset(("<wide>", "<narrow>", "<isolated>", "<initial>", "<medial>", "<final>", "<noBreak>"))
 
-ZWNJ, ZWJ = "‌", "‍"
-_MARKS = r"\p{Mn}*"
-#: Arabic letters that join to the next letter, and those that join to the one before.
-_RIGHT_ONLY = "اآأإٱٲٳٵدذرزژڈڑوؤۆۇۈۉۋةىٶٷۀەۃ"
-_DUAL = rf"[\p{{Script=Arabic}}&&\p{{L}}&&[^ءٴ{_RIGHT_ONLY}]]|ى|ـ"
-_JOINS_BACK = r"[\p{Script=Arabic}&&\p{L}&&[^ء]]|ـ"
-_USELESS_ZWNJ = regex.compile(rf"(?<!(?:{_DUAL}){_MARKS}){ZWNJ}+|{ZWNJ}+(?!{_JOINS_BACK})", regex.V1)
-_USELESS_ZWJ = regex.compile(rf"(?<=\p{{Script=Arabic}}{_MARKS}){ZWJ}+(?={_JOINS_BACK})|(?<![\p{{Script=Arabic}}\p{{Extended_Pictographic}}\p{{Mn}}\p{{EMod}}]){ZWJ}+", regex.V1)
-_MANY_ZWNJ = regex.compile(f"{ZWNJ}{{2,}}")
-_NOT_LAST = rf"(?={_MARKS}(?:{_JOINS_BACK}))"
-_YEH_INSIDE = regex.compile(rf"ی{_NOT_LAST}", regex.V1)
-_YEH_AT_END = regex.compile(rf"ى(?!{_MARKS}(?:{_JOINS_BACK}))", regex.V1)
-_KAF_INSIDE = regex.compile(rf"ك{_NOT_LAST}", regex.V1)
-_ANY_SPACE = regex.compile(r"[^\S\n\r]", regex.V1)
+ZWNJ, ZWJ = "\u200c", "\u200d"
+#: Letters of the Arabic script, its marks, and the letters that never join to the next one.
+_LETTERS = "\u0620-\u064a\u066e\u066f\u0671-\u06d3\u06d5\u06ee\u06ef\u06fa-\u06fc\u06ff\u0750-\u077f\u08a0-\u08c9"
+_MARKS = "[\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06dc\u06df-\u06e4\u06e7\u06e8\u06ea-\u06ed\u08ca-\u08e1\u08e3-\u08ff]*"
+_NEVER_ON = "\u0621-\u0625\u0627\u0629\u062f-\u0632\u0648\u0671-\u0673\u0675-\u0677\u0688-\u0699\u06c0\u06c3-\u06cb\u06cd\u06cf\u06d2\u06d3\u06d5\u06ee\u06ef"
+_BEFORE_LETTER = f"(?={_MARKS}[{_LETTERS}])"
+_ZWNJ_BETWEEN = re.compile(f"([{_LETTERS}])({_MARKS}){ZWNJ}+(?=({_MARKS}[{_LETTERS}])?)")
+_ZWNJ_ELSEWHERE = re.compile(f"(?<![{_LETTERS}\u0610-\u061a\u064b-\u065f\u0670]){ZWNJ}+")
+_ENDS_JOINING = re.compile(f"[{_NEVER_ON}]")
+_ZWJ = re.compile(f"(?<=[{_LETTERS}]){ZWJ}+{_BEFORE_LETTER}|(?<=[A-Za-z ]){ZWJ}+|{ZWJ}+(?=[A-Za-z ])")
+#: Before a letter the Persian and the Arabic yeh and kaf have one shape; at the end of a word or before a non-joiner the
+#: Persian yeh has the shape of alef maksura, and the two kafs differ.
+_YEH_INSIDE = re.compile(f"[\u06cc\u064a]{_BEFORE_LETTER}")
+_YEH_AT_END = re.compile(f"[\u06cc\u0649](?!{_MARKS}[{_LETTERS}])")
+_KAF_INSIDE = re.compile(f"[\u06a9\u0643]{_BEFORE_LETTER}")
+_ANY_SPACE = re.compile(r"[^\S \n\r]")
 _VISIBLE = regex.compile(r"[\p{L}\p{N}]")
 
 
+def _keep_separating(m: re.Match) -> str:
+    """A non-joiner stays, once, where the letter before it would join to a letter after it."""
+    separates = m.group(3) is not None and not _ENDS_JOINING.match(m.group(1))
+    return m.group(1) + m.group(2) + (ZWNJ if separates else "")
+
+
 class UnionFind:
     """Disjoint sets of strings, with path halving and union by size."""
 
@@ -116,7 +131,7 @@ def lookalike_classes() -> tuple[tuple[str, ...], ...]:
 
 def countable() -> frozenset[str]:
     """Single code points whose corpus frequency chooses between the members of a class."""
-    return frozenset(x for c in lookalike_classes() for x in c if len(x) == 1)
+    return frozenset(x for c in lookalike_classes() for x in c if len(x) == 1) | set("\u06cc\u064a\u0649\u06a9\u0643")
 
 
 def rewrite_table(frequency: Mapping[str, int] | None = None) -> dict[str, str]:
@@ -147,38 +162,47 @@ def rewrite_table(frequency: Mapping[str, int] | None = None) -> dict[str, str]:
 
 
 class Folder:
-    """The rewriting automaton for one choice of representatives; safe to build once in each Python worker."""
+    """The rewriting automaton for one choice of representatives; built once in each Python worker."""
 
-    def __init__(self, table: Mapping[str, str]) -> None:
-        self.table = dict(table)
+    def __init__(self, frequency: Mapping[str, int] | None = None) -> None:
+        frequency = frequency or {}
+        table = rewrite_table(frequency)
         self.automaton = ahocorasick.Automaton()
-        for k, v in self.table.items():
+        for k, v in table.items():
             self.automaton.add_word(k, (len(k), v))
         self.automaton.make_automaton()
         self.dropped = dict.fromkeys(map(ord, INVISIBLE))
-        self.odd = regex.compile("[" + "".join(map(regex.escape, {k[0] for k in self.table} | INVISIBLE | {ZWNJ, ZWJ})) + r"یىك]|[^\S \n\r]|\p{Mn}", regex.V1)
+        self.hidden = re.compile("[" + "".join(map(re.escape, sorted(INVISIBLE))) + "]")
+        self.begins = re.compile("[" + "".join(map(re.escape, sorted({k[0] for k in table if len(k) == 1}))) + "]")
+        self.marks = regex.compile(r"\p{Mn}")
+        often = lambda a, b: a if frequency.get(a, 0) >= frequency.get(b, 0) else b
+        self.yeh_inside, self.yeh_at_end, self.kaf_inside = often("\u06cc", "\u064a"), often("\u06cc", "\u0649"), often("\u06a9", "\u0643")
 
     def __call__(self, text: str) -> str:
         """The consistent form; idempotent; '' for ''."""
-        if not self.odd.search(text):
+        if text.isascii():
             return text
-        text = unicodedata.normalize("NFC", text.translate(self.dropped))
-        out, at = [], 0
-        for end, (n, to) in self.automaton.iter_long(text):
-            start = end - n + 1
-            out.append(text[at:start])
-            out.append(to)
-            at = end + 1
-        out.append(text[at:])
-        text = unicodedata.normalize("NFC", "".join(out))
+        if self.hidden.search(text):
+            text = text.translate(self.dropped)
+        marked = self.marks.search(text) is not None
+        if marked:
+            text = unicodedata.normalize("NFC", text)
+        if marked or self.begins.search(text):
+            out, at = [], 0
+            for end, (n, to) in self.automaton.iter_long(text):
+                out.append(text[at : end - n + 1])
+                out.append(to)
+                at = end + 1
+            out.append(text[at:])
+            text = unicodedata.normalize("NFC", "".join(out))
         text = _ANY_SPACE.sub(" ", text)
         if ZWNJ in text:
-            text = _MANY_ZWNJ.sub(ZWNJ, _USELESS_ZWNJ.sub("", text))
+            text = _ZWNJ_ELSEWHERE.sub("", _ZWNJ_BETWEEN.sub(_keep_separating, text))
         if ZWJ in text:
-            text = _USELESS_ZWJ.sub("", text)
-        text = _YEH_INSIDE.sub("ي", text)
-        text = _YEH_AT_END.sub("ی", text)
-        return _KAF_INSIDE.sub("ک", text)
+            text = _ZWJ.sub("", text)
+        text = _YEH_INSIDE.sub(self.yeh_inside, text)
+        text = _YEH_AT_END.sub(self.yeh_at_end, text)
+        return _KAF_INSIDE.sub(self.kaf_inside, text)
 
 
 def has_content(text: str) -> bool:
@@ -192,3 +216,67 @@ def count_code_points(texts: Iterable[str | None], wanted: frozenset[str]) -> di
     joined = "".join(t for t in texts if t)
     codes, n = np.unique(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_counts=True)
     return {chr(c): int(k) for c, k in zip(codes.tolist(), n.tolist()) if chr(c) in wanted}
+
+
+def frequencies(texts: DataFrame, text: str) -> dict[str, int]:
+    """How often the corpus uses each code point of the classes.  All texts are counted, first within partitions; what
+    reaches the driver is at most a row for each code point of the table (a few thousand, whatever the corpus)."""
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted, total = countable(), {}
+        for b in batches:
+            for c, n in count_code_points(b["t"], wanted).items():
+                total[c] = total.get(c, 0) + n
+        yield pd.DataFrame(list(total.items()), columns=["c", "n"])
+
+    rows = texts.select(F.col(text).alias("t")).where("t is not null").mapInPandas(run, "c string, n long").groupBy("c").agg(F.sum("n").alias("n"))
+    return {r["c"]: r["n"] for r in rows.collect()}
+
+
+def digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
+def consistent_forms(texts: DataFrame, key: str, text: str, frequency: Mapping[str, int] | None = None) -> DataFrame:
+    """(key, form): every text in the one consistent form; null stays null, '' stays ''; a row for each row."""
+    ship(texts.sparkSession)
+    frequency = frequencies(texts, text) if frequency is None else dict(frequency)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold = Folder(frequency)
+        for b in batches:
+            yield pd.DataFrame({"k": b["k"], "form": [None if t is None else fold(t) for t in b["t"]]})
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, form string").withColumnRenamed("k", key)
+
+
+def lookalike_pairs(texts: DataFrame, scope: str, key: str, text: str, frequency: Mapping[str, int] | None = None) -> DataFrame:
+    """(scope, key_a, key_b), key_a < key_b: keys of one scope whose texts differ as stored and have one consistent form.
+
+    Null texts, and texts without a letter or digit: no pairs.  Equal texts: no pair.  Repeated rows of a key: once.
+    An empty table: no rows.  Extra columns are not read.  Only 128-bit digests of texts are shuffled, never texts;
+    pairs are formed between *different texts* first and only then carried over to the keys that share them, so a text
+    with many copies costs no more than the rows it must give.
+    """
+    ship(texts.sparkSession)
+    frequency = frequencies(texts, text) if frequency is None else dict(frequency)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold = Folder(frequency)
+        for b in batches:
+            rows = [(s, k, digest(f), digest(t)) for s, k, t in zip(b["s"], b["k"], b["t"]) if has_content(f := fold(t))]
+            yield pd.DataFrame(rows, columns=["s", "k", "form", "raw"])
+
+    kinds = [texts.schema[c].dataType.simpleString() for c in (scope, key)]
+    seen = texts.select(F.col(scope).alias("s"), F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null")
+    seen = seen.mapInPandas(run, f"s {kinds[0]}, k {kinds[1]}, form binary, raw binary").distinct()
+    kept = durable(seen)  # read four times below
+    several = kept.groupBy("s", "form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo < hi").select("s", "form")
+    members = kept.join(several, ["s", "form"], "left_semi")
+    raws = members.select("s", "form", "raw").distinct()
+    pairs = raws.withColumnRenamed("raw", "ra").join(raws.withColumnRenamed("raw", "rb"), ["s", "form"]).where("ra < rb")
+    sided = pairs.join(members.select("s", "form", F.col("raw").alias("ra"), F.col("k").alias("ka")), ["s", "form", "ra"])
+    sided = sided.join(members.select("s", "form", F.col("raw").alias("rb"), F.col("k").alias("kb")), ["s", "form", "rb"]).where("ka <> kb")
+    return sided.select(F.col("s").alias(scope), F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()

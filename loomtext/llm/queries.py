@@ -3,10 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..shared import table
+from ..shared import table, unit_texts
 from .bpe import decode_column, encode_column
+from .cutoff import truncated, truncation_by_source
+from .fold import consistent_forms, frequencies, lookalike_pairs
 from .leak import find_leaks, remove_leaks
+from .pairs import defective_pairs
+
+
+def _lookalike_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs are one scope; the units of each document are another."""
+    jobs = table(spark, sf_dir, "jobs").select(F.lit("job").alias("item_kind"), F.lit("").alias("scope"), F.col("id").alias("key"), F.col("source_text").alias("text"))
+    units = unit_texts(spark, sf_dir).select(F.lit("unit"), F.col("doc_id").cast("string"), F.concat_ws("/", F.col("doc_id").cast("string"), "unit_id"), "text")
+    return jobs.unionAll(units)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_kind, key_a, key_b): jobs, or units of one document, whose texts look the same and differ as stored."""
+    texts = _lookalike_texts(spark, sf_dir).withColumn("place", F.struct("item_kind", "scope"))
+    pairs = lookalike_pairs(texts, "place", "key", "text")
+    return pairs.select("place.item_kind", "key_a", "key_b")
+
+
+def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_kind, key, form): every text in its consistent form."""
+    texts = _lookalike_texts(spark, sf_dir)
+    keyed = texts.select(F.struct("item_kind", "key").alias("k"), "text")
+    return consistent_forms(keyed, "k", "text", frequencies(texts, "text")).select("k.item_kind", "k.key", "form").distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pair_id, defect): pairs whose target is no usable answer."""
+    return defective_pairs(table(spark, sf_dir, "unit_pairs"), "pair_id", "source", "target", "source_language", "target_language")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored translation with the evidence of truncation."""
+    stored = table(spark, sf_dir, "translations").select("doc_id", "unit_id", "stage", "model_key", F.array_join("segments", "").alias("text"))
+    return truncated(stored, ["doc_id", "unit_id", "stage"], "model_key", "text", unit_texts(spark, sf_dir), ["doc_id", "unit_id"])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, unit_id, stage): stored texts that stop before their end."""
+    return _stored(spark, sf_dir).where("is_truncated").select("doc_id", "unit_id", "stage")
+
+
+def p5_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(model_key, texts, truncated, share)."""
+    return truncation_by_source(_stored(spark, sf_dir), "model_key")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +80,6 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_items": p8_items, "p8_clean": p8_clean}
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p4_found": p4_found, "p5_found": p5_found, "p5_sources": p5_sources, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_items": p8_items, "p8_clean": p8_clean}
 
 SQL = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
