@@ -9,6 +9,7 @@ from ..shared import table, unit_texts
 from .bpe import decode_column, encode_column
 from .cutoff import truncated, truncation_by_source
 from .fold import consistent_forms, frequencies, lookalike_pairs
+from .langid import detect_languages, fit, label_defects, segment_languages
 from .leak import find_leaks, remove_leaks
 from .pairs import defective_pairs
 
@@ -34,6 +35,27 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent_forms(keyed, "k", "text", frequencies(texts, "text")).select("k.item_kind", "k.key", "form").distinct()
 
 
+def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = table(spark, sf_dir, "jobs").select("id", "source_text", "source_language")
+    return detect_languages(jobs, "id", "source_text", "source_language", fit(jobs, "source_language", "source_text"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, defect, lang): jobs whose language label is missing or wrong, and those of several languages."""
+    return label_defects(_detected(spark, sf_dir), "id")
+
+
+def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, lang, confidence): the language of each job with a text."""
+    return _detected(spark, sf_dir).select("id", "lang", "confidence")
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, start_pos, end_pos, lang, confidence, words): the language of each segment of each job."""
+    jobs = table(spark, sf_dir, "jobs").select("id", "source_text", "source_language")
+    return segment_languages(jobs, "id", "source_text", fit(jobs, "source_language", "source_text"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pair_id, defect): pairs whose target is no usable answer."""
     return defective_pairs(table(spark, sf_dir, "unit_pairs"), "pair_id", "source", "target", "source_language", "target_language")
@@ -80,6 +102,6 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p4_found": p4_found, "p5_found": p5_found, "p5_sources": p5_sources, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_items": p8_items, "p8_clean": p8_clean}
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_languages": p3_languages, "p3_segments": p3_segments, "p4_found": p4_found, "p5_found": p5_found, "p5_sources": p5_sources, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_items": p8_items, "p8_clean": p8_clean}
 
 SQL = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
