@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import table, unit_texts
+from . import pii
 from .bpe import decode_column, encode_column
 from .cutoff import truncated, truncation_by_source
 from .fold import consistent_forms, frequencies, lookalike_pairs
@@ -102,6 +103,24 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_languages": p3_languages, "p3_segments": p3_segments, "p4_found": p4_found, "p5_found": p5_found, "p5_sources": p5_sources, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_items": p8_items, "p8_clean": p8_clean}
+def _personal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, pii.Lexicon, pii.SkipChainModel]:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    given = pii.given_name_list(table(spark, sf_dir, "given_names"), "given_name")
+    return documents, *pii.fit(documents, "text", given)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, kind, start_pos): every piece of personal information."""
+    documents, lexicon, model = _personal(spark, sf_dir)
+    return pii.find_personal(documents, "doc_id", "text", lexicon, model).select("doc_id", "kind", "start_pos")
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): the documents with typed placeholders."""
+    documents, lexicon, model = _personal(spark, sf_dir)
+    return pii.redact(documents, "doc_id", "text", lexicon, model)
+
+
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_languages": p3_languages, "p3_segments": p3_segments, "p4_found": p4_found, "p5_found": p5_found, "p5_sources": p5_sources, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_items": p8_items, "p8_clean": p8_clean, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 SQL = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
