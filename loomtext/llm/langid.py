@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,17 +184,20 @@ def fit(labelled: DataFrame, label: str, text: str, sample: int = SAMPLE_SENTENC
     ship(labelled.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fold = Folder()
+        kept: list[tuple[int, str, str]] = []  # the sentences of the partition with the smallest hashes
         for b in batches:
-            rows = []
             for lab, t in zip(b["l"], b["t"]):
                 lang = named_language(lab)
                 if lang in LANGUAGES:
-                    rows += [(lang, s) for x, y in segments(t) if y - x <= 2000 and len(s := letters_of(t[x:y], fold)) >= 12]
-            yield pd.DataFrame(rows, columns=["lang", "s"])
+                    kept += [(xxhash.xxh3_64_intdigest(s) >> 1, s, lang) for x, y in segments(t) if 12 <= y - x <= 2000 for s in (t[x:y],)]
+                if len(kept) > 4 * sample:
+                    kept = sorted(set(kept))[:sample]
+        fold = Folder()
+        rows = [(h, lang, letters) for h, s, lang in sorted(set(kept))[:sample] if len(letters := letters_of(s, fold)) >= 12]
+        yield pd.DataFrame(rows, columns=["h", "lang", "s"])
 
-    found = labelled.select(F.col(label).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null").mapInPandas(run, "lang string, s string")
-    rows = found.withColumn("h", F.xxhash64("s", "lang")).orderBy("h", "s", "lang").limit(sample).collect()
+    found = labelled.select(F.col(label).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null").mapInPandas(run, "h long, lang string, s string")
+    rows = found.orderBy("h", "s", "lang").limit(sample).collect()
     return train([r["s"] for r in rows], [r["lang"] for r in rows])
 
 
@@ -285,7 +289,10 @@ def segment_languages(df: DataFrame, key: str, text: str, model: LanguageModel)
 
 def label_defects(detected: DataFrame, key: str) -> DataFrame:
     """(key, defect, lang): missing or wrong labels with the main language, and a row for each language of a mixed text."""
-    missing = detected.where("lang is not null and named is null").select(key, F.lit("missing").alias("defect"), "lang")
-    wrong = detected.where("lang is not null and named is not null and named <> lang").select(key, F.lit("wrong").alias("defect"), "lang")
-    mixed = detected.where(F.exists("langs", lambda x: x != F.col("lang"))).select(key, F.lit("mixed").alias("defect"), F.explode("langs").alias("lang"))
-    return missing.unionAll(wrong).unionAll(mixed)
+    lang = F.col("lang")
+    one = lambda defect, when: F.when(when, F.array(F.struct(F.lit(defect).alias("defect"), lang.alias("lang"))))
+    none = F.array().cast("array<struct<defect:string,lang:string>>")
+    label = F.coalesce(one("missing", F.col("named").isNull()), one("wrong", F.col("named") != lang), none)
+    mixed = F.when(F.exists("langs", lambda x: x != lang), F.transform("langs", lambda x: F.struct(F.lit("mixed").alias("defect"), x.alias("lang")))).otherwise(none)
+    found = detected.where(lang.isNotNull()).select(key, F.explode(F.concat(label, mixed)).alias("d"))
+    return found.select(key, "d.defect", "d.lang")
