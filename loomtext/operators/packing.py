@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..shared import ship
+from ..shared import sent, ship
 
 SALTS = 32
+NO_GROUP = "\0"
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -76,13 +77,13 @@ def pack(items: DataFrame, group: str, ids: list[str], length: str, capacity: in
     """(group, ids..., length, request_no): containers numbered from 0 in each group, none above ``capacity``.
 
     Items longer than ``capacity`` are the caller's to cut (see :func:`pack_texts`); here they raise.  A null length counts
-    as 0.  Repeated ids of a group count once, with their greatest length.  Ties are ordered by id.  An empty table: no
+    as 0; items of a null group are a group.  Repeated ids of a group count once, with their greatest length.  Ties are ordered by id.  An empty table: no
     rows.  One group may hold any share of the rows: it is planned from at most ``capacity + 1`` lengths, and ranks
     within a length are counted in ``salts`` parts that are then added up.
     """
     spark = items.sparkSession
     ship(spark)
-    keyed = items.groupBy(F.col(group).alias("_g"), *ids).agg(F.coalesce(F.max(length), F.lit(0)).cast("int").alias("_n"))
+    keyed = items.groupBy(F.coalesce(sent(items, group, "_g").cast("string"), F.lit(NO_GROUP)).alias("_g"), *ids).agg(F.coalesce(F.max(length), F.lit(0)).cast("int").alias("_n"))
     keyed = keyed.withColumn("_s", F.pmod(F.xxhash64(*ids), F.lit(salts)).cast("int"))
     counts = keyed.groupBy("_g", "_n", "_s").agg(F.count("*").alias("_c"))
     before = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy("_g", "_n").orderBy("_s")) - F.col("_c"))
@@ -90,7 +91,6 @@ def pack(items: DataFrame, group: str, ids: list[str], length: str, capacity: in
     ranked = ranked.join(before.drop("_c"), ["_g", "_n", "_s"]).withColumn("_rank", F.col("_rn") + F.col("_before"))
 
     histogram = counts.groupBy("_g", "_n").agg(F.sum("_c").alias("_c")).groupBy("_g").agg(F.collect_list(F.struct("_n", "_c")).alias("_h"))
-    kind = items.schema[group].dataType.simpleString()
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -102,10 +102,11 @@ def pack(items: DataFrame, group: str, ids: list[str], length: str, capacity: in
                 rows += [(g, *x) for x in slots(own, capacity)]
             yield pd.DataFrame(rows, columns=["_g", "_n", "_from", "_to", "_each", "_first"])
 
-    planned = histogram.mapInPandas(fill, f"_g {kind}, _n int, _from long, _to long, _each long, _first long")
+    planned = histogram.mapInPandas(fill, "_g string, _n int, _from long, _to long, _each long, _first long")
     placed = ranked.join(planned, ["_g", "_n"]).where("_rank >= _from and _rank < _to")
     number = (F.col("_first") + F.floor((F.col("_rank") - F.col("_from")) / F.col("_each"))).cast("int")
-    return placed.select(F.col("_g").alias(group), *ids, F.col("_n").alias("n_chars"), number.alias("request_no"))
+    placed = placed.withColumn("_g", F.nullif("_g", F.lit(NO_GROUP)))
+    return placed.select(F.col("_g").cast(items.schema[group].dataType).alias(group), *ids, F.col("_n").alias("n_chars"), number.alias("request_no"))
 
 
 def pack_texts(items: DataFrame, group: str, unit: str, text: str, capacity: int) -> DataFrame:

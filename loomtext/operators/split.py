@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..shared import ship
+from ..shared import returned, sent, sent_type, ship
 
 RANGE_CHARS = 1 << 18
 RANGE_BYTES = 8 << 20
@@ -31,6 +31,7 @@ _PLACES = (
     regex.compile(r"[,;:،؛]\s+"),
     regex.compile(r"\s+"),
 )
+_BAD_BYTE = regex.compile("[\udc80-\udcff]")
 _STICKS = regex.compile(r"[\p{M}\p{Cf}\p{EMod}]")
 
 
@@ -95,8 +96,8 @@ def split_items(items: DataFrame, key: str, text: str, max_chars: int, overlap:
     """
     spark = items.sparkSession
     ship(spark)
-    kind = items.schema[key].dataType.simpleString()
-    big = items.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") > max_chars).dropDuplicates(["k"])
+    kind = sent_type(items, key)
+    big = items.select(sent(items, key, "k"), F.col(text).alias("t")).where(F.length("t") > max_chars).dropDuplicates(["k"])
     pad = max(HALO, overlap)
     n, r = F.length("t"), F.col("r")
     ranges = big.withColumn("r", F.explode(F.sequence(F.lit(0), ((n - 1) / F.lit(range_chars)).cast("int"))))
@@ -117,7 +118,7 @@ def split_items(items: DataFrame, key: str, text: str, max_chars: int, overlap:
     stitched = halo.mapInPandas(find, f"k {kind}, r int, at long")
     begins = stitched.select("k", "r", "at")
     ends = stitched.select("k", (r - 1).alias("r"), F.col("at").alias("to"))
-    placed = ranges.join(begins, ["k", "r"], "left").join(ends, ["k", "r"], "left")
+    placed = ranges.join(begins.withColumnsRenamed({"k": "kb", "r": "rb"}), F.col("k").eqNullSafe(F.col("kb")) & (r == F.col("rb")), "left").join(ends.withColumnsRenamed({"k": "ke", "r": "re"}), F.col("k").eqNullSafe(F.col("ke")) & (r == F.col("re")), "left")
     placed = placed.select("k", "r", F.coalesce("at", F.lit(0)).cast("long").alias("a"), F.coalesce("to", n.cast("long")).alias("z"), "t")
     stretch = placed.select("k", "r", "a", "z", F.expr(f"substring(t, cast(greatest(0, a - {pad}) as int) + 1, cast(z - greatest(0, a - {pad}) as int))").alias("t"))
 
@@ -134,7 +135,7 @@ def split_items(items: DataFrame, key: str, text: str, max_chars: int, overlap:
 
     pieces = stretch.mapInPandas(emit, f"k {kind}, r int, i int, start_pos long, end_pos long, piece string")
     order = Window.partitionBy("k").orderBy("r", "i")
-    return pieces.select("k", (F.row_number().over(order) - 1).alias("piece_no"), "start_pos", "end_pos", "piece").withColumnRenamed("k", key)
+    return pieces.select("k", (F.row_number().over(order) - 1).alias("piece_no"), "start_pos", "end_pos", "piece").select(returned(items, key, "k"), "piece_no", "start_pos", "end_pos", "piece")
 
 
 def split_files(spark: SparkSession, paths: Sequence[str], max_chars: int, overlap: int = 0, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -151,8 +152,8 @@ def split_files(spark: SparkSession, paths: Sequence[str], max_chars: int, overl
     files = spark.createDataFrame(sizes, "path string, size long").where("size > 0")
     ranges = files.withColumn("r", F.explode(F.sequence(F.lit(0), ((F.col("size") - 1) / range_bytes).cast("int")))).repartition(F.col("path"), F.col("r"))
 
-    def characters(path: str, a: int, z: int) -> str:
-        """The characters that begin in bytes [a, z)."""
+    def characters(path: str, a: int, z: int) -> tuple[str, int]:
+        """The characters that begin in bytes [a, z), and where the first of them begins."""
         with open(path, "rb") as f:
             f.seek(a)
             raw = f.read(z - a + 3)
@@ -161,17 +162,17 @@ def split_files(spark: SparkSession, paths: Sequence[str], max_chars: int, overl
             body, a = body[1:], a + 1
         while tail and 0x80 <= tail[0] < 0xC0:
             body, tail = body + tail[:1], tail[1:]
-        return body.decode("utf-8", "replace")
+        return body.decode("utf-8", "surrogateescape"), a  # one character for each bad byte, so lengths in bytes stay exact
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for path, size, no in zip(b["path"], b["size"], b["r"]):
                 a, z = no * range_bytes, min(size, (no + 1) * range_bytes)
-                own = characters(path, a, z)
-                before = characters(path, max(0, a - pad_bytes), a)
+                own, begins = characters(path, a, z)
+                before, _ = characters(path, max(0, a - pad_bytes), a)
                 at = anchor(before + own, len(before), len(before) + len(own)) - len(before) if no else 0
-                rows.append((path, size, no, len(own), at, len(own[:at].encode("utf-8", "surrogatepass"))))
+                rows.append((path, size, no, len(own), at, begins - a + len(own[:at].encode("utf-8", "surrogateescape"))))
             yield pd.DataFrame(rows, columns=["path", "size", "r", "n", "at", "at_bytes"])
 
     found = ranges.mapInPandas(find, "path string, size long, r int, n long, at long, at_bytes long")
@@ -186,11 +187,11 @@ def split_files(spark: SparkSession, paths: Sequence[str], max_chars: int, overl
         for b in batches:
             rows = []
             for path, no, start, a, z in zip(b["path"], b["r"], b["start"], b["from_byte"], b["to_byte"]):
-                own, before = characters(path, a, z), characters(path, max(0, a - pad_bytes), a)
+                own, before = characters(path, a, z)[0], characters(path, max(0, a - pad_bytes), a)[0]
                 before = before[-min(len(before), overlap):] if overlap else ""
                 t, base = before + own, start - len(before)
                 if own:
-                    rows += [(path, no, i, base + x, base + y, t[x:y]) for i, (x, y) in enumerate(plan(t, boundaries(t), len(before), len(t), max_chars, overlap))]
+                    rows += [(path, no, i, base + x, base + y, _BAD_BYTE.sub("\ufffd", t[x:y])) for i, (x, y) in enumerate(plan(t, boundaries(t), len(before), len(t), max_chars, overlap))]
             yield pd.DataFrame(rows, columns=["path", "r", "i", "start_pos", "end_pos", "piece"])
 
     pieces = stitched.mapInPandas(emit, "path string, r int, i int, start_pos long, end_pos long, piece string")

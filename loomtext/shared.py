@@ -8,8 +8,9 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 
 _SHIPPED: set[str] = set()
 
@@ -64,3 +65,22 @@ def size_limit(spark: SparkSession, sf_dir: str, kind: str) -> dict:
     if row is None:
         raise ValueError(f"size_limits has no row for {kind!r}")
     return row.asDict()
+
+
+def _as_text(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, (IntegralType, DecimalType))
+
+
+def sent(df: DataFrame, column: str, name: str) -> Column:
+    """A key on its way to Python: whole numbers go as text, since pandas would turn them to floats where one is null."""
+    c = F.col(column)
+    return (c.cast("string") if _as_text(df, column) else c).alias(name)
+
+
+def sent_type(df: DataFrame, column: str) -> str:
+    return "string" if _as_text(df, column) else df.schema[column].dataType.simpleString()
+
+
+def returned(df: DataFrame, column: str, name: str) -> Column:
+    """The key ``name`` back from Python, in the type and by the name that it has in ``df``."""
+    return (F.col(name).cast(df.schema[column].dataType) if _as_text(df, column) else F.col(name)).alias(column)
