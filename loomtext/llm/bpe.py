@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import ship
+from ..shared import returned, sent, sent_type, ship
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: how texts are cut into pieces before merging.
@@ -122,9 +122,8 @@ def encode_column(df: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_
         for b in batches:
             yield pd.DataFrame({"k": b["k"], "ids": [bpe.encode(t) for t in b["t"]]})
 
-    kind = df.schema[key].dataType.simpleString()
-    out = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, ids array<int>")
-    return out.withColumnRenamed("k", key)
+    out = df.select(sent(df, key, "k"), F.col(text).alias("t")).mapInPandas(run, f"k {sent_type(df, key)}, ids array<int>")
+    return out.select(returned(df, key, "k"), "ids")
 
 
 def decode_column(df: DataFrame, key: str, ids: str = "ids", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -136,6 +135,5 @@ def decode_column(df: DataFrame, key: str, ids: str = "ids", vocabulary: str = D
         for b in batches:
             yield pd.DataFrame({"k": b["k"], "text": [None if x is None else bpe.decode(x) for x in b["i"]]})
 
-    kind = df.schema[key].dataType.simpleString()
-    out = df.select(F.col(key).alias("k"), F.col(ids).alias("i")).mapInPandas(run, f"k {kind}, text string")
-    return out.withColumnRenamed("k", key)
+    out = df.select(sent(df, key, "k"), F.col(ids).alias("i")).mapInPandas(run, f"k {sent_type(df, key)}, text string")
+    return out.select(returned(df, key, "k"), "text")

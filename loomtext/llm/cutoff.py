@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import durable, ship
+from ..shared import durable, returned, sent, sent_type, ship
 
 #: What may follow the place where a text stopped: blanks, signs, short notes in brackets, links, an ellipsis.
 _BEHIND = regex.compile(
@@ -88,7 +88,7 @@ def truncated(texts: DataFrame, keys: list[str], source: str, text: str, rendere
     """
     spark = texts.sparkSession
     ship(spark)
-    kinds = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in [*keys, source])
+    kinds = ", ".join(f"`{c}` {sent_type(texts, c)}" for c in [*keys, source])
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -98,7 +98,8 @@ def truncated(texts: DataFrame, keys: list[str], source: str, text: str, rendere
             out["shape"], out["last"] = [s for s, _ in seen], ["" if _HAS_DIGIT.search(w) else w for _, w in seen]
             yield out
 
-    rows = durable(texts.select(*keys, source, F.col(text).alias("t")).mapInPandas(look, f"{kinds}, n_chars int, shape string, last string").distinct())
+    seen = texts.select(*(sent(texts, c, c) for c in [*keys, source]), F.col(text).alias("t")).mapInPandas(look, f"{kinds}, n_chars int, shape string, last string").distinct()
+    rows = durable(seen.select(*(returned(texts, c, c) for c in [*keys, source]), "n_chars", "shape", "last"))
 
     known = durable(vocabulary(texts, text))
     finals = rows.where("last <> ''").select(F.col("last").alias("word")).distinct()
@@ -111,7 +112,7 @@ def truncated(texts: DataFrame, keys: list[str], source: str, text: str, rendere
     rows = rows.join(limits, F.col(source).eqNullSafe(F.col("_source")) & (F.col("n_chars") == F.col("_n")), "left").drop("_source", "_n")
 
     if rendered is not None:
-        kinds_r = ", ".join(f"`{c}` {rendered.schema[c].dataType.simpleString()}" for c in rendered_keys)
+        kinds_r = ", ".join(f"`{c}` {sent_type(rendered, c)}" for c in rendered_keys)
 
         def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -119,7 +120,8 @@ def truncated(texts: DataFrame, keys: list[str], source: str, text: str, rendere
                 out["whole"] = [finished(stop_of(t)) for t in b["text"]]
                 yield out
 
-        whole = rendered.select(*rendered_keys, "text").where("text is not null").mapInPandas(ends, f"{kinds_r}, whole boolean").groupBy(*rendered_keys).agg(F.max("whole").alias("whole"))
+        ended = rendered.select(*(sent(rendered, c, c) for c in rendered_keys), "text").where("text is not null").mapInPandas(ends, f"{kinds_r}, whole boolean")
+        whole = ended.select(*(returned(rendered, c, c) for c in rendered_keys), "whole").groupBy(*rendered_keys).agg(F.max("whole").alias("whole"))
         rows = rows.join(whole, rendered_keys, "left")
     else:
         rows = rows.withColumn("whole", F.lit(None).cast("boolean"))

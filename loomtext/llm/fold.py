@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import durable, ship
+from ..shared import durable, returned, sent, sent_type, ship
 
 #: Letters of one shape in two alphabets (Cyrillic, Greek and others, then the Latin letter).
 LOOKALIKES = (
@@ -248,8 +248,8 @@ def consistent_forms(texts: DataFrame, key: str, text: str, frequency: Mapping[s
         for b in batches:
             yield pd.DataFrame({"k": b["k"], "form": [None if t is None else fold(t) for t in b["t"]]})
 
-    kind = texts.schema[key].dataType.simpleString()
-    return texts.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, form string").withColumnRenamed("k", key)
+    out = texts.select(sent(texts, key, "k"), F.col(text).alias("t")).mapInPandas(run, f"k {sent_type(texts, key)}, form string")
+    return out.select(returned(texts, key, "k"), "form")
 
 
 def lookalike_pairs(texts: DataFrame, scope: str, key: str, text: str, frequency: Mapping[str, int] | None = None) -> DataFrame:
@@ -269,9 +269,9 @@ def lookalike_pairs(texts: DataFrame, scope: str, key: str, text: str, frequency
             rows = [(s, k, digest(f), digest(t)) for s, k, t in zip(b["s"], b["k"], b["t"]) if has_content(f := fold(t))]
             yield pd.DataFrame(rows, columns=["s", "k", "form", "raw"])
 
-    kinds = [texts.schema[c].dataType.simpleString() for c in (scope, key)]
-    seen = texts.select(F.col(scope).alias("s"), F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null")
-    seen = seen.mapInPandas(run, f"s {kinds[0]}, k {kinds[1]}, form binary, raw binary").distinct()
+    seen = texts.select(sent(texts, scope, "s"), sent(texts, key, "k"), F.col(text).alias("t")).where("t is not null")
+    seen = seen.mapInPandas(run, f"s {sent_type(texts, scope)}, k {sent_type(texts, key)}, form binary, raw binary").distinct()
+    seen = seen.select(returned(texts, scope, "s").alias("s"), returned(texts, key, "k").alias("k"), "form", "raw")
     kept = durable(seen)  # read four times below
     several = kept.groupBy("s", "form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo < hi").select("s", "form")
     members = kept.join(several, ["s", "form"], "left_semi")

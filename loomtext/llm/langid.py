@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import ship
+from ..shared import returned, sent, sent_type, ship
 from .fold import Folder
 
 LANGUAGES = ("ar", "en", "fa")
@@ -264,9 +264,9 @@ def detect_languages(df: DataFrame, key: str, text: str, label: str, model: Lang
             judged = [d.judge(s) for s in d(list(b["t"]))]
             yield pd.DataFrame({"k": b["k"], "lang": [j[0] for j in judged], "confidence": [j[1] for j in judged], "named": [named_language(x) for x in b["l"]], "langs": [j[2] for j in judged]})
 
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l")).where("t is not null")
-    return rows.mapInPandas(run, f"k {kind}, lang string, confidence double, named string, langs array<string>").dropDuplicates(["k"]).withColumnRenamed("k", key)
+    rows = df.select(sent(df, key, "k"), F.col(text).alias("t"), F.col(label).alias("l")).where("t is not null")
+    found = rows.mapInPandas(run, f"k {sent_type(df, key)}, lang string, confidence double, named string, langs array<string>").dropDuplicates(["k"])
+    return found.select(returned(df, key, "k"), "lang", "confidence", "named", "langs")
 
 
 def segment_languages(df: DataFrame, key: str, text: str, model: LanguageModel) -> DataFrame:
@@ -281,10 +281,9 @@ def segment_languages(df: DataFrame, key: str, text: str, model: LanguageModel)
             rows = [(k, s.start, s.end, s.lang, s.confidence, s.words) for k, found in zip(b["k"], d(list(b["t"]))) for s in found]
             yield pd.DataFrame(rows, columns=["k", "start_pos", "end_pos", "lang", "confidence", "words"])
 
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null")
-    found = rows.mapInPandas(run, f"k {kind}, start_pos long, end_pos long, lang string, confidence double, words int")
-    return found.dropDuplicates(["k", "start_pos"]).withColumnRenamed("k", key)
+    rows = df.select(sent(df, key, "k"), F.col(text).alias("t")).where("t is not null")
+    found = rows.mapInPandas(run, f"k {sent_type(df, key)}, start_pos long, end_pos long, lang string, confidence double, words int")
+    return found.dropDuplicates(["k", "start_pos"]).select(returned(df, key, "k"), "start_pos", "end_pos", "lang", "confidence", "words")
 
 
 def label_defects(detected: DataFrame, key: str) -> DataFrame:

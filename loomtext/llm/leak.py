@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import ship
+from ..shared import returned, sent, sent_type, ship
 
 #: Characters of no width, removed before words are cut.
 NO_WIDTH = dict.fromkeys([0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF])
@@ -140,7 +140,7 @@ def blocks(items: DataFrame, id_col: str, text_col: str, min_words: int, block_w
     """Automata over the items, each of at most ``block_words`` words (one longer item is a block of its own)."""
     block: list[tuple[int, list[str]]] = []
     size = 0
-    for r in items.select(id_col, text_col).where(F.col(text_col).isNotNull()).distinct().orderBy(id_col).toLocalIterator():
+    for r in items.select(id_col, text_col).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).distinct().orderBy(id_col).toLocalIterator():
         words = words_of(r[1])
         if len(words) < min_words:
             continue
@@ -156,13 +156,12 @@ def blocks(items: DataFrame, id_col: str, text_col: str, min_words: int, block_w
 def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(key, item_id, windows): one row for each pair of a text and an item of which it holds ``min_words`` words on end.
 
-    Null and empty texts: no rows.  Items of fewer words: never found.  Texts that are the same: rows each.  Duplicate
+    Null and empty texts: no rows.  Items of fewer words, or without an id: never found.  Texts that are the same: rows each.  Duplicate
     rows of a key: one row.  No items or no texts: no rows.  Extra columns are not read.
     """
     spark = corpus.sparkSession
     ship(spark)
-    kind, item_kind = corpus.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"k {kind}, item_id {item_kind}, windows long"
+    schema = f"k {sent_type(corpus, key)}, item_id {items.schema[item_key].dataType.simpleString()}, windows long"
     found = None
     for automaton in blocks(items, item_key, item_text, min_words, block_words):
         shared = spark.sparkContext.broadcast(automaton)
@@ -173,11 +172,11 @@ def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_ke
                 rows = [(k, i, n) for k, t in zip(b["k"], b["t"]) if t for i, n in a.items_in(words_of(t)).items()]
                 yield pd.DataFrame(rows, columns=["k", "item_id", "windows"])
 
-        part = corpus.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).mapInPandas(run, schema)
+        part = corpus.select(sent(corpus, key, "k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).mapInPandas(run, schema)
         found = part if found is None else found.unionAll(part)
     if found is None:
         found = spark.createDataFrame([], schema)
-    return found.groupBy("k", "item_id").agg(F.max("windows").alias("windows")).withColumnRenamed("k", key)
+    return found.groupBy("k", "item_id").agg(F.max("windows").alias("windows")).select(returned(corpus, key, "k"), "item_id", "windows")
 
 
 def remove_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = MIN_WORDS, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -212,6 +211,5 @@ def remove_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_
             rows = [clean(t) for t in b["t"]]
             yield pd.DataFrame({"k": b["k"], "text": [r[0] for r in rows], "removed_words": [r[1] for r in rows], "dropped": [r[2] for r in rows]})
 
-    kind = corpus.schema[key].dataType.simpleString()
-    out = corpus.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, text string, removed_words int, dropped boolean")
-    return out.withColumnRenamed("k", key)
+    out = corpus.select(sent(corpus, key, "k"), F.col(text).alias("t")).mapInPandas(run, f"k {sent_type(corpus, key)}, text string, removed_words int, dropped boolean")
+    return out.select(returned(corpus, key, "k"), "text", "removed_words", "dropped")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..shared import ship
+from ..shared import returned, sent, sent_type, ship
 from .cutoff import finished, stop_of
 from .fold import Folder
 
@@ -223,6 +223,5 @@ def defective_pairs(pairs: DataFrame, key: str, source: str, target: str, source
             rows = [(k, d) for k, s, t, w in zip(b["k"], b["s"], b["t"], b["w"]) if (d := judge.defect(s, t, w))]
             yield pd.DataFrame(rows, columns=["k", "defect"])
 
-    kind = pairs.schema[key].dataType.simpleString()
-    found = pairs.select(F.col(key).alias("k"), F.col(source).alias("s"), F.col(target).alias("t"), F.col(target_language).alias("w")).mapInPandas(run, f"k {kind}, defect string")
-    return found.groupBy("k").agg(F.min("defect").alias("defect")).withColumnRenamed("k", key)
+    found = pairs.select(sent(pairs, key, "k"), F.col(source).alias("s"), F.col(target).alias("t"), F.col(target_language).alias("w")).mapInPandas(run, f"k {sent_type(pairs, key)}, defect string")
+    return found.groupBy("k").agg(F.min("defect").alias("defect")).select(returned(pairs, key, "k"), "defect")

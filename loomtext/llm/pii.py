@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import ship
+from ..shared import returned, sent, sent_type, ship
 
 KINDS = ("none", "email", "phone", "identity_number", "address", "name")
 NONE, EMAIL, PHONE, IDENTITY, ADDRESS, NAME = range(len(KINDS))
@@ -476,9 +476,8 @@ def find_personal(documents: DataFrame, key: str, text: str, lexicon: Lexicon, m
                 rows += [(k, KINDS[y], m.start, m.end) for m, y in zip(found, crf.label(found)) if y != NONE]
             yield pd.DataFrame(rows, columns=["k", "kind", "start_pos", "end_pos"])
 
-    kind = documents.schema[key].dataType.simpleString()
-    found = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").mapInPandas(run, f"k {kind}, kind string, start_pos int, end_pos int")
-    return found.distinct().withColumnRenamed("k", key)
+    found = documents.select(sent(documents, key, "k"), F.col(text).alias("t")).where("t is not null").mapInPandas(run, f"k {sent_type(documents, key)}, kind string, start_pos int, end_pos int")
+    return found.distinct().select(returned(documents, key, "k"), "kind", "start_pos", "end_pos")
 
 
 def redact(documents: DataFrame, key: str, text: str, lexicon: Lexicon, model: SkipChainModel) -> DataFrame:
@@ -500,5 +499,5 @@ def redact(documents: DataFrame, key: str, text: str, lexicon: Lexicon, model: S
                 texts.append(t)
             yield pd.DataFrame({"k": b["k"], "text": texts})
 
-    kind = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, text string").withColumnRenamed("k", key)
+    out = documents.select(sent(documents, key, "k"), F.col(text).alias("t")).mapInPandas(run, f"k {sent_type(documents, key)}, text string")
+    return out.select(returned(documents, key, "k"), "text")
