@@ -35,7 +35,10 @@ LOOKALIKES = (
 ).replace("ո n", "ոn").replace("ıі", "").split()
 
 #: Punctuation of one shape.
-LOOKALIKE_MARKS = ((";", ";"), ("·", "·"), ("‐", "-"), ("‑", "-"), ("`", "`"), ("ʹ", "ʹ"))
+LOOKALIKE_MARKS = ((";", ";"), ("·", "·"), ("‐", "-"), ("‑", "-"), ("`", "`"), ("ʹ", "ʹ"))
+
+#: The yeh with hamza, also spelled with the Persian yeh or alef maksura and a hamza above.
+LOOKALIKE_STRINGS = (("\u0626", "\u06cc\u0654"), ("\u0626", "\u0649\u0654"))
 
 #: Characters that show nothing: soft hyphen, zero-width space and joiners of words, marks of direction, byte order.
 INVISIBLE = frozenset(
@@ -124,7 +127,7 @@ def lookalike_classes() -> tuple[tuple[str, ...], ...]:
                 sets.union(ch, c)
     for pair in LOOKALIKES:
         sets.union(pair[0], pair[1])
-    for a, b in LOOKALIKE_MARKS:
+    for a, b in (*LOOKALIKE_MARKS, *LOOKALIKE_STRINGS):
         sets.union(a, b)
     return tuple(tuple(c) for c in sorted(sets.classes()))
 
@@ -155,7 +158,7 @@ def rewrite_table(frequency: Mapping[str, int] | None = None) -> dict[str, str]:
         spelled = {"".join(one.get(ch, ch) for ch in x) for x in longest}
         best = min(spelled, key=lambda x: (-min(frequency.get(ch, 0) for ch in x), len(x), x))
         single = [x for x in c if len(x) == 1]
-        if all(len(unicodedata.normalize("NFC", s)) == 1 for s in spelled):  # letters with marks: the usual precomposed form
+        if any(len(unicodedata.normalize("NFC", s)) == 1 for s in spelled):  # letters with marks: the usual precomposed form
             best = min(single, key=lambda x: (-frequency.get(x, 0), ord(x)))
         table.update((x, best) for x in (*c, *spelled) if x != best)
     return {k: v for k, v in table.items() if k != v}
@@ -182,6 +185,12 @@ class Folder:
         """The consistent form; idempotent; '' for ''."""
         if text.isascii():
             return text
+        once = self._rewrite(text)
+        if (ZWNJ in text or ZWJ in text) and self.marks.search(once):  # a mark may have met its letter only now
+            return self._rewrite(once)
+        return once
+
+    def _rewrite(self, text: str) -> str:
         if self.hidden.search(text):
             text = text.translate(self.dropped)
         marked = self.marks.search(text) is not None

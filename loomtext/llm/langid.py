@@ -30,6 +30,8 @@ NGRAMS = (1, 2, 3, 4)
 CERTAIN = 0.8
 SENTENCE_WORDS, UNENDED_WORDS = 3, 5
 REJECTED = 0.3
+#: Least number of updates in training, so that a small sample is gone over more often.
+STEPS = 1_800
 
 #: Usual codes and English names of the languages, and values that name none.
 NAMES = {
@@ -152,7 +154,7 @@ def _train(texts: Sequence[str], labels: Sequence[str], epochs: int, batch: int,
     def solve(z: np.ndarray, n: np.ndarray, l1: float, l2: float) -> np.ndarray:
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
 
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * batch // len(own)))):
         for a in range(0, len(own), batch):
             b = min(len(own), a + batch)
             s = slice(starts[a], starts[b])
