@@ -32,9 +32,9 @@ DECLINING = {
 i can't do|i cannot do|i can't continue|i cannot continue|i can't process|i cannot process|i can't fulfil|i cannot fulfil|i can't comply|i cannot comply|i can't complete|i cannot complete
 i am unable to|i'm unable to|i am not able to|i'm not able to|i must decline|i have to decline|i need to decline|i decline to|i won't be|i will not be|i won't translate|i will not translate
 i won't continue|i must refuse|i refuse to|as a language model|as an ai|as a large language model|no translation can be given|no translation can be provided|no translation is possible here
-i'm afraid i can|i am afraid i can|i'm not comfortable|i am not comfortable|against my guidelines|beyond my abilities|outside my abilities|outside what i may|outside what i can|beyond what i may|beyond what i can|is outside my|goes beyond my|not something i can|i am not allowed|i'm not allowed|i'm not permitted
-نمی توانم این|نمی توانم به|نمی توانم در|نمی توانم ترجمه|نمیتوانم|قادر نیستم|قادر به ترجمه نیستم|به عنوان یک مدل|مدل زبانی|هوش مصنوعی|اجازه این کار را ندارم|خارج از توان من|معذورم|رهنمودهای من|نمی توانم|ترجمه ای ارائه نمی شود|امکان پاسخ|امکان ترجمه این|امکان انجام این|از پاسخ دادن خودداری
-لا يمكنني|لا أستطيع|لا استطيع|ليس بإمكاني|لست قادرا|غير قادر على|أعتذر عن|نعتذر عن|بصفتي نموذجا|نموذجا لغويا|نموذج لغوي|كنموذج لغوي|خارج قدرتي|يتعذر علي|يؤسفني أنني|إرشاداتي|لن أتمكن|لن أستطيع|لا يسعني|لا تتوفر لدي|لن أواصل|هذا الطلب خارج|لا يمكن الرد على هذا الطلب|لا يمكن تقديم ترجمة""",
+i'm afraid i can|i am afraid i can|i'm not comfortable|i am not comfortable|against my guidelines|beyond my abilities|outside my abilities|outside what i may|outside what i can|beyond what i may|beyond what i can|is outside my|goes beyond my|not something i can|the assistant cannot|the assistant can't|the assistant is unable|this assistant cannot|the model cannot|cannot be completed by the assistant|i am not allowed|i'm not allowed|i'm not permitted
+نمی توانم این|نمی توانم به|نمی توانم در|نمی توانم ترجمه|نمیتوانم|قادر نیستم|قادر به ترجمه نیستم|به عنوان یک مدل|مدل زبانی|هوش مصنوعی|اجازه این کار را ندارم|خارج از توان من|معذورم|رهنمودهای من|نمی توانم|ترجمه ای ارائه نمی شود|دستیار نمی تواند|دستیار قادر|این دستیار|امکان پاسخ|امکان ترجمه این|امکان انجام این|از پاسخ دادن خودداری
+لا يمكنني|لا أستطيع|لا استطيع|ليس بإمكاني|لست قادرا|غير قادر على|أعتذر عن|نعتذر عن|بصفتي نموذجا|نموذجا لغويا|نموذج لغوي|كنموذج لغوي|خارج قدرتي|يتعذر علي|يؤسفني أنني|إرشاداتي|لن أتمكن|لن أستطيع|لا يسعني|لا تتوفر لدي|لن أواصل|لا يمكن للمساعد|لا يستطيع المساعد|المساعد غير قادر|لا يمكن للنموذج|هذا الطلب خارج|لا يمكن الرد على هذا الطلب|لا يمكن تقديم ترجمة""",
     1: """i'm sorry|i am sorry|apologies|unfortunately|thank you for the text|thank you for your|i cannot|i can't|i won't|ask a human translator|let me know if|is there another text|without more context|looks sensitive
 متأسفم|پوزش|با عرض معذرت|سپاس از متن|شرمنده|از یک مترجم انسانی|متن دیگری دارید|اگر کار دیگری|متن کامل فرستاده شود
 للأسف|عذرا|آسف|نعتذر|أعتذر|معذرة|شكرا على النص|يرجى سؤال مترجم|أخبرني إن كان|هل لديك نص آخر|مترجم بشري""",

@@ -43,6 +43,10 @@ TITLES = {
 }
 #: Kinds of streets, districts and parts of an address.
 STREETS = "avenue ave street st lane ln close court ct row road rd way drive dr place pl square sq terrace gardens crescent boulevard blvd parade mews hill walk".split()
+#: Words that begin no name even where they are capitalised.
+FUNCTION_WORDS = frozenset(
+    "a an and are as at be been before after against between but by call dear even for from he her here his how i if in into is it its later my nor not of on once or our over please see she so than that the their then there these they this those through to today tomorrow under until was we were what when where which while who whom whose why with without yesterday yet you your".split()
+)
 #: Words that tell what a number is.
 PHONE_WORDS = "call tel telephone phone mobile cell whatsapp fax number reached dial ring تلفن تماس همراه شماره موبایل واتساپ هاتف الهاتف جوال الجوال للتواصل الاتصال رقمي الرقم اتصل".split()
 IDENTITY_WORDS = "passport identity national social security id card ssn ملی شناسنامه کدملی گذرنامه پاسپورت الوطني الهوية هوية جواز".split()
@@ -74,6 +78,7 @@ _ADDRESS_AR = regex.compile(
 )
 _ASCII = str.maketrans("۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789")
 _ARABIC = regex.compile(r"\p{Script=Arabic}")
+_SENTENCE_END = regex.compile(r"(?:(?:(?P<word>\p{L}+)|\p{N}|[”»\")])[.!?؟][”»\")]*\s+\W{0,3}|\n\s*\n\W{0,3}|:\n\W{0,3}|[“«])\Z")
 _LINE_GAP = regex.compile(r"\n\s*\n")
 
 
@@ -105,8 +110,18 @@ def _is_title(w: str) -> bool:
 _TITLE_SET = frozenset(w.rstrip("،") for words in TITLES.values() for w in words if not w.endswith("،"))
 
 
+def _begins_sentence(text: str, at: int) -> bool:
+    """A word here follows the end of a sentence, which the dot of an initial or a title is not."""
+    m = _SENTENCE_END.search(text, max(0, at - 24), at)
+    if m is None:
+        return at < 4
+    word = m.group("word")
+    return word is None or (len(word) > 2 and word.casefold() not in _TITLE_SET)
+
+
 def free_words(text: str, given: frozenset[str]) -> Iterator[tuple[str, bool]]:
-    """Words of a text, and whether each stands free: in lower case, or in Arabic script not just after a title or given name."""
+    """Words of a text, and whether each stands free: in lower case or at the start of a sentence, or in Arabic script not
+    just after a title or given name."""
     last = 9
     for m in regex.finditer(r"(?<![\w@.+%_＠-])\p{L}[\p{L}\p{M}]*(?:['’‌-]\p{L}[\p{L}\p{M}]*)*(?![\w@_+%＠-]|\.\p{L})", text):
         w = norm_word(m.group())
@@ -117,7 +132,7 @@ def free_words(text: str, given: frozenset[str]) -> Iterator[tuple[str, bool]]:
                 last = 0 if _is_title(w) or w == "ما" else min(last, 1)
         else:
             last = 9
-            yield w, m.group()[0].islower()
+            yield w, m.group()[0].islower() or (text[m.end() : m.end() + 1] != "," and _begins_sentence(text, m.start()))
 
 
 class Proposer:
@@ -226,7 +241,7 @@ class Proposer:
             return "U" if w.isupper() else "T"
 
         def is_given(j: int) -> bool:
-            return j < n and cap(j) != "" and (lower[j] in given or (lower[j] not in common and len(lower[j]) >= 3 and "'" not in lower[j]))
+            return j < n and cap(j) != "" and (lower[j] in given or (len(lower[j]) >= 3 and "'" not in lower[j] and lower[j] not in FUNCTION_WORDS and lower[j] not in _TITLE_SET))
 
         def is_family(j: int) -> bool:
             return j < n and cap(j) != "" and len(lower[j]) >= 4 and lower[j] not in common and lower[j] not in given and lower[j] not in _STREET_SET
@@ -249,7 +264,8 @@ class Proposer:
                 elif is_given(i):
                     if initial(j) and near(j):
                         j += 2
-                    if near(j) and is_family(j) and (cap(j) == cap(i)):
+                    turned = near(j) and is_family(j) and near(j + 1) and tokens[j + 1][0] == "," and near(j + 2) and is_given(j + 2) and not is_family(j + 3)
+                    if near(j) and is_family(j) and cap(j) == cap(i) and not (turned and lower[i] in common and lower[i] not in given):
                         kind, fam, giv = "plain", j, i
                     elif is_family(i) and i + 2 < n and tokens[i + 1][0] == "," and near(i + 1) and near(i + 2) and tokens[i + 2][1] > tokens[i + 1][2]:
                         if initial(i + 2):
@@ -278,7 +294,7 @@ class Proposer:
         if k >= 0 and tokens[k][0] == ".":
             k -= 1
         titled = k >= 0 and (lower[k] in _TITLE_SET or kind == "titled")
-        own = ["name", "form:" + kind, *(["titled"] * titled), *(["listed"] * (g in given)), "f3:" + f[-3:], "f4:" + f[-4:], "p3:" + f[:3], "p4:" + f[:4], f"caps:{tokens[fam][0].isupper()}", f"hyphen:{'-' in f}"]
+        own = ["name", "form:" + kind, *(["titled"] * titled), *(["listed"] * (g in given)), *(["common given"] * (g in self.lex.common)), "f3:" + f[-3:], "f4:" + f[-4:], "p3:" + f[:3], "p4:" + f[:4], f"caps:{tokens[fam][0].isupper()}", f"hyphen:{'-' in f}"]
         sure = NAME if g in given or titled else None
         keys = ("f" + f, "p" + f + "/" + (g or tokens[i][0].casefold()))
         return self._mention(text, tokens[i][1], end, (NAME,), own, keys, sure)
