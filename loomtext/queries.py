@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import pytext as P
 from .operators import checkpoint as C
-from .operators import ordered, qa, segments
+from .operators import generation, ordered, qa, segments
 from .operators.memory import UpperBackend, cache_key, protect_column, restore_column
 from .plans import pipeline
 from .shared import durable, table
@@ -285,6 +285,63 @@ def _pipeline(mode: str):
     return query
 
 
+def memory_lookup(spark, sf_dir):
+    """Units whose text is in a memory made of the units with an even place."""
+    keys = memory_keys(spark, sf_dir).join(units(spark, sf_dir).select("doc_id", "unit_id", "ord"), C.KEY)
+    known = keys.where("ord % 2 = 0").select("cache_key").distinct()
+    return keys.join(known, "cache_key", "left_semi").select("doc_id", "unit_id")
+
+
+def _stage_issues(spark, sf_dir, name):
+    return pipeline.issues(_nonblank(spark, sf_dir), stage(spark, sf_dir, name), LANGUAGES[1], terms(spark, sf_dir))
+
+
+def review_route(spark, sf_dir):
+    """Which units the reviewer sees in the mode fast: the flagged ones."""
+    u = _nonblank(spark, sf_dir).select("doc_id", "unit_id")
+    flagged = _stage_issues(spark, sf_dir, "drafts").select("doc_id", "unit_id", F.lit("review").alias("route"))
+    return u.join(flagged, C.KEY, "left").select("doc_id", "unit_id", F.coalesce("route", F.lit("copy")).alias("route"))
+
+
+def polish_select(spark, sf_dir):
+    """Units for the polisher: those with flags after review, and those hinted at (here: every seventh)."""
+    hinted = _nonblank(spark, sf_dir).where("ord % 7 = 0").select("doc_id", "unit_id")
+    return _stage_issues(spark, sf_dir, "finals").select("doc_id", "unit_id").union(hinted).distinct()
+
+
+def coverage_check(spark, sf_dir):
+    """Whether the final text still has the first and last 32 letters and digits of the draft."""
+    a = stage(spark, sf_dir, "drafts").select("doc_id", "unit_id", P.alnum_form(F.array_join("segments", "")).alias("want"))
+    b = stage(spark, sf_dir, "finals").select("doc_id", "unit_id", P.alnum_form(F.array_join("segments", "")).alias("have"))
+    ends = F.col("have").contains(F.substring("want", 1, 32)) & F.col("have").contains(F.expr("right(want, 32)"))
+    return a.join(b, C.KEY).where(F.length("want") >= 4).select("doc_id", "unit_id", ends.alias("covered"))
+
+
+def tone_lookup(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("tone is not null").select("doc_id", generation.tone_guidance(F.col("tone")).alias("guidance"))
+
+
+def input_budget(spark, sf_dir):
+    j = jobs(spark, sf_dir).select("id", F.coalesce(F.length("source_text"), F.lit(0)).alias("fixed"))
+    return j.select("id", generation.input_budget(F.lit(8192), F.col("fixed"), F.lit(1400), F.lit(200)).alias("budget"))
+
+
+def extract_json(spark, sf_dir):
+    """Objects behind noise: each event as JSON after a text with a stray brace."""
+    e = events(spark, sf_dir).select("id", F.concat(F.lit("so {it} is: "), F.to_json(F.struct("status", "stage")), F.lit(" }")).alias("raw"))
+    return e.select("id", generation.extract_json(F.col("raw")).alias("json"))
+
+
+def review_batches(spark, sf_dir):
+    """Drafts reviewed batch by batch through a structured model call."""
+    u = durable(_nonblank(spark, sf_dir).select("doc_id", "ord", "unit_id", "segments", "protected", "text"))
+    no = ordered.greedy_batches(u.select("doc_id", "ord", (P.token_estimate(F.col("text")) * 2).alias("cost")), "doc_id", "ord", "cost", REVIEW_BUDGET, REVIEW_UNITS)
+    d = stage(spark, sf_dir, "drafts").select("doc_id", "unit_id", F.col("segments").alias("draft"))
+    rows = u.join(no, ["doc_id", "ord"]).join(d, C.KEY).withColumn("flags", F.array().cast("array<string>")).withColumnRenamed("segments", "source")
+    out = generation.edit_in_batches(rows, generation.KeepBackend)
+    return out.select("doc_id", "unit_id", F.array_join("segments", "|").alias("text"), "polish", "error")
+
+
 # ---- jobs and their events
 
 
@@ -337,7 +394,7 @@ QUERIES = {
         scan_text_units, rebuild_text, render_unit_html, output_names, alnum_forms, units_by_page, filter_nonblank, canonical_numbers, extract_urls, extract_emails, latin_words, length_ratio,
         token_estimate, direction, alpha_id, quality_flags, locked_terms, glossary_flags, collect_issues, blocking_flags, warning_totals, fixed_batches, adaptive_batches, representative_sample,
         context_window, semantic_split, budget_pieces, distribute_text, normalize_segments, prepare_units, reassemble_units, protect_roundtrip, memory_keys, memory_dedup, unit_digests,
-        checkpoint_reuse, pending_units, overlay_merge, draft_translate, event_change_log, latest_event, job_history, recent_jobs, active_count, job_public, job_event_counts, schema_evolve,
+        checkpoint_reuse, pending_units, overlay_merge, memory_lookup, review_route, polish_select, coverage_check, tone_lookup, input_budget, extract_json, review_batches, draft_translate, event_change_log, latest_event, job_history, recent_jobs, active_count, job_public, job_event_counts, schema_evolve,
     )
 }
 QUERIES |= {f"pipeline_{m}": _pipeline(m) for m in pipeline.MODES}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .operators.generation import TONES
 from .queries import CONTEXT_CHARS, CONTEXT_FIXED, REVIEW_BUDGET, REVIEW_UNITS
 
 WS = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -138,6 +139,17 @@ SQL = {
     "pending_units": f"SELECT {KEYS} FROM {UNITS} u ANTI JOIN {stage('polished')} p USING (doc_id, unit_id)",
     "overlay_merge": f"""SELECT {KEYS}, array_to_string(coalesce(p.segments, f.segments, d.segments, u.segments), '') AS text FROM {UNITS} u LEFT JOIN {stage('drafts')} d USING (doc_id, unit_id)
         LEFT JOIN {stage('finals')} f USING (doc_id, unit_id) LEFT JOIN {stage('polished')} p USING (doc_id, unit_id)""",
+    "memory_lookup": f"""WITH k AS (SELECT {KEYS}, ord, text FROM {UNITS} WHERE {nonblank('text')}) SELECT {KEYS} FROM k WHERE text IN (SELECT text FROM k WHERE ord % 2 = 0)""",
+    "review_route": f"""WITH {TERMS}, p AS (SELECT u.doc_id, u.unit_id, u.text AS s, coalesce(array_to_string(d.segments, ''), '') AS t, 'fa' AS language FROM {UNITS} u LEFT JOIN {stage('drafts')} d USING (doc_id, unit_id) WHERE {nonblank('u.text')}),
+        i AS ({issues('p', KEYS)}) SELECT {KEYS}, CASE WHEN i.flags IS NULL THEN 'copy' ELSE 'review' END AS route FROM p LEFT JOIN i USING ({KEYS})""",
+    "polish_select": f"""WITH {TERMS}, p AS (SELECT u.doc_id, u.unit_id, u.text AS s, coalesce(array_to_string(d.segments, ''), '') AS t, 'fa' AS language FROM {UNITS} u LEFT JOIN {stage('finals')} d USING (doc_id, unit_id) WHERE {nonblank('u.text')}),
+        i AS ({issues('p', KEYS)}) SELECT {KEYS} FROM i UNION SELECT {KEYS} FROM {UNITS} WHERE {nonblank('text')} AND ord % 7 = 0""",
+    "coverage_check": f"""SELECT {KEYS}, contains(have, left(want, 32)) AND contains(have, right(want, 32)) AS covered FROM (
+        SELECT doc_id, unit_id, {casefold(ALNUM.replace('text', "array_to_string(d.segments, '')"))} AS want, {casefold(ALNUM.replace('text', "array_to_string(f.segments, '')"))} AS have
+        FROM {stage('drafts')} d JOIN {stage('finals')} f USING (doc_id, unit_id)) WHERE length(want) >= 4""",
+    "tone_lookup": "SELECT doc_id, CASE tone " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in TONES.items()) + " ELSE tone END AS guidance FROM documents WHERE tone IS NOT NULL",
+    "input_budget": f"SELECT id, CASE WHEN b >= 64 THEN b END AS budget FROM (SELECT id, CAST(least(8192 - coalesce(length(source_text), 0) - 1400 - 200, 1120) AS INT) AS b FROM {JOBS})",
+    "extract_json": f"""SELECT id, concat('{{"status":', to_json(status), ',"stage":', to_json(stage), '}}') AS json FROM {EVENTS}""",
     "event_change_log": f"""SELECT id, job_id, status, stage, progress, message FROM (SELECT *, row_number() OVER w AS r, lag(status) OVER w AS s, lag(stage) OVER w AS g, lag(progress) OVER w AS p, lag(message) OVER w AS m
         FROM {EVENTS} WINDOW w AS (PARTITION BY job_id ORDER BY id)) WHERE r = 1 OR s IS DISTINCT FROM status OR g IS DISTINCT FROM stage OR p IS DISTINCT FROM progress OR m IS DISTINCT FROM message""",
     "latest_event": f"SELECT job_id, max(id) AS id, arg_max(status, id) AS status, arg_max(stage, id) AS stage, arg_max(progress, id) AS progress FROM {EVENTS} GROUP BY job_id",
