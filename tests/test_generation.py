@@ -1,14 +1,19 @@
 import json
+import sys
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from loomtext.operators import generation as G
 from loomtext.operators.segments import estimate
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import the backends defined here
+
+
 @pytest.mark.parametrize("raw,want", [('noise {bad} {"a":1} x', {"a": 1}), ("[1, 2]", None), ('[{"b": {"c": 2}}]', {"b": {"c": 2}}), ("", None), (None, None), ('{"x": "}"}', {"x": "}"})])
 def test_first_object(raw, want):
     assert G.first_json_object(raw) == want
