@@ -123,4 +123,14 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_languages": p3_languages, "p3_segments": p3_segments, "p4_found": p4_found, "p5_found": p5_found, "p5_sources": p5_sources, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_items": p8_items, "p8_clean": p8_clean, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
-SQL = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+_WINDOWS = r"""SELECT DISTINCT {key}, array_to_string(ws[i:i + 9], ' ') AS g FROM (SELECT {key}, ws, unnest(range(1, len(ws) - 8)) AS i FROM (SELECT {key},
+    regexp_extract_all(replace(lower(regexp_replace(text, '[\x{{ad}}\x{{34f}}\x{{61c}}\x{{180e}}\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}-\x{{2064}}\x{{2066}}-\x{{206f}}\x{{fe00}}-\x{{fe0f}}\x{{feff}}]', '', 'g')), 'ß', 'ss'),
+    '[\p{{L}}\p{{N}}]+') AS ws FROM {table} WHERE text IS NOT NULL))"""
+_LEAKS = f"SELECT DISTINCT doc_id, item_id FROM ({_WINDOWS.format(key='doc_id', table='documents')}) JOIN ({_WINDOWS.format(key='item_id', table='eval_items')}) USING (g)"
+
+#: SQL on whole tables; the other problems are tested against brute force, round trips or held-out accuracy.
+SQL = {
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p8_found": _LEAKS,
+    "p8_items": f"SELECT item_id, count(*) AS documents FROM ({_LEAKS}) GROUP BY item_id",
+}
