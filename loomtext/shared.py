@@ -84,3 +84,9 @@ def sent_type(df: DataFrame, column: str) -> str:
 def returned(df: DataFrame, column: str, name: str) -> Column:
     """The key ``name`` back from Python, in the type and by the name that it has in ``df``."""
     return (F.col(name).cast(df.schema[column].dataType) if _as_text(df, column) else F.col(name)).alias(column)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan on its way to Python, over all cores where it comes in fewer partitions, as from one small file; else as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
