@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import returned, sent, sent_type, ship
+from ..shared import returned, sent, sent_type, ship, spread
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: how texts are cut into pieces before merging.
@@ -122,7 +122,7 @@ def encode_column(df: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_
         for b in batches:
             yield pd.DataFrame({"k": b["k"], "ids": [bpe.encode(t) for t in b["t"]]})
 
-    out = df.select(sent(df, key, "k"), F.col(text).alias("t")).mapInPandas(run, f"k {sent_type(df, key)}, ids array<int>")
+    out = spread(df.select(sent(df, key, "k"), F.col(text).alias("t"))).mapInPandas(run, f"k {sent_type(df, key)}, ids array<int>")
     return out.select(returned(df, key, "k"), "ids")
 
 

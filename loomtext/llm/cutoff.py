@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import durable, returned, sent, sent_type, ship
+from ..shared import durable, returned, sent, sent_type, ship, spread
 
 #: What may follow the place where a text stopped: blanks, signs, short notes in brackets, links, an ellipsis.
 _BEHIND = regex.compile(
@@ -69,7 +69,7 @@ def vocabulary(texts: DataFrame, text: str, flush: int = 200_000) -> DataFrame:
                 seen = {}
         yield pd.DataFrame(list(seen.items()), columns=["word", "n"])
 
-    counted = texts.select(F.col(text).alias("t")).where("t is not null").mapInPandas(run, "word string, n long")
+    counted = spread(texts.select(F.col(text).alias("t")).where("t is not null")).mapInPandas(run, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -98,7 +98,7 @@ def truncated(texts: DataFrame, keys: list[str], source: str, text: str, rendere
             out["shape"], out["last"] = [s for s, _ in seen], ["" if _HAS_DIGIT.search(w) else w for _, w in seen]
             yield out
 
-    seen = texts.select(*(sent(texts, c, c) for c in [*keys, source]), F.col(text).alias("t")).mapInPandas(look, f"{kinds}, n_chars int, shape string, last string").distinct()
+    seen = spread(texts.select(*(sent(texts, c, c) for c in [*keys, source]), F.col(text).alias("t"))).mapInPandas(look, f"{kinds}, n_chars int, shape string, last string").distinct()
     rows = durable(seen.select(*(returned(texts, c, c) for c in [*keys, source]), "n_chars", "shape", "last"))
 
     known = durable(vocabulary(texts, text))
@@ -120,7 +120,7 @@ def truncated(texts: DataFrame, keys: list[str], source: str, text: str, rendere
                 out["whole"] = [finished(stop_of(t)) for t in b["text"]]
                 yield out
 
-        ended = rendered.select(*(sent(rendered, c, c) for c in rendered_keys), "text").where("text is not null").mapInPandas(ends, f"{kinds_r}, whole boolean")
+        ended = spread(rendered.select(*(sent(rendered, c, c) for c in rendered_keys), "text").where("text is not null")).mapInPandas(ends, f"{kinds_r}, whole boolean")
         whole = ended.select(*(returned(rendered, c, c) for c in rendered_keys), "whole").groupBy(*rendered_keys).agg(F.max("whole").alias("whole"))
         rows = rows.join(whole, rendered_keys, "left")
     else:

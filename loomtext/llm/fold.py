@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import durable, returned, sent, sent_type, ship
+from ..shared import durable, returned, sent, sent_type, ship, spread
 
 #: Letters of one shape in two alphabets (Cyrillic, Greek and others, then the Latin letter).
 LOOKALIKES = (
@@ -239,7 +239,7 @@ def frequencies(texts: DataFrame, text: str) -> dict[str, int]:
                 total[c] = total.get(c, 0) + n
         yield pd.DataFrame(list(total.items()), columns=["c", "n"])
 
-    rows = texts.select(F.col(text).alias("t")).where("t is not null").mapInPandas(run, "c string, n long").groupBy("c").agg(F.sum("n").alias("n"))
+    rows = spread(texts.select(F.col(text).alias("t")).where("t is not null")).mapInPandas(run, "c string, n long").groupBy("c").agg(F.sum("n").alias("n"))
     return {r["c"]: r["n"] for r in rows.collect()}
 
 
@@ -257,7 +257,7 @@ def consistent_forms(texts: DataFrame, key: str, text: str, frequency: Mapping[s
         for b in batches:
             yield pd.DataFrame({"k": b["k"], "form": [None if t is None else fold(t) for t in b["t"]]})
 
-    out = texts.select(sent(texts, key, "k"), F.col(text).alias("t")).mapInPandas(run, f"k {sent_type(texts, key)}, form string")
+    out = spread(texts.select(sent(texts, key, "k"), F.col(text).alias("t"))).mapInPandas(run, f"k {sent_type(texts, key)}, form string")
     return out.select(returned(texts, key, "k"), "form")
 
 
@@ -279,7 +279,7 @@ def lookalike_pairs(texts: DataFrame, scope: str, key: str, text: str, frequency
             yield pd.DataFrame(rows, columns=["s", "k", "form", "raw"])
 
     seen = texts.select(sent(texts, scope, "s"), sent(texts, key, "k"), F.col(text).alias("t")).where("t is not null")
-    seen = seen.mapInPandas(run, f"s {sent_type(texts, scope)}, k {sent_type(texts, key)}, form binary, raw binary").distinct()
+    seen = spread(seen).mapInPandas(run, f"s {sent_type(texts, scope)}, k {sent_type(texts, key)}, form binary, raw binary").distinct()
     seen = seen.select(returned(texts, scope, "s").alias("s"), returned(texts, key, "k").alias("k"), "form", "raw")
     kept = durable(seen)  # read four times below
     several = kept.groupBy("s", "form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo < hi").select("s", "form")

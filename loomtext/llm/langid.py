@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import returned, sent, sent_type, ship
+from ..shared import returned, sent, sent_type, ship, spread
 from .fold import Folder
 
 LANGUAGES = ("ar", "en", "fa")
@@ -198,7 +198,7 @@ def fit(labelled: DataFrame, label: str, text: str, sample: int = SAMPLE_SENTENC
         rows = [(h, lang, letters) for h, s, lang in sorted(set(kept))[:sample] if len(letters := letters_of(s, fold)) >= 12]
         yield pd.DataFrame(rows, columns=["h", "lang", "s"])
 
-    found = labelled.select(F.col(label).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null").mapInPandas(run, "h long, lang string, s string")
+    found = spread(labelled.select(F.col(label).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null")).mapInPandas(run, "h long, lang string, s string")
     rows = found.orderBy("h", "s", "lang").limit(sample).collect()
     return train([r["s"] for r in rows], [r["lang"] for r in rows])
 
@@ -267,7 +267,7 @@ def detect_languages(df: DataFrame, key: str, text: str, label: str, model: Lang
             yield pd.DataFrame({"k": b["k"], "lang": [j[0] for j in judged], "confidence": [j[1] for j in judged], "named": [named_language(x) for x in b["l"]], "langs": [j[2] for j in judged]})
 
     rows = df.select(sent(df, key, "k"), F.col(text).alias("t"), F.col(label).alias("l")).where("t is not null")
-    found = rows.mapInPandas(run, f"k {sent_type(df, key)}, lang string, confidence double, named string, langs array<string>").dropDuplicates(["k"])
+    found = spread(rows).mapInPandas(run, f"k {sent_type(df, key)}, lang string, confidence double, named string, langs array<string>").dropDuplicates(["k"])
     return found.select(returned(df, key, "k"), "lang", "confidence", "named", "langs")
 
 
@@ -284,7 +284,7 @@ def segment_languages(df: DataFrame, key: str, text: str, model: LanguageModel)
             yield pd.DataFrame(rows, columns=["k", "start_pos", "end_pos", "lang", "confidence", "words"])
 
     rows = df.select(sent(df, key, "k"), F.col(text).alias("t")).where("t is not null")
-    found = rows.mapInPandas(run, f"k {sent_type(df, key)}, start_pos long, end_pos long, lang string, confidence double, words int")
+    found = spread(rows).mapInPandas(run, f"k {sent_type(df, key)}, start_pos long, end_pos long, lang string, confidence double, words int")
     return found.dropDuplicates(["k", "start_pos"]).select(returned(df, key, "k"), "start_pos", "end_pos", "lang", "confidence", "words")
 
 

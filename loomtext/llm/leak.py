@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import returned, sent, sent_type, ship
+from ..shared import returned, sent, sent_type, ship, spread
 
 #: Characters of no width, removed before words are cut.
 NO_WIDTH = dict.fromkeys([0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF])
@@ -162,6 +162,7 @@ def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_ke
     spark = corpus.sparkSession
     ship(spark)
     schema = f"k {sent_type(corpus, key)}, item_id {items.schema[item_key].dataType.simpleString()}, windows long"
+    scan = spread(corpus.select(sent(corpus, key, "k"), F.col(text).alias("t")).where(F.col("t").isNotNull()))
     found = None
     for automaton in blocks(items, item_key, item_text, min_words, block_words):
         shared = spark.sparkContext.broadcast(automaton)
@@ -172,7 +173,7 @@ def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_ke
                 rows = [(k, i, n) for k, t in zip(b["k"], b["t"]) if t for i, n in a.items_in(words_of(t)).items()]
                 yield pd.DataFrame(rows, columns=["k", "item_id", "windows"])
 
-        part = corpus.select(sent(corpus, key, "k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).mapInPandas(run, schema)
+        part = scan.mapInPandas(run, schema)
         found = part if found is None else found.unionAll(part)
     if found is None:
         found = spark.createDataFrame([], schema)
@@ -211,5 +212,5 @@ def remove_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_
             rows = [clean(t) for t in b["t"]]
             yield pd.DataFrame({"k": b["k"], "text": [r[0] for r in rows], "removed_words": [r[1] for r in rows], "dropped": [r[2] for r in rows]})
 
-    out = corpus.select(sent(corpus, key, "k"), F.col(text).alias("t")).mapInPandas(run, f"k {sent_type(corpus, key)}, text string, removed_words int, dropped boolean")
+    out = spread(corpus.select(sent(corpus, key, "k"), F.col(text).alias("t"))).mapInPandas(run, f"k {sent_type(corpus, key)}, text string, removed_words int, dropped boolean")
     return out.select(returned(corpus, key, "k"), "text", "removed_words", "dropped")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..shared import returned, sent, sent_type, ship
+from ..shared import returned, sent, sent_type, ship, spread
 from .cutoff import finished, stop_of
 from .fold import Folder
 
@@ -196,7 +196,7 @@ def learn_stopwords(pairs: DataFrame, language: str, text: str, top: int = STOPW
                 seen = {}
         yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["l", "w", "n"])
 
-    counts = pairs.select(F.col(language).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null").mapInPandas(run, "l string, w string, n long")
+    counts = spread(pairs.select(F.col(language).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null")).mapInPandas(run, "l string, w string, n long")
     counts = counts.groupBy("l", "w").agg(F.sum("n").alias("n"))
     all_words = Window.partitionBy("l")
     ranked = counts.withColumn("share", F.col("n") / F.sum("n").over(all_words)).withColumn("place", F.row_number().over(all_words.orderBy(F.desc("n"), "w"))).where(F.col("place") <= top)
@@ -223,5 +223,5 @@ def defective_pairs(pairs: DataFrame, key: str, source: str, target: str, source
             rows = [(k, d) for k, s, t, w in zip(b["k"], b["s"], b["t"], b["w"]) if (d := judge.defect(s, t, w))]
             yield pd.DataFrame(rows, columns=["k", "defect"])
 
-    found = pairs.select(sent(pairs, key, "k"), F.col(source).alias("s"), F.col(target).alias("t"), F.col(target_language).alias("w")).mapInPandas(run, f"k {sent_type(pairs, key)}, defect string")
+    found = spread(pairs.select(sent(pairs, key, "k"), F.col(source).alias("s"), F.col(target).alias("t"), F.col(target_language).alias("w"))).mapInPandas(run, f"k {sent_type(pairs, key)}, defect string")
     return found.groupBy("k").agg(F.min("defect").alias("defect")).select(returned(pairs, key, "k"), "defect")

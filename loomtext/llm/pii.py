@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import returned, sent, sent_type, ship
+from ..shared import returned, sent, sent_type, ship, spread
 
 KINDS = ("none", "email", "phone", "identity_number", "address", "name")
 NONE, EMAIL, PHONE, IDENTITY, ADDRESS, NAME = range(len(KINDS))
@@ -60,6 +61,7 @@ _EMAIL = regex.compile(
     r"[\p{L}\p{N}][\p{L}\p{N}-]*(?:(?:\.|．|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+(?:dot|DOT)\s+)[\p{L}\p{N}-]+)+",
     regex.I,
 )
+_EMAIL_SIGN = regex.compile(r"[@＠﹫]|[\[({<]\s*at\s*[\])}>]|\s(?:dot|DOT)\s", regex.I)
 _NUMBER = regex.compile(rf"(?<![\p{{L}}\p{{N}}_#/:.,-])(?:[+＋]\s?|\()?{_D}+(?:\s?\)\s?|(?:[    .()/–-]{{0,2}}[(]?|\n(?={_D}{{3}})){_D}+)*(?![\p{{L}}\p{{N}}_/:]|[.,]\p{{N}})")
 _CODE = regex.compile(rf"(?<![\p{{L}}\p{{N}}])[A-Z]{{1,3}}\s?{_D}{{2,}}(?:\s?{_D}+){{0,4}}(?:\s?[A-Z])?(?![\p{{L}}\p{{N}}])")
 _STREET = "|".join(sorted({w.capitalize() for w in STREETS}, key=len, reverse=True))
@@ -92,6 +94,7 @@ class Mention:
     sure: int | None = None  # label of an unmistakable context
 
 
+@lru_cache(maxsize=1 << 17)
 def norm_word(w: str) -> str:
     w = w.replace("’", "'")
     return (w[:-2] if w.endswith(("'s", "'S")) else w).casefold()
@@ -144,7 +147,7 @@ class Proposer:
     def __call__(self, text: str) -> list[Mention]:
         taken: list[tuple[int, int]] = []
         out: list[Mention] = []
-        for m in _EMAIL.finditer(text):
+        for m in _EMAIL.finditer(text) if _EMAIL_SIGN.search(text) else ():
             if not m.group()[-2:].isalpha():
                 continue
             out.append(self._mention(text, m.start(), m.end(), (EMAIL,), ["email", "sign:" + ("@" if "@" in m.group() else "other")], ("e" + regex.sub(r"\W", "", m.group().casefold()),), EMAIL))
@@ -224,9 +227,13 @@ class Proposer:
 
     def _names(self, text: str, taken: list[tuple[int, int]]) -> list[Mention]:
         given, common = self.lex.given, self.lex.common
-        tokens = [(m.group(), m.start(), m.end()) for m in WORD.finditer(text) if not _hit(taken, m.start(), m.end())]
-        n, i, out = len(tokens), 0, []
+        tokens = [(m.group(), *m.span()) for m in WORD.finditer(text)]
+        if taken:
+            tokens = [t for t in tokens if not _hit(taken, t[1], t[2])]
+        n, out = len(tokens), []
         lower = [norm_word(t) for t, _, _ in tokens]
+        before = ["", *lower]
+        may = [i for i, t in enumerate(tokens) if t[0][0].isupper() or lower[i] in given or before[i] in _TITLE_SET or before[i] == "،"]  # no name begins elsewhere
 
         def near(j: int) -> bool:
             """Token j follows the one before it closely: on this line or the next."""
@@ -249,9 +256,11 @@ class Proposer:
         def initial(j: int) -> bool:
             return j + 1 < n and len(tokens[j][0]) == 1 and tokens[j][0].isupper() and tokens[j + 1][0] == "." and tokens[j + 1][1] == tokens[j][2]
 
-        while i < n:
-            w = tokens[i][0]
-            first = w[0]
+        done = 0
+        for i in may:
+            if i < done:
+                continue
+            first = tokens[i][0][0]
             if first.isupper():
                 j = i + 1
                 kind = ""
@@ -274,15 +283,12 @@ class Proposer:
                             kind, fam, giv, j = "turned", i, i + 2, i + 2
                 if kind:
                     out.append(self._name(text, tokens, lower, i, j, kind, fam, giv, given))
-                    i = j + 1
-                    continue
+                    done = j + 1
             elif _ARABIC.match(first):
                 title = i > 0 and near(i) and (lower[i - 1] in _TITLE_SET or (lower[i - 1] == "،" and i > 1 and lower[i - 2] == "ما"))
                 if (title or lower[i] in given) and near(i + 1) and _ARABIC.match(tokens[i + 1][0]) and lower[i + 1] not in common and lower[i + 1] not in given and len(lower[i + 1]) >= 4 and lower[i] not in _TITLE_SET:
                     out.append(self._name(text, tokens, lower, i, i + 1, "titled" if title else "listed", i + 1, i, given))
-                    i += 2
-                    continue
-            i += 1
+                    done = i + 2
         return out
 
     def _name(self, text: str, tokens: list, lower: list[str], i: int, j: int, kind: str, fam: int, giv: int | None, given: frozenset[str]) -> Mention:
@@ -453,7 +459,7 @@ def common_words(documents: DataFrame, text: str, given: frozenset[str], top: in
                 seen = {}
         yield pd.DataFrame([(w, *c) for w, c in seen.items()], columns=["w", "n", "free"])
 
-    counts = documents.select(F.col(text).alias("t")).where("t is not null").mapInPandas(run, "w string, n long, free long")
+    counts = spread(documents.select(F.col(text).alias("t")).where("t is not null")).mapInPandas(run, "w string, n long, free long")
     counts = counts.groupBy("w").agg(F.sum("n").alias("n"), F.sum("free").alias("free")).where("free >= 0.3 * n and free > 0")
     return frozenset(r["w"] for r in counts.orderBy(F.desc("free"), "w").limit(top).select("w").collect())
 
@@ -492,7 +498,7 @@ def find_personal(documents: DataFrame, key: str, text: str, lexicon: Lexicon, m
                 rows += [(k, KINDS[y], m.start, m.end) for m, y in zip(found, crf.label(found)) if y != NONE]
             yield pd.DataFrame(rows, columns=["k", "kind", "start_pos", "end_pos"])
 
-    found = documents.select(sent(documents, key, "k"), F.col(text).alias("t")).where("t is not null").mapInPandas(run, f"k {sent_type(documents, key)}, kind string, start_pos int, end_pos int")
+    found = spread(documents.select(sent(documents, key, "k"), F.col(text).alias("t")).where("t is not null")).mapInPandas(run, f"k {sent_type(documents, key)}, kind string, start_pos int, end_pos int")
     return found.distinct().select(returned(documents, key, "k"), "kind", "start_pos", "end_pos")
 
 
@@ -515,5 +521,5 @@ def redact(documents: DataFrame, key: str, text: str, lexicon: Lexicon, model: S
                 texts.append(t)
             yield pd.DataFrame({"k": b["k"], "text": texts})
 
-    out = documents.select(sent(documents, key, "k"), F.col(text).alias("t")).mapInPandas(run, f"k {sent_type(documents, key)}, text string")
+    out = spread(documents.select(sent(documents, key, "k"), F.col(text).alias("t"))).mapInPandas(run, f"k {sent_type(documents, key)}, text string")
     return out.select(returned(documents, key, "k"), "text")
