@@ -24,7 +24,7 @@ RTL = ("fa", "ar")
 
 def strip(c: Column) -> Column:
     """White space off both ends, as Python's ``strip``."""
-    return F.regexp_replace(c, rf"(?U)\A{S}+|{S}+\z", "")
+    return F.regexp_replace(c, rf"(?U)\A{S}++|(?<!{S}){S}++\z", "")
 
 
 def is_blank(c: Column) -> Column:

@@ -27,7 +27,7 @@ HALO = 256
 _PLACES = (
     regex.compile(r"\r?\n(?:[ \t]*\r?\n)+"),
     regex.compile(r"\r?\n"),
-    regex.compile(r"[.!?؟…。！？]+[\"'”’»)\]]*\s+"),
+    regex.compile(r"(?<![.!?؟…。！？])[.!?؟…。！？]++[\"'”’»)\]]*\s+"),
     regex.compile(r"[,;:،؛]\s+"),
     regex.compile(r"\s+"),
 )
