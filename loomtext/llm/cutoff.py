@@ -23,8 +23,9 @@ _BEHIND = regex.compile(
     r"(?:[\s\p{Cf}\p{Cc}�\p{So}\p{Sk}\p{EMod}️]|\[[^\[\]\n]{0,40}\]|\([^()\n]{0,40}\)|<[^<>\n]{0,40}>|\{[^{}\n]{0,40}\}"
     r"|(?:https?://|www\.)\S+|…|\.\.+|(?<=\s)[—–*†‡|]|(?<=[.!?؟。][\"'”’»)\]]*\s)\p{N}{1,3})+\Z"
 )
+_TAIL = 4096
 _FINISHED = regex.compile(r"[.!?؟。！？۔][\"'”’»)\]]*\Z")
-_SENTENCE_BEFORE = regex.compile(r"[\p{L}\p{M}]{2,}[\"'”’»)\]]*[.!?؟。۔][\"'”’»)\]]*\s")
+_SENTENCE_BEFORE = regex.compile(r"[\p{L}\p{M}]{2}[\"'”’»)\]]*[.!?؟。۔][\"'”’»)\]]*\s")
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[‌'’-][\p{L}\p{M}\p{N}]+)*")
 _HAS_DIGIT = regex.compile(r"\p{N}")
 
@@ -36,6 +37,11 @@ def stop_of(text: str) -> str:
     """The text up to the place where it stopped."""
     if text and text[-1].isalnum() and "://" not in text[text.rfind(" ") + 1 :] and not _HAS_DIGIT.match(text[-1]):
         return text
+    while len(text) > _TAIL:  # a window at a time: the pattern is searched for from every place
+        kept = _BEHIND.sub("", text[-_TAIL:])
+        text = text[:-_TAIL] + kept
+        if kept:
+            return text
     return _BEHIND.sub("", text)
 
 

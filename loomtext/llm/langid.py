@@ -42,9 +42,9 @@ NAMES = {
 PLACEHOLDERS = frozenset("und undetermined auto automatic autodetect detect unknown none null nil na nan n/a tbd todo any all mul mis zxx xx xxx zz other undefined default unspecified empty missing lang language ?".split())
 _CODES = {code: lang for lang, codes in NAMES.items() for code in codes.split()}
 
-_BREAK = regex.compile(r"\s*[\r\n  ]+\s*|(?<=[.!?؟。！？۔][\"'”’»)\]]*)\s+")
+_BREAK = regex.compile(r"(?<!\s)[^\S\r\n  ]*+[\r\n  ]\s*+|(?<=[.!?؟。！？۔][\"'”’»)\]]*)(?<!\s)\s++")
 _ENDED = regex.compile(r"[.!?؟。！？۔][\"'”’»)\]]*\s*\Z")
-_NOT_TEXT = regex.compile(r"(?:https?://|www\.)\S+|\S+@\S+|\b(?=\S*[a-zA-Z])(?=\S*[0-9])[A-Za-z0-9]{6,}\b|\b[A-Za-z0-9]{25,}\b|\p{N}+")
+_NOT_TEXT = regex.compile(r"(?:https?://|www\.)\S+|(?<!\S)\S+@\S+|\b(?=\S*[a-zA-Z])(?=\S*[0-9])[A-Za-z0-9]{6,}\b|\b[A-Za-z0-9]{25,}\b|\p{N}+")
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}‌]+")
 
 

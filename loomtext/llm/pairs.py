@@ -45,7 +45,7 @@ COPIED = 0.8  # share of the prompt's letters
 STOPWORDS = 5000  # learned for each language
 _INVISIBLE = regex.compile(r"[\s\p{C}\p{Z}\p{M}ㅤ⠀]+")
 _NOT_LETTERS = regex.compile(r"[^\p{L}]+")
-_NOT_TEXT = regex.compile(r"(?:https?://|www\.)\S+|\S*@\S+|\b(?=[^\s]*[a-z][^\s]*[A-Z0-9]|[^\s]*[0-9][^\s]*[a-zA-Z])[A-Za-z0-9]{10,}\b")
+_NOT_TEXT = regex.compile(r"(?:https?://|www\.)\S+|(?<!\S)\S*@\S+|\b(?=[A-Za-z0-9]{10})[A-Za-z0-9]*?(?:[a-z][A-Z0-9]|[0-9][A-Za-z])[A-Za-z0-9]*")
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _SPACES = re.compile("[\\s‌]+")
 _CLOSES = {"»": "«", "”": "“", ")": "(", "]": "["}

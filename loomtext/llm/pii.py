@@ -53,6 +53,7 @@ PHONE_WORDS = "call tel telephone phone mobile cell whatsapp fax number reached
 IDENTITY_WORDS = "passport identity national social security id card ssn ملی شناسنامه کدملی گذرنامه پاسپورت الوطني الهوية هوية جواز".split()
 OTHER_NUMBER_WORDS = "invoice part isbn issn version iso flight ticket order article book reference فاکتور سفارش کتاب مقاله پرواز الفاتورة الطلب الكتاب المقال الرحلة".split()
 
+_FREE_WORD = regex.compile(r"(?<![\w@.+%_＠-])\p{L}[\p{L}\p{M}]*(?:['’‌-]\p{L}[\p{L}\p{M}]*)*(?![\w@_+%＠-]|\.\p{L})")
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’‌-]\p{L}[\p{L}\p{M}]*)*|\p{N}+|[^\s\p{L}\p{N}]")
 _D = r"[0-9۰-۹٠-٩]"
 _EMAIL = regex.compile(
@@ -73,10 +74,10 @@ _ADDRESS_EN = regex.compile(
 )
 _WORD_FA = r"[\p{L}\p{M}‌]+"
 _ADDRESS_FA = regex.compile(
-    rf"(?:(?P<city>{_WORD_FA})،\s+)?(?P<first>(?<!\p{{L}})(?:خیابان|بلوار|کوچه|میدان|محله|کوی|بزرگراه)\s+{_WORD_FA}(?:\s+{_WORD_FA})?(?:،\s+(?:خیابان|بلوار|کوچه|میدان|محله|کوی|بن‌بست)\s+{_WORD_FA}(?:\s+{_WORD_FA})?)*،\s+(?:پلاک|شماره)\s+{_D}+(?:،\s+(?:واحد|طبقه)\s+{_D}+)*)"
+    rf"(?:(?<![\p{{L}}\p{{M}}\u200c])(?P<city>{_WORD_FA})،\s+)?(?P<first>(?<!\p{{L}})(?:خیابان|بلوار|کوچه|میدان|محله|کوی|بزرگراه)\s+{_WORD_FA}(?:\s+{_WORD_FA})?(?:،\s+(?:خیابان|بلوار|کوچه|میدان|محله|کوی|بن‌بست)\s+{_WORD_FA}(?:\s+{_WORD_FA})?)*،\s+(?:پلاک|شماره)\s+{_D}+(?:،\s+(?:واحد|طبقه)\s+{_D}+)*)"
 )
 _ADDRESS_AR = regex.compile(
-    rf"(?:(?P<city>(?:{_WORD_FA}\s+)?{_WORD_FA})،\s+)?(?P<first>(?:{_D}+\s+(?=شارع|جادة))?(?<!\p{{L}})(?:شارع|حي|طريق|جادة|ساحة|ميدان|زقاق)\s+{_WORD_FA}(?:\s+ال{_WORD_FA})?(?:،\s+(?:شارع|مبنى|عمارة|رقم|شقة|بناية|طابق|الدور)\s+{_WORD_FA})?(?:،\s+(?:مبنى|عمارة|رقم|شقة|بناية|طابق|الدور)\s+{_D}+)*(?:،\s+(?!رقم|هوية|بطاقة|جواز){_WORD_FA}\s+ال{_WORD_FA})?)"
+    rf"(?:(?<![\p{{L}}\p{{M}}\u200c])(?P<city>(?:{_WORD_FA}\s+)?{_WORD_FA})،\s+)?(?P<first>(?:{_D}+\s+(?=شارع|جادة))?(?<!\p{{L}})(?:شارع|حي|طريق|جادة|ساحة|ميدان|زقاق)\s+{_WORD_FA}(?:\s+ال{_WORD_FA})?(?:،\s+(?:شارع|مبنى|عمارة|رقم|شقة|بناية|طابق|الدور)\s+{_WORD_FA})?(?:،\s+(?:مبنى|عمارة|رقم|شقة|بناية|طابق|الدور)\s+{_D}+)*(?:،\s+(?!رقم|هوية|بطاقة|جواز){_WORD_FA}\s+ال{_WORD_FA})?)"
 )
 _ASCII = str.maketrans("۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789")
 _ARABIC = regex.compile(r"\p{Script=Arabic}")
@@ -106,10 +107,6 @@ class Lexicon:
     common: frozenset[str] = field(default_factory=frozenset)
 
 
-def _is_title(w: str) -> bool:
-    return w in _TITLE_SET
-
-
 _TITLE_SET = frozenset(w.rstrip("،") for words in TITLES.values() for w in words if not w.endswith("،"))
 
 
@@ -126,16 +123,19 @@ def free_words(text: str, given: frozenset[str]) -> Iterator[tuple[str, bool]]:
     """Words of a text, and whether each stands free: in lower case or at the start of a sentence, or in Arabic script not
     just after a title or given name."""
     last = 9
-    for m in regex.finditer(r"(?<![\w@.+%_＠-])\p{L}[\p{L}\p{M}]*(?:['’‌-]\p{L}[\p{L}\p{M}]*)*(?![\w@_+%＠-]|\.\p{L})", text):
-        w = norm_word(m.group())
-        if _ARABIC.match(w):
+    for m in _FREE_WORD.finditer(text):
+        raw = m.group()
+        w = norm_word(raw)
+        if "\u0600" <= w[0] <= "\u08ff":
             last += 1
             yield w, last > 2
-            if _is_title(w) or w == "ما" or w in given:
-                last = 0 if _is_title(w) or w == "ما" else min(last, 1)
+            if w in _TITLE_SET or w == "ما":
+                last = 0
+            elif w in given:
+                last = min(last, 1)
         else:
             last = 9
-            yield w, m.group()[0].islower() or (text[m.end() : m.end() + 1] != "," and _begins_sentence(text, m.start()))
+            yield w, raw[0].islower() or (text[m.end() : m.end() + 1] != "," and _begins_sentence(text, m.start()))
 
 
 class Proposer:
