@@ -10,7 +10,7 @@ from ..functions import pytext as P
 
 BLOCKING = ("empty", "numbers", "urls", "emails", "placeholder")
 #: A glossary of up to so many terms is sent to every executor; a larger one is joined by its terms' first characters.
-BROADCAST_TERMS = 20_000
+BROADCAST_TERMS = 500
 
 
 def quality_flags(source: Column, target: Column, language: Column) -> Column:

@@ -130,7 +130,7 @@ SQL = {
         WHERE pos < 4 OR pos >= n - 4 OR (n > 8 AND pos IN (n // 2, n // 2 - 1)) GROUP BY doc_id""",
     "context_window": f"""SELECT doc_id, unit_id, CAST(chars AS BIGINT) AS chars FROM (SELECT doc_id, unit_id, sum(length(text) + length(array_to_string(f.segments, '')) + {CONTEXT_FIXED}) OVER (PARTITION BY doc_id ORDER BY ord DESC) AS chars
         FROM {UNITS} u JOIN {stage('finals')} f USING (doc_id, unit_id)) WHERE chars <= {CONTEXT_CHARS}""",
-    "reassemble_units": f"SELECT doc_id, unit_id, to_json(segments) AS segments FROM {UNITS} WHERE len(segments) > 0",
+    "reassemble_units": f"SELECT doc_id, unit_id, CAST(to_json(segments) AS VARCHAR) AS segments FROM {UNITS} WHERE len(segments) > 0",
     "protect_roundtrip": "SELECT doc_id, text FROM documents WHERE text IS NOT NULL",
     "memory_keys": f"SELECT {KEYS}, sha256(concat('7:upper-1', '0:', '2:en', '2:fa', length(text), ':', text)) AS cache_key FROM {UNITS} WHERE {nonblank('text')}",
     "memory_dedup": f"SELECT sha256(concat('7:upper-1', '0:', '2:en', '2:fa', length(text), ':', text)) AS cache_key, count(*) AS units FROM {UNITS} WHERE {nonblank('text')} GROUP BY 1",
