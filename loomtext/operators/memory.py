@@ -12,6 +12,27 @@ from pyspark.sql import functions as F
 from ..shared import ship
 from .segments import estimate, pieces_under_budget
 
+
+def _one_case() -> dict[int, str]:
+    """Characters that may match each other where case does not count, each to one of them."""
+    lead: dict[str, str] = {}
+
+    def find(c: str) -> str:
+        while lead.setdefault(c, c) != c:
+            c = lead[c]
+        return c
+
+    for c in (c for c in map(chr, range(0x20000)) if not c.lower() == c.upper() == c.casefold()):
+        for d in (c.lower(), c.upper(), c.title(), c.casefold(), *("iıİ" if c == "I" else "")):
+            a, b = sorted((find(c), find(d)), key=lambda x: (len(x), x))
+            lead[b] = a
+    return {ord(c): find(c) for c in lead if len(c) == 1 and find(c) != c}
+
+
+_ONE_CASE = _one_case()
+#: Terms of a table are found by so many characters that they begin with.
+TERM_PREFIX = 3
+
 _IMMUTABLE = r"https?://[^\s<>()]+|[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}|(?<![\p{L}\p{N}_])[+\-−]?[0-9٠-٩۰-۹](?:[0-9٠-٩۰-۹,٬.٫/⁄:：\-]*[0-9٠-٩۰-۹])?(?![\p{L}\p{N}_])"
 
 
@@ -70,17 +91,40 @@ def cache_key(text: Column, source_language: Column, target_language: Column, ba
     return F.sha2(F.concat(*(part(F.coalesce(c, F.lit(""))) for c in (F.lit(backend), F.lit(terms), source_language, target_language, text))), 256)
 
 
-def translate_distinct(texts: DataFrame, backend: Callable[[], object] = UpperBackend, terms: Sequence[tuple[str, str]] = (), limit: int = 420, batch: int = 8) -> DataFrame:
+def _starts(text: str) -> list[str]:
+    """What a term of a text may begin with."""
+    t = text.translate(_ONE_CASE)
+    return list({t[i : i + n] for n in range(1, TERM_PREFIX + 1) for i in range(len(t) - n + 1)})
+
+
+def with_own_terms(distinct: DataFrame, terms: DataFrame) -> DataFrame:
+    """``distinct`` and ``own``, the terms (source, target) that occur in each text: found by an equi-join on what a term
+    begins with, so the terms are never sent along as a whole."""
+    one_case = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else x.translate(_ONE_CASE)), "string")
+    starts = F.pandas_udf(lambda s: s.map(lambda x: _starts(x or "")), "array<string>")
+    t = terms.select("source", "target", one_case("source").alias("_find")).withColumn("_start", F.substring("_find", 1, TERM_PREFIX))
+    begun = distinct.select("cache_key", F.explode(starts("text")).alias("_start")).join(t, "_start").drop("_start")
+    held = begun.join(distinct.select("cache_key", one_case("text").alias("_in")), "cache_key").where(F.col("_in").contains(F.col("_find")))
+    own = held.groupBy("cache_key").agg(F.sort_array(F.collect_set(F.struct("source", "target"))).alias("own"))
+    return distinct.join(own, "cache_key", "left")
+
+
+def translate_distinct(texts: DataFrame, backend: Callable[[], object] = UpperBackend, terms: Sequence[tuple[str, str]] | DataFrame = (), limit: int = 420, batch: int = 8) -> DataFrame:
     """(cache_key, translation) of distinct (cache_key, text, language): each text goes to the model once.
 
     Spans are protected before and restored after; a text above ``limit`` tokens goes in pieces whose results, stripped,
-    are joined by a space.  Blank texts come back as they are."""
+    are joined by a space.  Blank texts come back as they are.  ``terms`` may be a table (source, target) of any size."""
     ship(texts.sparkSession)
+    distinct = texts.select("cache_key", "text", "language").dropDuplicates(["cache_key"])
+    looked_up = isinstance(terms, DataFrame)
+    if looked_up:
+        distinct, terms = with_own_terms(distinct, terms), ()
     terms = list(terms)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, protector = backend(), Protector(terms)
         for b in batches:
+            own = b["own"] if looked_up else [None] * len(b)
             out: dict[int, str] = {}
             waiting: dict[str, list[tuple[int, str, dict[str, str]]]] = {}
 
@@ -89,11 +133,11 @@ def translate_distinct(texts: DataFrame, backend: Callable[[], object] = UpperBa
                 for (i, _, held), value in zip(block, model.translate([x for _, x, _ in block], lang)):
                     out[i] = protector.restore(value, held)
 
-            for i, (t, lang) in enumerate(zip(b["text"], b["language"])):
+            for i, (t, lang, some) in enumerate(zip(b["text"], b["language"], own)):
                 if not t or not t.strip():
                     out[i] = t
                     continue
-                safe, held = protector.protect(t)
+                safe, held = (protector if some is None else Protector([(x["source"], x["target"]) for x in some])).protect(t)
                 if estimate(safe) > limit:
                     parts = pieces_under_budget(safe, max(64, limit - 12))
                     done = [x for k in range(0, len(parts), batch) for x in model.translate(parts[k : k + batch], lang)]
@@ -106,11 +150,10 @@ def translate_distinct(texts: DataFrame, backend: Callable[[], object] = UpperBa
                 flush(lang)
             yield pd.DataFrame({"cache_key": b["cache_key"], "translation": [out[i] for i in range(len(b))]})
 
-    distinct = texts.select("cache_key", "text", "language").dropDuplicates(["cache_key"])
     return distinct.mapInPandas(run, "cache_key string, translation string")
 
 
-def through_memory(items: DataFrame, memory: DataFrame | None, backend: Callable[[], object] = UpperBackend, terms: Sequence[tuple[str, str]] = ()) -> tuple[DataFrame, DataFrame]:
+def through_memory(items: DataFrame, memory: DataFrame | None, backend: Callable[[], object] = UpperBackend, terms: Sequence[tuple[str, str]] | DataFrame = ()) -> tuple[DataFrame, DataFrame]:
     """(items with ``translation``, new memory): known keys are looked up, distinct others translated, both joined back."""
     if memory is None:
         memory = items.sparkSession.createDataFrame([], "cache_key string, translation string")

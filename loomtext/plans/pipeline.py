@@ -32,10 +32,28 @@ def polish(text: Column) -> Column:
     return F.translate(text, "كي", "کی")
 
 
-def draft(units: DataFrame, source_language: str, target_language: str, backend: Callable[[], object] = UpperBackend, terms: Sequence[tuple[str, str]] = (), memory: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def few_terms(terms: DataFrame) -> list[tuple[str, str]] | DataFrame:
+    """The pairs (source, target) where they are few enough to be sent along, else the table."""
+    few = terms.select("position", "source", "target").limit(qa.BROADCAST_TERMS + 1).collect()
+    return terms if len(few) > qa.BROADCAST_TERMS else [(r["source"], r["target"]) for r in sorted(few)]
+
+
+def terms_digest(terms: DataFrame) -> str:
+    """A digest of a table of terms, whatever their order: the sums of four parts of each term's digest."""
+    own = F.sha2(F.concat(F.length("source").cast("string"), F.lit(":"), "source", "target"), 256)
+    parts = [F.sum(F.conv(F.substring(own, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(4)]
+    return "terms " + terms.agg(F.concat_ws(" ", F.count("*").cast("string"), *parts).alias("d")).first()["d"]
+
+
+def draft(units: DataFrame, source_language: str, target_language: str, backend: Callable[[], object] = UpperBackend, terms: Sequence[tuple[str, str]] | DataFrame = (), memory: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(stage, memory): drafts of the units.  A unit with protected segments is translated segment by segment, any other as
-    a whole and spread over its segments; equal texts are translated once."""
-    tag = "|".join(f"{s}\x1f{t}" for s, t in terms)
+    a whole and spread over its segments; equal texts are translated once.
+
+    ``terms``: locked terms, as pairs or as the table of :func:`~loomtext.operators.qa.locked_terms`; each comes out as its
+    target.  A table of few terms (counted) is sent along; of a larger one, each text gets the terms that occur in it."""
+    if isinstance(terms, DataFrame):
+        terms = few_terms(terms)
+    tag = terms_digest(terms) if isinstance(terms, DataFrame) else "|".join(f"{s}\x1f{t}" for s, t in terms)
     apart = (F.size("protected") > 0) & (F.size("segments") > 1)
     whole = units.where(~F.coalesce(apart, F.lit(False))).select(*KEY, F.lit(-1).alias("k"), F.array_join("segments", "").alias("text"))
     single = units.where(apart).select(*KEY, F.posexplode("segments").alias("k", "text"))
@@ -70,7 +88,7 @@ def run(units: DataFrame, source_language: str, target_language: str, glossary:
         raise ValueError("two different languages of fa, ar and en are needed")
     work = units.where(~P.is_blank(F.array_join("segments", "")))
     terms = durable(qa.locked_terms(glossary))
-    drafts = durable(draft(work, source_language, target_language, backend)[0])
+    drafts = durable(draft(work, source_language, target_language, backend, terms)[0])
     if mode == "fast":
         flagged = issues(work, drafts, target_language, terms).select(*KEY)
         finals = _edit(drafts.join(flagged, KEY, "left_semi"), reviewer).unionByName(drafts.join(flagged, KEY, "left_anti"))

@@ -272,7 +272,7 @@ def overlay_merge(spark, sf_dir):
 
 
 def draft_translate(spark, sf_dir):
-    out, _ = pipeline.draft(durable(_nonblank(spark, sf_dir)), *LANGUAGES)
+    out, _ = pipeline.draft(durable(_nonblank(spark, sf_dir)), *LANGUAGES, terms=durable(terms(spark, sf_dir)))
     return out.select("doc_id", "unit_id", F.array_join("segments", "").alias("text"))
 
 
