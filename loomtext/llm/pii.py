@@ -22,12 +22,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import returned, sent, sent_type, ship, spread
+from ..shared import durable, returned, sent, sent_type, ship, spread
 
 KINDS = ("none", "email", "phone", "identity_number", "address", "name")
 NONE, EMAIL, PHONE, IDENTITY, ADDRESS, NAME = range(len(KINDS))
 
-#: Bounds: documents of the training sample (in the order of a hash of their text), words of the list of common words.
+#: Bounds: documents of the training sample (in the order of a hash of their text); a list of common words of up to so many
+#: is sent along, of a longer one each text gets its own words.
 SAMPLE_DOCUMENTS = 3_000
 COMMON_WORDS = 50_000
 BUCKETS = 1 << 17
@@ -105,6 +106,8 @@ def norm_word(w: str) -> str:
 class Lexicon:
     given: frozenset[str]
     common: frozenset[str] = field(default_factory=frozenset)
+    #: All common words as a table (w), where they are too many for ``common``, which is empty then; see :func:`with_common`.
+    table: DataFrame | None = None
 
 
 _TITLE_SET = frozenset(w.rstrip("،") for words in TITLES.values() for w in words if not w.endswith("،"))
@@ -306,11 +309,30 @@ class Proposer:
         return self._mention(text, tokens[i][1], end, (NAME,), own, keys, sure)
 
 
+_BEFORE_COMMA = regex.compile(rf"(?<![\p{{L}}\p{{M}}\u200c]){_WORD_FA}(?=،)")
+
+
+def asked_words(text: str) -> list[str]:
+    """All words that :class:`Proposer` may look up among the common ones: those that a name or a city may be made of."""
+    names = {norm_word(w) for w in WORD.findall(text) if w[0].isupper() or _ARABIC.match(w)}
+    return sorted(names.union(_BEFORE_COMMA.findall(text)))
+
+
 _STREET_SET = frozenset(STREETS)
 _PHONES, _IDS, _OTHERS = (frozenset(map(norm_word, x)) for x in (PHONE_WORDS, IDENTITY_WORDS, OTHER_NUMBER_WORDS))
 _STARTS_CLAUSE = regex.compile(r"(?:ساکن|نشانی|برای|همان|به|در)\Z")
 
 
+class Proposers:
+    """A proposer for all texts, or one for each where its common words are looked up."""
+
+    def __init__(self, lexicon: Lexicon) -> None:
+        self.lex, self.whole = lexicon, Proposer(lexicon)
+
+    def __call__(self, text: str, words: Sequence[str] | None) -> list[Mention]:
+        return (self.whole if words is None else Proposer(Lexicon(self.lex.given, frozenset(words))))(text)
+
+
 def _hit(taken: Sequence[tuple[int, int]], a: int, z: int) -> bool:
     return any(a < y and x < z for x, y in taken)
 
@@ -443,8 +465,8 @@ def train(documents: Sequence[Sequence[Mention]], epochs: int = 4, rate: float =
     return model
 
 
-def common_words(documents: DataFrame, text: str, given: frozenset[str], top: int = COMMON_WORDS) -> frozenset[str]:
-    """Words that stand free at least three times in ten; counted over all documents, at most ``top`` of them are kept."""
+def common_words(documents: DataFrame, text: str, given: frozenset[str]) -> DataFrame:
+    """(w): words that stand free at least three times in ten; counted over all documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, list[int]] = {}
@@ -460,8 +482,33 @@ def common_words(documents: DataFrame, text: str, given: frozenset[str], top: in
         yield pd.DataFrame([(w, *c) for w, c in seen.items()], columns=["w", "n", "free"])
 
     counts = spread(documents.select(F.col(text).alias("t")).where("t is not null")).mapInPandas(run, "w string, n long, free long")
-    counts = counts.groupBy("w").agg(F.sum("n").alias("n"), F.sum("free").alias("free")).where("free >= 0.3 * n and free > 0")
-    return frozenset(r["w"] for r in counts.orderBy(F.desc("free"), "w").limit(top).select("w").collect())
+    return counts.groupBy("w").agg(F.sum("n").alias("n"), F.sum("free").alias("free")).where("free >= 0.3 * n and free > 0").select("w")
+
+
+def learn_lexicon(documents: DataFrame, text: str, given: frozenset[str]) -> Lexicon:
+    """The lexicon with the common words of all documents."""
+    words = durable(common_words(documents, text, given))
+    few = words.limit(COMMON_WORDS + 1).collect()
+    return Lexicon(given, frozenset(), words) if len(few) > COMMON_WORDS else Lexicon(given, frozenset(r["w"] for r in few))
+
+
+def with_common(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``rows`` (..., t) and ``c``, the common words that each text may ask for; null where the lexicon holds them all.
+
+    Found by an equi-join with the table of common words, once for each different text."""
+    if lexicon.table is None:
+        return spread(rows).withColumn("c", F.lit(None).cast("array<string>"))
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            pairs = [(d, w) for d, t in zip(b["d"], b["t"]) for w in asked_words(t)]
+            yield pd.DataFrame(pairs, columns=["d", "w"])
+
+    keyed = rows.withColumn("d", F.sha2("t", 256))
+    asked = spread(keyed.select("d", "t").where("t is not null")).mapInPandas(run, "d string, w string").distinct()
+    found = asked.join(lexicon.table, "w").groupBy("d").agg(F.collect_list("w").alias("c"))
+    return keyed.join(found, "d", "left").drop("d").withColumn("c", F.coalesce("c", F.array().cast("array<string>")))
 
 
 def given_name_list(names: DataFrame, column: str) -> frozenset[str]:
@@ -472,10 +519,11 @@ def given_name_list(names: DataFrame, column: str) -> frozenset[str]:
 def fit(documents: DataFrame, text: str, given: frozenset[str], sample: int = SAMPLE_DOCUMENTS) -> tuple[Lexicon, SkipChainModel]:
     """The lexicon (from all documents) and the model (from at most ``sample`` documents)."""
     ship(documents.sparkSession)
-    lexicon = Lexicon(given, common_words(documents, text, given))
-    rows = documents.select(F.col(text).alias("t")).where("t is not null and length(t) between 1 and 20000").withColumn("h", F.xxhash64("t")).orderBy("h").limit(sample).select("t").collect()
-    proposer = Proposer(lexicon)
-    return lexicon, train([m for r in rows if (m := proposer(r["t"]))])
+    lexicon = learn_lexicon(documents, text, given)
+    rows = documents.select(F.col(text).alias("t")).where("t is not null and length(t) between 1 and 20000").withColumn("h", F.xxhash64("t")).orderBy("h").limit(sample)
+    rows = rows.withColumn("c", F.lit(None).cast("array<string>")) if lexicon.table is None else with_common(durable(rows), lexicon)
+    propose = Proposers(lexicon)
+    return lexicon, train([m for r in sorted(rows.select("h", "t", "c").collect(), key=lambda r: (r["h"], r["t"])) if (m := propose(r["t"], r["c"]))])
 
 
 def find_personal(documents: DataFrame, key: str, text: str, lexicon: Lexicon, model: SkipChainModel) -> DataFrame:
@@ -486,19 +534,20 @@ def find_personal(documents: DataFrame, key: str, text: str, lexicon: Lexicon, m
     """
     spark = documents.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast((lexicon, model))
+    shared = spark.sparkContext.broadcast((Lexicon(lexicon.given, lexicon.common), model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex, crf = shared.value
-        proposer = Proposer(lex)
+        propose = Proposers(lex)
         for b in batches:
             rows = []
-            for k, t in zip(b["k"], b["t"]):
-                found = proposer(t) if t else []
+            for k, t, c in zip(b["k"], b["t"], b["c"]):
+                found = propose(t, c) if t else []
                 rows += [(k, KINDS[y], m.start, m.end) for m, y in zip(found, crf.label(found)) if y != NONE]
             yield pd.DataFrame(rows, columns=["k", "kind", "start_pos", "end_pos"])
 
-    found = spread(documents.select(sent(documents, key, "k"), F.col(text).alias("t")).where("t is not null")).mapInPandas(run, f"k {sent_type(documents, key)}, kind string, start_pos int, end_pos int")
+    rows = with_common(documents.select(sent(documents, key, "k"), F.col(text).alias("t")).where("t is not null"), lexicon)
+    found = rows.mapInPandas(run, f"k {sent_type(documents, key)}, kind string, start_pos int, end_pos int")
     return found.distinct().select(returned(documents, key, "k"), "kind", "start_pos", "end_pos")
 
 
@@ -506,20 +555,21 @@ def redact(documents: DataFrame, key: str, text: str, lexicon: Lexicon, model: S
     """(key, text): every piece replaced with its kind in square brackets; null stays null; a row for each row."""
     spark = documents.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast((lexicon, model))
+    shared = spark.sparkContext.broadcast((Lexicon(lexicon.given, lexicon.common), model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex, crf = shared.value
-        proposer = Proposer(lex)
+        propose = Proposers(lex)
         for b in batches:
             texts = []
-            for t in b["t"]:
-                found = proposer(t) if t else []
+            for t, c in zip(b["t"], b["c"]):
+                found = propose(t, c) if t else []
                 for m, y in sorted(zip(found, crf.label(found)), key=lambda x: -x[0].start):
                     if y != NONE:
                         t = f"{t[: m.start]}[{KINDS[y].upper()}]{t[m.end :]}"
                 texts.append(t)
             yield pd.DataFrame({"k": b["k"], "text": texts})
 
-    out = spread(documents.select(sent(documents, key, "k"), F.col(text).alias("t"))).mapInPandas(run, f"k {sent_type(documents, key)}, text string")
+    rows = with_common(documents.select(sent(documents, key, "k"), F.col(text).alias("t")), lexicon)
+    out = rows.mapInPandas(run, f"k {sent_type(documents, key)}, text string")
     return out.select(returned(documents, key, "k"), "text")

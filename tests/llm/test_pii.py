@@ -111,6 +111,40 @@ def test_rows(spark, sf):
     assert pii.find_personal(df.where("false"), "doc_id", "text", lexicon, model).count() == 0
 
 
+def test_common_words_are_not_cut(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = " ".join(f"{a}{b}{c}{d}" for a in letters[:3] for b in letters for c in letters for d in letters)
+    rows = [(1, f"{many} {many}"), (2, "They met Grace Luskwick and later Grace Tamberly near the archive."), (3, "the luskwick is a bird")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon, model = pii.fit(df, "text", frozenset(("grace",)))
+    assert {(r["doc_id"], r["kind"], r["start_pos"]) for r in pii.find_personal(df, "doc_id", "text", lexicon, model).collect()} == {(2, "name", 34)}
+    assert {r["doc_id"]: r["text"] for r in pii.redact(df, "doc_id", "text", lexicon, model).collect()}[2] == "They met Grace Luskwick and later [NAME] near the archive."
+
+
+def test_looked_up_common_words(spark, sf, monkeypatch):
+    """A list too long to be sent along gives the same mentions and the same model."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    given = pii.given_name_list(spark.read.parquet(f"{sf}/given_names.parquet"), "given_name")
+    got = []
+    for bound in (50_000, 10):
+        monkeypatch.setattr(pii, "COMMON_WORDS", bound)
+        lexicon, model = pii.fit(docs, "text", given)
+        assert (lexicon.table is None) == (bound > 10)
+        got.append((model.weights.tobytes(), sorted(pii.find_personal(docs, "doc_id", "text", lexicon, model).collect()), sorted(pii.redact(docs, "doc_id", "text", lexicon, model).dropna().collect())))
+    assert got[0] == got[1]
+
+    class Asked(frozenset):
+        def __contains__(self, w):
+            asked.add(w)
+            return super().__contains__(w)
+
+    propose = pii.Proposer(pii.Lexicon(given, Asked()))
+    for t in [r["text"] for r in docs.collect() if r["text"]] + ["Smith، شارع النصر 5، دبي", "كتبنا إلى دبي الجديدة، شارع النصر"]:
+        asked = set()
+        propose(t)
+        assert asked <= set(pii.asked_words(t))
+
+
 def test_fit_on_empty_table(spark):
     lexicon, model = pii.fit(spark.createDataFrame([], "text string"), "text", frozenset())
     assert model.label([]) == [] and not lexicon.common
