@@ -177,13 +177,14 @@ class Folder:
         self.dropped = dict.fromkeys(map(ord, INVISIBLE))
         self.hidden = re.compile("[" + "".join(map(re.escape, sorted(INVISIBLE))) + "]")
         self.begins = re.compile("[" + "".join(map(re.escape, sorted({k[0] for k in table if len(k) == 1}))) + "]")
+        self.ascii = [*filter(str.isascii, table), *(c for c in map(chr, range(128)) if _ANY_SPACE.match(c))]
         self.marks = regex.compile(r"\p{Mn}")
         often = lambda a, b: a if frequency.get(a, 0) >= frequency.get(b, 0) else b
         self.yeh_inside, self.yeh_at_end, self.kaf_inside = often("\u06cc", "\u064a"), often("\u06cc", "\u0649"), often("\u06a9", "\u0643")
 
     def __call__(self, text: str) -> str:
         """The consistent form; idempotent; '' for ''."""
-        if text.isascii():
+        if text.isascii() and not any(k in text for k in self.ascii):
             return text
         once = self._rewrite(text)
         if (ZWNJ in text or ZWJ in text) and self.marks.search(once):  # a mark may have met its letter only now

@@ -88,3 +88,11 @@ def test_query(spark, sf):
     rows = queries.p1_found(spark, sf).collect()
     assert [c for c in queries.p1_found(spark, sf).columns] == ["item_kind", "key_a", "key_b"]
     assert all(r["key_a"] < r["key_b"] for r in rows) and len(set(rows)) == len(rows)
+
+
+def test_ascii_texts_follow_the_usual_member():
+    a, e = "\u0430", "\u0435"  # Cyrillic letters of the shapes a, e
+    f = fold.Folder({a: 9, "a": 1, e: 1, "e": 9})
+    assert f("tea") == f("te" + a) == f("t" + e + "a") == "te" + a
+    assert f("a\tb") == f("a b") and fold.Folder()("a\tb") == fold.Folder()("a\u00a0b") == "a b"
+    assert f("ten\n") == "ten\n"
