@@ -11,7 +11,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator, Mapping
 
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..shared import returned, sent, sent_type, ship, spread
+from ..shared import durable, returned, sent, sent_type, ship, spread
 from .cutoff import finished, stop_of
 from .fold import Folder
 
@@ -42,7 +41,9 @@ i'm afraid i can|i am afraid i can|i'm not comfortable|i am not comfortable|agai
 
 MIN_RUN = 20  # letters of a copied run
 COPIED = 0.8  # share of the prompt's letters
-STOPWORDS = 5000  # learned for each language
+STOPWORDS = 5000  # of each language, where a short list is asked for
+#: Words with their languages, up to so many, are sent along; of more, each text gets its own.
+SENT_WORDS = 50_000
 _INVISIBLE = regex.compile(r"[\s\p{C}\p{Z}\p{M}ㅤ⠀]+")
 _NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 _NOT_TEXT = regex.compile(r"(?:https?://|www\.)\S+|(?<!\S)\S*@\S+|\b(?=[A-Za-z0-9]{10})[A-Za-z0-9]*?(?:[a-z][A-Z0-9]|[0-9][A-Za-z])[A-Za-z0-9]*")
@@ -136,6 +137,10 @@ def open_delimiters(text: str) -> int:
     return len(stack)
 
 
+def words_of(folded: str) -> list[str]:
+    return _WORD.findall(_NOT_TEXT.sub(" ", folded).casefold())
+
+
 class PairJudge:
     def __init__(self, stopwords: Mapping[str, str]) -> None:
         self.fold, self.phrases, self.stopwords = Folder(), declining(), stopwords
@@ -147,7 +152,7 @@ class PairJudge:
     def language_of(self, folded: str) -> str | None:
         """The language with most votes; None without any."""
         votes: dict[str, float] = {}
-        for w in _WORD.findall(_NOT_TEXT.sub(" ", folded).casefold()):
+        for w in words_of(folded):
             lang = self.stopwords.get(w)
             if lang is None:
                 if w[0] <= "ɏ":
@@ -181,15 +186,15 @@ class PairJudge:
         return "language" if wanted and found and found != wanted else None
 
 
-def learn_stopwords(pairs: DataFrame, language: str, text: str, top: int = STOPWORDS) -> dict[str, str]:
-    """Word -> the language in which it is relatively most frequent, of the ``top`` words of each language; counted over all
-    texts.  What reaches the driver is bounded by ``top`` rows for each language."""
+def word_languages(pairs: DataFrame, language: str, text: str, top: int | None = None) -> DataFrame:
+    """(w, l): word and the language in which it is relatively most frequent; counted over all texts.  With ``top``, only
+    of the so many most frequent words of each language."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fold, seen = Folder(), {}
         for b in batches:
             for lang, t in zip(b["l"], b["t"]):
-                for w in _WORD.findall(_NOT_TEXT.sub(" ", fold(t)).casefold()):
+                for w in words_of(fold(t)):
                     seen[lang, w] = seen.get((lang, w), 0) + 1
             if len(seen) > 200_000:
                 yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["l", "w", "n"])
@@ -198,12 +203,31 @@ def learn_stopwords(pairs: DataFrame, language: str, text: str, top: int = STOPW
 
     counts = spread(pairs.select(F.col(language).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null")).mapInPandas(run, "l string, w string, n long")
     counts = counts.groupBy("l", "w").agg(F.sum("n").alias("n"))
-    all_words = Window.partitionBy("l")
-    ranked = counts.withColumn("share", F.col("n") / F.sum("n").over(all_words)).withColumn("place", F.row_number().over(all_words.orderBy(F.desc("n"), "w"))).where(F.col("place") <= top)
-    best: dict[str, tuple[float, str]] = {}
-    for r in ranked.select("l", "w", "share").collect():
-        best[r["w"]] = max(best.get(r["w"], (-math.inf, "")), (r["share"], r["l"]))
-    return {w: lang for w, (_, lang) in best.items()}
+    share = counts.join(counts.groupBy("l").agg(F.sum("n").alias("all")), "l").withColumn("share", F.col("n") / F.col("all"))
+    if top is not None:
+        share = share.withColumn("place", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).where(F.col("place") <= top)
+    return share.groupBy("w").agg(F.max(F.struct("share", "l"))["l"].alias("l"))
+
+
+def learn_stopwords(pairs: DataFrame, language: str, text: str, top: int = STOPWORDS) -> dict[str, str]:
+    """Word -> the language in which it is relatively most frequent, of the ``top`` words of each language."""
+    return {r["w"]: r["l"] for r in word_languages(pairs, language, text, top).collect()}
+
+
+def with_own_words(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """``rows`` (..., t) and ``own``, the languages of the words of each text; found by an equi-join, once for each
+    different text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold = Folder()
+        for b in batches:
+            asked = [(d, w) for d, t in zip(b["d"], b["t"]) for w in set(words_of(fold(t)))]
+            yield pd.DataFrame(asked, columns=["d", "w"])
+
+    keyed = rows.withColumn("d", F.sha2("t", 256))
+    asked = spread(keyed.select("d", "t").where("t is not null")).mapInPandas(run, "d string, w string").distinct()
+    own = asked.join(words, "w").groupBy("d").agg(F.collect_list(F.struct("w", "l")).alias("own"))
+    return keyed.join(own, "d", "left").drop("d")
 
 
 def defective_pairs(pairs: DataFrame, key: str, source: str, target: str, source_language: str, target_language: str) -> DataFrame:
@@ -215,13 +239,23 @@ def defective_pairs(pairs: DataFrame, key: str, source: str, target: str, source
     """
     spark = pairs.sparkSession
     ship(spark)
-    stopwords = spark.sparkContext.broadcast(learn_stopwords(pairs, source_language, source))
+    words = durable(word_languages(pairs, source_language, source))
+    few = words.limit(SENT_WORDS + 1).collect()
+    looked_up = len(few) > SENT_WORDS
+    stopwords = spark.sparkContext.broadcast({} if looked_up else {r["w"]: r["l"] for r in few})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = PairJudge(stopwords.value)
         for b in batches:
-            rows = [(k, d) for k, s, t, w in zip(b["k"], b["s"], b["t"], b["w"]) if (d := judge.defect(s, t, w))]
+            rows = []
+            for k, s, t, w, own in zip(b["k"], b["s"], b["t"], b["w"], b["own"] if looked_up else [None] * len(b)):
+                if looked_up:
+                    judge.stopwords = {} if own is None else {x["w"]: x["l"] for x in own}
+                if d := judge.defect(s, t, w):
+                    rows.append((k, d))
             yield pd.DataFrame(rows, columns=["k", "defect"])
 
-    found = spread(pairs.select(sent(pairs, key, "k"), F.col(source).alias("s"), F.col(target).alias("t"), F.col(target_language).alias("w"))).mapInPandas(run, f"k {sent_type(pairs, key)}, defect string")
+    rows = pairs.select(sent(pairs, key, "k"), F.col(source).alias("s"), F.col(target).alias("t"), F.col(target_language).alias("w"))
+    rows = with_own_words(rows, words) if looked_up else spread(rows)
+    found = rows.mapInPandas(run, f"k {sent_type(pairs, key)}, defect string")
     return found.groupBy("k").agg(F.min("defect").alias("defect")).select(returned(pairs, key, "k"), "defect")

@@ -65,3 +65,21 @@ def test_query(spark, sf):
     rows = df.collect()
     assert {r["defect"] for r in rows} <= {"empty", "refusal", "copy", "truncated", "language"} and len({r["pair_id"] for r in rows}) == len(rows)
     random.seed(0)
+
+
+def test_rare_words_vote(spark):
+    """A word past the first thousands of its language still votes, and a list too long to be sent gives the same."""
+    letters = "abcdefghij"
+    many = [f"مو{a}{b}{c}{d}".translate(str.maketrans(letters, "بتثدرسفقلم")) for a in letters for b in letters for c in letters for d in letters]
+    rows = [(1, " ".join(many * 2), "x", "fa", "en"), (2, "سلام دوست", "x", "fa", "en"), (3, "hello world.", "سلام دوست.", "en", "ar"), (4, "hello dear friend.", "سلام دوست.", "en", "fa"), (5, None, None, None, None)]
+    df = spark.createDataFrame(rows, "k int, s string, t string, sl string, tl string")
+    assert {(3, "language")} == {(r["k"], r["defect"]) for r in pairs.defective_pairs(df, "k", "s", "t", "sl", "tl").collect() if r["k"] in (3, 4)}
+
+
+def test_looked_up_words(spark, sf, monkeypatch):
+    df = spark.read.parquet(f"{sf}/unit_pairs.parquet")
+    got = []
+    for bound in (50_000, 10):
+        monkeypatch.setattr(pairs, "SENT_WORDS", bound)
+        got.append(sorted((r["pair_id"], r["defect"]) for r in pairs.defective_pairs(df, "pair_id", "source", "target", "source_language", "target_language").collect()))
+    assert got[0] == got[1] and any(d == "language" for _, d in got[0])
