@@ -3,18 +3,22 @@
 The model is a skip-chain conditional random field over *mentions*.  Permissive patterns propose mentions (anything of
 the shape of an address, number, e-mail or name); a mention may be labelled with a kind its pattern admits, or with none.
 Potentials: features of a mention and of its context, chain edges between neighbouring mentions, and skip edges between
-mentions of a document that repeat a name, number or address, however far apart.  Loopy belief propagation makes the
-labels of a document agree.  The feature weights are trained on a bounded sample of documents whose labels come from
-unmistakable contexts (a name list, words like "passport" or "phone" before a number); the rest of the sample starts as
-weakly unlabelled and is relabelled by the model between rounds.
+mentions of a document that repeat a person, a family name, a number, an address or an e-mail, however far apart.  Loopy
+belief propagation makes the labels of a document agree.  Features, chain and skip potentials (a table of label pairs for
+each kind of repetition) are fitted together, by the pseudo-likelihood of a bounded sample of documents.  Its labels come
+from unmistakable contexts (a title, a name list, words like "passport" or "phone" before a number); each is also learned
+from without what gave it away, so that context and repetition must carry it.  The rest of the sample is labelled by the
+model of the other half of the documents.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -30,10 +34,18 @@ NONE, EMAIL, PHONE, IDENTITY, ADDRESS, NAME = range(len(KINDS))
 #: Bounds: documents of the training sample (in the order of a hash of their text); a list of common words of up to so many
 #: is sent along, of a longer one each text gets its own words.
 SAMPLE_DOCUMENTS = 3_000
+#: Longest text (characters) that may be in the sample.
+SAMPLE_CHARS = 20_000
 COMMON_WORDS = 50_000
 BUCKETS = 1 << 17
-#: Strength of a skip edge, a chain edge relative to its learned log-odds, and rounds of message passing.
-SKIP, CHAIN, ROUNDS = 1.5, 0.5, 8
+#: Most digits of a phone number (E.164).
+PHONE_DIGITS = 15
+#: Mean of the prior of a skip potential: how much two mentions that repeat something agree before anything is learned.
+AGREEMENT = 1.5
+#: Rounds of message passing, and how far apart (characters) two neighbours may be that a chain edge joins.
+ROUNDS, CHAIN_CHARS = 8, 60
+#: What a skip edge repeats: the first letter of a mention's key.
+REPEATS = ("e", "n", "a", "f", "p")
 
 #: Words before the name of a person (titles, roles), by script.
 TITLES = {
@@ -82,7 +94,7 @@ _ADDRESS_AR = regex.compile(
 )
 _ASCII = str.maketrans("۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789")
 _ARABIC = regex.compile(r"\p{Script=Arabic}")
-_SENTENCE_END = regex.compile(r"(?:(?:(?P<word>\p{L}+)|\p{N}|[”»\")])[.!?؟][”»\")]*\s+\W{0,3}|\n\s*\n\W{0,3}|:\n\W{0,3}|[“«])\Z")
+_GAP = regex.compile(r"(?P<stop>[”»\")]*+[.!?؟]++[”»\")]*+\s.*)|.*(?:\n\s*\n.*|:\n.*|[“«])", regex.S)
 _LINE_GAP = regex.compile(r"\n\s*\n")
 
 
@@ -106,7 +118,10 @@ def norm_word(w: str) -> str:
 class Lexicon:
     given: frozenset[str]
     common: frozenset[str] = field(default_factory=frozenset)
-    #: All common words as a table (w), where they are too many for ``common``, which is empty then; see :func:`with_common`.
+    #: Words that follow at least two different given names in the corpus.
+    family: frozenset[str] = field(default_factory=frozenset)
+    #: All common words and family names as a table (w), marked as :func:`corpus_words` does, where they are too many for
+    #: ``common`` and ``family``, which are empty then; see :func:`with_words`.
     table: DataFrame | None = None
 
 
@@ -115,30 +130,40 @@ _TITLE_SET = frozenset(w.rstrip("،") for words in TITLES.values() for w in word
 
 def _begins_sentence(text: str, at: int) -> bool:
     """A word here follows the end of a sentence, which the dot of an initial or a title is not."""
-    m = _SENTENCE_END.search(text, max(0, at - 24), at)
+    z = at
+    while z and not text[z - 1].isalnum():
+        z -= 1
+    if not z:
+        return True
+    m = _GAP.fullmatch(text, z, at)
     if m is None:
-        return at < 4
-    word = m.group("word")
-    return word is None or (len(word) > 2 and word.casefold() not in _TITLE_SET)
-
-
-def free_words(text: str, given: frozenset[str]) -> Iterator[tuple[str, bool]]:
-    """Words of a text, and whether each stands free: in lower case or at the start of a sentence, or in Arabic script not
-    just after a title or given name."""
-    last = 9
+        return False
+    if m.group("stop") is None or not text[z - 1].isalpha():
+        return True
+    a = z
+    while a and text[a - 1].isalpha():
+        a -= 1
+    return z - a > 2 and text[a:z].casefold() not in _TITLE_SET
+
+
+def free_words(text: str, given: frozenset[str]) -> Iterator[tuple[str, bool, str]]:
+    """Words of a text; whether each stands free: in lower case or at the start of a sentence, or in Arabic script not
+    just after a title or given name; and the given name right before it ("" where there is none), listed or titled."""
+    last, before = 9, ""
     for m in _FREE_WORD.finditer(text):
         raw = m.group()
         w = norm_word(raw)
+        last += 1
+        head = before if last == 2 and w != before else ""
         if "\u0600" <= w[0] <= "\u08ff":
-            last += 1
-            yield w, last > 2
-            if w in _TITLE_SET or w == "ما":
-                last = 0
-            elif w in given:
-                last = min(last, 1)
+            yield w, last > 2, head
         else:
-            last = 9
-            yield w, raw[0].islower() or (text[m.end() : m.end() + 1] != "," and _begins_sentence(text, m.start()))
+            yield w, raw[0].islower() or (text[m.end() : m.end() + 1] != "," and _begins_sentence(text, m.start())), head if raw[0].isupper() else ""
+        before = w
+        if w in _TITLE_SET or w == "ما":
+            last = 0
+        elif w in given and not raw[0].islower():
+            last = min(last, 1)
 
 
 class Proposer:
@@ -148,27 +173,28 @@ class Proposer:
         self.lex = lexicon
 
     def __call__(self, text: str) -> list[Mention]:
-        taken: list[tuple[int, int]] = []
-        out: list[Mention] = []
-        for m in _EMAIL.finditer(text) if _EMAIL_SIGN.search(text) else ():
-            if not m.group()[-2:].isalpha():
-                continue
-            out.append(self._mention(text, m.start(), m.end(), (EMAIL,), ["email", "sign:" + ("@" if "@" in m.group() else "other")], ("e" + regex.sub(r"\W", "", m.group().casefold()),), EMAIL))
-        taken += [(x.start, x.end) for x in out]
+        out = list(self._emails(text)) if _EMAIL_SIGN.search(text) else []
         numbers = list(self._numbers(text))
-        names = self._names(text, taken + [(x.start, x.end) for x in numbers])
+        names = self._names(text, Spans([*out, *numbers]))
         name_ends = {x.end for x in names}
-        for x in self._addresses(text, name_ends):
-            if not _hit(taken, x.start, x.end):
-                out.append(x)
-                taken.append((x.start, x.end))
-        for x in [*numbers, *names]:
-            if not _hit(taken, x.start, x.end):
-                out.append(x)
-                taken.append((x.start, x.end))
+        for more in (self._addresses(text, name_ends), numbers, names):
+            taken, last = Spans(out), 0
+            for x in sorted(more, key=lambda x: x.start):
+                if x.start >= last and not taken.hit(x.start, x.end):
+                    out.append(x)
+                    last = x.end
         out.sort(key=lambda x: x.start)
         return out
 
+    def _emails(self, text: str) -> Iterator[Mention]:
+        """Sure are those with a plain sign and a plain domain; the others stand or fall with their context and parts."""
+        for m in _EMAIL.finditer(text):
+            raw = m.group()
+            if raw[-2:].isalpha():
+                plain = "@" in raw and not regex.search(r"[\s\[({<]", raw)
+                own = ["email", "sign:" + ("@" if "@" in raw else "other"), "dots:" + str(min(3, raw.count("."))), "ends:" + raw[-3:].casefold(), f"spaced:{' ' in raw}", f"digits:{regex.search(_D, raw) is not None}"]
+                yield self._mention(text, m.start(), m.end(), (EMAIL,), own, ("e" + regex.sub(r"\W", "", raw.casefold()),), EMAIL if plain else None)
+
     def _context(self, text: str, a: int, z: int) -> list[str]:
         left = [norm_word(w) for w in WORD.findall(text[max(0, a - 60) : a])][-5:]
         right = [norm_word(w) for w in WORD.findall(text[z : z + 40])][:3]
@@ -184,11 +210,14 @@ class Proposer:
 
     def _addresses(self, text: str, name_ends: set[int]) -> Iterator[Mention]:
         for m in _ADDRESS_EN.finditer(text):
-            yield self._mention(text, m.start(), m.end(), (ADDRESS,), ["address", "latin", "street:" + m.group().split()[-1].casefold()], ("a" + norm_word(m.group()),), ADDRESS)
+            raw = m.group()
+            parts = [*(["flat"] * (not raw[0].isdigit())), *(["city"] * ("," in raw[8:] or "\n" in raw)), *(["post"] * (regex.search(rf"{_POST}\Z", raw) is not None))]
+            own = ["address", "latin", *parts, f"parts:{len(parts)}", "street:" + next((w for w in regex.findall(r"\p{L}+", raw.casefold()) if w in _STREET_SET), "")]
+            yield self._mention(text, m.start(), m.end(), (ADDRESS,), own, ("a" + norm_word(raw),), ADDRESS if parts else None)
         if "خیابان" in text or "بلوار" in text or "کوچه" in text or "میدان" in text:
             for m in _ADDRESS_FA.finditer(text):
                 city = m.group("city") is not None and m.end("city") not in name_ends and not _STARTS_CLAUSE.match(m.group("city"))
-                yield self._mention(text, m.start() if city else m.start("first"), m.end(), (ADDRESS,), ["address", "persian", f"city:{city}"], ("a" + m.group("first"),), ADDRESS)
+                yield self._mention(text, m.start() if city else m.start("first"), m.end(), (ADDRESS,), ["address", "persian", f"city:{city}", f"parts:{m.group('first').count('،')}"], ("a" + m.group("first"),), ADDRESS if city or m.group("first").count("،") > 1 else None)
         if "شارع" in text or "حي " in text or "طريق" in text:
             for m in _ADDRESS_AR.finditer(text):
                 first = m.group("first")
@@ -226,17 +255,19 @@ class Proposer:
                 elif not letters and (left & _PHONES or plain.startswith("+")):
                     sure = PHONE
                 own = ["code" if letters else "number", "shape:" + shape, "groups:" + regex.sub("9+", lambda g: str(len(g.group())), shape), f"n:{len(digits)}", "first:" + plain[0] if plain[0] in "+(" else "first:" + digits[:2], *(["phone word"] * bool(left & _PHONES)), *(["id word"] * bool(near & _IDS)), *(["other word"] * bool(near & _OTHERS))]
-                yield self._mention(text, a, z, (IDENTITY,) if letters else (PHONE, IDENTITY), own, ("n" + digits, "s" + shape), sure)
+                yield self._mention(text, a, z, (IDENTITY,) if letters or len(digits) > PHONE_DIGITS else (PHONE, IDENTITY), own, ("n" + digits, "s" + shape), sure)
 
-    def _names(self, text: str, taken: list[tuple[int, int]]) -> list[Mention]:
-        given, common = self.lex.given, self.lex.common
+    def _names(self, text: str, taken: Spans) -> list[Mention]:
+        given, common, known = self.lex.given, self.lex.common, self.lex.family
         tokens = [(m.group(), *m.span()) for m in WORD.finditer(text)]
         if taken:
-            tokens = [t for t in tokens if not _hit(taken, t[1], t[2])]
+            tokens = [t for t in tokens if not taken.hit(t[1], t[2])]
         n, out = len(tokens), []
         lower = [norm_word(t) for t, _, _ in tokens]
-        before = ["", *lower]
-        may = [i for i, t in enumerate(tokens) if t[0][0].isupper() or lower[i] in given or before[i] in _TITLE_SET or before[i] == "،"]  # no name begins elsewhere
+        before, after = ["", *lower], [*lower[1:], ""]
+        #: persons that a title or the list names somewhere in the text: proposed wherever they stand
+        persons = {(w, after[i]) for i, w in enumerate(lower) if _ARABIC.match(w) and w not in _TITLE_SET and len(after[i]) >= 4 and _ARABIC.match(after[i]) and after[i] not in common and (w in given or before[i] in _TITLE_SET)}
+        may = [i for i, t in enumerate(tokens) if t[0][0].isupper() or lower[i] in given or before[i] in _TITLE_SET or before[i] == "،" or (_ARABIC.match(t[0]) and _ARABIC.match(after[i]) and (after[i] in known or (lower[i], after[i]) in persons))]  # no name begins elsewhere
 
         def near(j: int) -> bool:
             """Token j follows the one before it closely: on this line or the next."""
@@ -288,9 +319,12 @@ class Proposer:
                     out.append(self._name(text, tokens, lower, i, j, kind, fam, giv, given))
                     done = j + 1
             elif _ARABIC.match(first):
+                if not near(i + 1) or not _ARABIC.match(tokens[i + 1][0]) or lower[i] in _TITLE_SET or lower[i + 1] in common or lower[i + 1] in given or len(lower[i + 1]) < 4:
+                    continue
                 title = i > 0 and near(i) and (lower[i - 1] in _TITLE_SET or (lower[i - 1] == "،" and i > 1 and lower[i - 2] == "ما"))
-                if (title or lower[i] in given) and near(i + 1) and _ARABIC.match(tokens[i + 1][0]) and lower[i + 1] not in common and lower[i + 1] not in given and len(lower[i + 1]) >= 4 and lower[i] not in _TITLE_SET:
-                    out.append(self._name(text, tokens, lower, i, i + 1, "titled" if title else "listed", i + 1, i, given))
+                form = "titled" if title else "listed" if lower[i] in given else "repeated" if (lower[i], lower[i + 1]) in persons else "unlisted" if lower[i + 1] in known and lower[i] not in common and len(lower[i]) > 2 else ""
+                if form:
+                    out.append(self._name(text, tokens, lower, i, i + 1, form, i + 1, i, given))
                     done = i + 2
         return out
 
@@ -303,8 +337,9 @@ class Proposer:
         if k >= 0 and tokens[k][0] == ".":
             k -= 1
         titled = k >= 0 and (lower[k] in _TITLE_SET or kind == "titled")
-        own = ["name", "form:" + kind, *(["titled"] * titled), *(["listed"] * (g in given)), *(["common given"] * (g in self.lex.common)), "f3:" + f[-3:], "f4:" + f[-4:], "p3:" + f[:3], "p4:" + f[:4], f"caps:{tokens[fam][0].isupper()}", f"hyphen:{'-' in f}"]
-        sure = NAME if g in given or titled else None
+        own = ["name", "form:" + kind, *(["titled"] * titled), *(["listed"] * (g in given)), *(["common given"] * (g in self.lex.common)), *(["known family"] * (f in self.lex.family)), "f3:" + f[-3:], "f4:" + f[-4:], "p3:" + f[:3], "p4:" + f[:4], f"caps:{tokens[fam][0].isupper()}", f"hyphen:{'-' in f}"]
+        # a listed name that is a word too needs a family name that others have: "last spring" has none
+        sure = NAME if titled or (g in given and (f in self.lex.family or (g not in self.lex.common and not _ARABIC.match(f)))) else None
         keys = ("f" + f, "p" + f + "/" + (g or tokens[i][0].casefold()))
         return self._mention(text, tokens[i][1], end, (NAME,), own, keys, sure)
 
@@ -313,7 +348,7 @@ _BEFORE_COMMA = regex.compile(rf"(?<![\p{{L}}\p{{M}}\u200c]){_WORD_FA}(?=،)")
 
 
 def asked_words(text: str) -> list[str]:
-    """All words that :class:`Proposer` may look up among the common ones: those that a name or a city may be made of."""
+    """All words that :class:`Proposer` may look up in its lists: those that a name or a city may be made of."""
     names = {norm_word(w) for w in WORD.findall(text) if w[0].isupper() or _ARABIC.match(w)}
     return sorted(names.union(_BEFORE_COMMA.findall(text)))
 
@@ -323,6 +358,22 @@ _PHONES, _IDS, _OTHERS = (frozenset(map(norm_word, x)) for x in (PHONE_WORDS, ID
 _STARTS_CLAUSE = regex.compile(r"(?:ساکن|نشانی|برای|همان|به|در)\Z")
 
 
+class Spans:
+    """Places taken by mentions that do not overlap; looked up by bisection."""
+
+    def __init__(self, mentions: Sequence[Mention]) -> None:
+        spans = sorted((x.start, x.end) for x in mentions)
+        self.starts, self.ends = [a for a, _ in spans], list(accumulate((z for _, z in spans), max))
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def hit(self, a: int, z: int) -> bool:
+        """[a, z) overlaps one of them."""
+        i = bisect_left(self.starts, z)
+        return i > 0 and self.ends[i - 1] > a
+
+
 class Proposers:
     """A proposer for all texts, or one for each where its common words are looked up."""
 
@@ -330,21 +381,43 @@ class Proposers:
         self.lex, self.whole = lexicon, Proposer(lexicon)
 
     def __call__(self, text: str, words: Sequence[str] | None) -> list[Mention]:
-        return (self.whole if words is None else Proposer(Lexicon(self.lex.given, frozenset(words))))(text)
+        return (self.whole if words is None else Proposer(Lexicon(self.lex.given, *marked(words))))(text)
 
 
-def _hit(taken: Sequence[tuple[int, int]], a: int, z: int) -> bool:
-    return any(a < y and x < z for x, y in taken)
+def marked(words: Iterable[str]) -> tuple[frozenset[str], frozenset[str]]:
+    """Common words (marked c) and family names (marked f)."""
+    words = list(words)
+    return frozenset(w[1:] for w in words if w[0] == "c"), frozenset(w[1:] for w in words if w[0] == "f")
 
 
 def bucket(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
+def chain_edges(mentions: Sequence[Mention]) -> list[tuple[int, int]]:
+    """Neighbours close to each other."""
+    return [(i, i + 1) for i in range(len(mentions) - 1) if mentions[i + 1].start - mentions[i].end <= CHAIN_CHARS]
+
+
+def skip_edges(mentions: Sequence[Mention]) -> list[tuple[int, int, int]]:
+    """(earlier, later, what is repeated): each mention with the last one before it that has its key, so there are no more
+    edges than keys however often one is repeated.  Two mentions are joined once, by the closest repetition."""
+    last: dict[str, int] = {}
+    edges: dict[tuple[int, int], int] = {}
+    for i, m in enumerate(mentions):
+        for k in m.keys:
+            if k[0] in REPEATS:
+                if k in last:
+                    edges[last[k], i] = max(edges.get((last[k], i), 0), REPEATS.index(k[0]))
+                last[k] = i
+    return [(a, b, r) for (a, b), r in edges.items()]
+
+
 @dataclass
 class SkipChainModel:
     weights: np.ndarray  # buckets x kinds
-    chain: np.ndarray  # kinds x kinds, log-odds of neighbours
+    chain: np.ndarray  # kinds x kinds, of neighbours
+    skip: np.ndarray  # repeats x kinds x kinds, symmetric
 
     def local(self, mentions: Sequence[Mention]) -> np.ndarray:
         """Log-potentials of each mention's labels; labels it does not admit are ruled out."""
@@ -355,24 +428,15 @@ class SkipChainModel:
                 out[i, k] = s[k]
         return out
 
-    def label(self, mentions: Sequence[Mention]) -> list[int]:
+    def label(self, mentions: Sequence[Mention], skips: bool = True) -> list[int]:
         """Labels by loopy belief propagation over chain and skip edges."""
         n = len(mentions)
         if not n:
             return []
         local = self.local(mentions)
-        edges: list[tuple[int, int, np.ndarray]] = []
-        for i in range(n - 1):
-            if mentions[i + 1].start - mentions[i].end <= 60:
-                edges.append((i, i + 1, self.chain))
-        same: dict[str, int] = {}
-        agree = np.eye(len(KINDS)) * SKIP
-        for i, m in enumerate(mentions):
-            for k in m.keys:
-                if k[0] != "s":
-                    if k in same:
-                        edges.append((same[k], i, agree))
-                    same[k] = i  # a chain through equal mentions: as many edges as mentions
+        edges = [(i, j, self.chain) for i, j in chain_edges(mentions)]
+        if skips:
+            edges += [(i, j, self.skip[r]) for i, j, r in skip_edges(mentions)]
         if not edges:
             return local.argmax(1).tolist()
         messages = np.zeros((len(edges), 2, len(KINDS)))
@@ -394,108 +458,164 @@ class SkipChainModel:
 
 
 #: Features that the unmistakable contexts rest on; each labelled mention is also learned from without them.
-_GIVEAWAY = frozenset(("listed", "titled", "phone word", "id word", "other word"))
+_GIVEAWAY = frozenset(("listed", "titled", "form:titled", "form:listed", "phone word", "id word", "other word", "sign:@", "flat", "city", "post", "parts:1", "parts:2", "parts:3", "city:True", "numbered:True"))
 NAME_CHANCE = 0.35
 
 
 def _gives_away(m: Mention, feature: str) -> bool:
     kind, _, f = feature.partition("|")
-    return f in _GIVEAWAY or (kind != "name" and f.split(":")[0] in ("l0", "l1", "l2", "lw", "ll"))
+    return f in _GIVEAWAY or (kind in ("code", "number") and f.split(":")[0] in ("l0", "l1", "l2", "lw", "ll"))
 
 
-def _regress(examples: Sequence[tuple[np.ndarray, np.ndarray, int, float]], epochs: int, rate: float, l2: float) -> np.ndarray:
-    """Weights (buckets x kinds) of a multinomial logistic regression by AdaGrad over (features, admitted, label, weight)."""
-    weights, squares = np.zeros((BUCKETS, len(KINDS))), np.full((BUCKETS, len(KINDS)), 1e-8)
+@dataclass
+class Example:
+    """A mention to learn from: its features, what it admits, its label and weight, and its neighbours' labels."""
+
+    features: np.ndarray
+    admitted: np.ndarray
+    label: int
+    weight: float
+    left: tuple[int, ...] = ()
+    right: tuple[int, ...] = ()
+    repeats: tuple[tuple[int, int], ...] = ()  # (what is repeated, label there)
+
+
+def pseudo_likelihood(examples: Sequence[Example], epochs: int, rate: float, l2: float) -> SkipChainModel:
+    """All potentials at once: each example's label given its features and the labels of its neighbours on chain and skip
+    edges, by AdaGrad."""
+    k, r = len(KINDS), len(REPEATS)
+    agreement = np.tile(np.eye(k) * AGREEMENT, (r, 1, 1))
+    params = [np.zeros((BUCKETS, k)), np.zeros((k, k)), agreement.copy()]
+    squares = [np.full(p.shape, 1e-8) for p in params]
+    weights, chain, skip = params
+
+    def step(which: int, at, g: np.ndarray) -> None:
+        squares[which][at] += g**2
+        params[which][at] -= rate * g / np.sqrt(squares[which][at])
+
     random = np.random.default_rng(7)
     for _ in range(epochs):
-        for k in random.permutation(len(examples)):
-            f, admitted, label, weight = examples[k]
-            z = weights[f].sum(0) + admitted
+        for e in random.permutation(len(examples)):
+            x = examples[e]
+            z = weights[x.features].sum(0) + x.admitted
+            for y in x.left:
+                z = z + chain[y]
+            for y in x.right:
+                z = z + chain[:, y]
+            for what, y in x.repeats:
+                z = z + skip[what, y]
             p = np.exp(z - z.max())
             p /= p.sum()
-            p[label] -= 1
-            g = weight * p + l2 * weights[f]
-            squares[f] += g**2
-            weights[f] -= rate * g / np.sqrt(squares[f])
-    return weights
+            p[x.label] -= 1
+            p *= x.weight
+            step(0, x.features, p + l2 * weights[x.features])
+            for y in x.left:
+                step(1, y, p + l2 * chain[y])
+            for y in x.right:
+                step(1, (slice(None), y), p + l2 * chain[:, y])
+            for what, y in x.repeats:
+                step(2, (what, y), p + l2 * (skip[what, y] - agreement[what, y]))
+    return SkipChainModel(weights, chain, (skip + skip.transpose(0, 2, 1)) / 2)
 
 
-def train(documents: Sequence[Sequence[Mention]], epochs: int = 4, rate: float = 0.15, l2: float = 1e-4) -> SkipChainModel:
-    """Weights of the features, then log-odds of neighbouring labels.
+def train(documents: Sequence[Sequence[Mention]], epochs: int = 4, rate: float = 0.15, l2: float = 1e-3) -> SkipChainModel:
+    """The potentials of all features, neighbours and repetitions.
 
     A labelled mention is learned from twice, with all its features and without those that gave its label away, so the
-    rest must learn to tell.  Unlabelled mentions get the label that a model of the *other half* of the documents gives
-    them; in that model, unlabelled names count half as none, other unlabelled mentions not at all.  As only part of the
-    names can be labelled, a name needs less than an even chance (``NAME_CHANCE``).  A family name that a labelled
-    mention has labels the others that have it."""
-    half = [d % 2 for d, ms in enumerate(documents) for _ in ms]
+    rest (context, neighbours, repetitions) must learn to tell.  Unlabelled mentions get the label that a model of the
+    *other half* of the documents gives them; in that model, unlabelled names count half as none, other unlabelled
+    mentions not at all.  As only part of the names can be labelled, a name needs less than an even chance
+    (``NAME_CHANCE``).  A family name that a labelled mention has labels the others that have it."""
     flat = [m for ms in documents for m in ms]
+    half = [d % 2 for d, ms in enumerate(documents) for _ in ms]
     full = [np.array([bucket(f) for f in m.features]) for m in flat]
     hard = [np.array([bucket(f) for f in m.features if not _gives_away(m, f)]) for m in flat]
     admitted = np.full((len(flat), len(KINDS)), -1e9)
     for i, m in enumerate(flat):
         admitted[i, [NONE, *m.kinds]] = 0
+    left: list[list[int]] = [[] for _ in flat]
+    right: list[list[int]] = [[] for _ in flat]
+    repeats: list[list[tuple[int, int]]] = [[] for _ in flat]
+    at = 0
+    for ms in documents:
+        for i, j in chain_edges(ms):
+            right[at + i].append(at + j)
+            left[at + j].append(at + i)
+        for i, j, r in skip_edges(ms):
+            repeats[at + i].append((r, at + j))
+            repeats[at + j].append((r, at + i))
+        at += len(ms)
     families = {m.keys[0] for m in flat if m.sure == NAME}
     labels = [NAME if m.sure is None and NAME in m.kinds and m.keys[0] in families else m.sure for m in flat]
-    target = [NONE if x is None else x for x in labels]
     known = [i for i, x in enumerate(labels) if x is not None]
-    names = [i for i, m in enumerate(flat) if labels[i] is None and NAME in m.kinds]
+
+    def example(i: int, features: np.ndarray, label: int, weight: float, said: Sequence[int | None]) -> Example:
+        sides = [tuple(said[j] for j in side[i] if said[j] is not None) for side in (left, right)]
+        return Example(features, admitted[i], label, weight, *sides, tuple((r, said[j]) for r, j in repeats[i] if said[j] is not None))
+
+    target = list(labels)
     for h in (0, 1):
-        own = [(v[i], admitted[i], target[i], 1.0) for v in (full, hard) for i in known if half[i] == h] + [(full[i], admitted[i], NONE, 0.5) for i in names if half[i] == h]
-        w = _regress(own, epochs, rate, l2)
-        for i, m in enumerate(flat):
-            if labels[i] is None and half[i] != h:
-                z = w[full[i]].sum(0) + admitted[i]
+        own = [example(i, v[i], labels[i], 1.0, labels) for v in (full, hard) for i in known if half[i] == h]
+        own += [example(i, full[i], NONE, 0.5, labels) for i, x in enumerate(labels) if x is None and NAME in flat[i].kinds and half[i] == h]
+        m = pseudo_likelihood(own, epochs, rate, l2)
+        for i, x in enumerate(labels):
+            if x is None and half[i] != h:
+                z = m.weights[full[i]].sum(0) + admitted[i]
+                for r, j in repeats[i]:
+                    if labels[j] is not None:
+                        z = z + m.skip[r, labels[j]]
                 p = np.exp(z - z.max())
                 p /= p.sum()
-                best = max(m.kinds, key=lambda k: p[k])
+                best = max(flat[i].kinds, key=lambda k: p[k])
                 target[i] = best if p[best] >= (NAME_CHANCE if best == NAME else 0.5) else NONE
-    weights = _regress([(v[i], admitted[i], target[i], 1.0) for v in (full, hard) for i in known] + [(full[i], admitted[i], target[i], 0.7) for i, x in enumerate(labels) if x is None], epochs, rate, l2)
-    counts = np.ones((len(KINDS), len(KINDS)))
-    model = SkipChainModel(weights, np.zeros((len(KINDS), len(KINDS))))
-    for d in documents:
-        labels = model.label(d)
-        for a, b, x, y in zip(d, d[1:], labels, labels[1:]):
-            if b.start - a.end <= 60:
-                counts[x, y] += 1
-    p = counts / counts.sum()
-    model.chain = CHAIN * np.log(p / (p.sum(1, keepdims=True) * p.sum(0, keepdims=True)))
-    model.chain = np.clip(model.chain, -1.0, 1.0)
-    model.weights = weights.astype(np.float32)
+    all_examples = [example(i, v[i], target[i], 1.0, target) for v in (full, hard) for i in known]
+    all_examples += [example(i, full[i], target[i], 0.7, target) for i, x in enumerate(labels) if x is None]
+    model = pseudo_likelihood(all_examples, epochs, rate, l2)
+    model.weights = model.weights.astype(np.float32)
     return model
 
 
-def common_words(documents: DataFrame, text: str, given: frozenset[str]) -> DataFrame:
-    """(w): words that stand free at least three times in ten; counted over all documents."""
+def corpus_words(documents: DataFrame, text: str, given: frozenset[str]) -> DataFrame:
+    """(w): "c" and each word that stands free at least three times in ten; "f" and each word that follows at least two
+    different given names and does not stand free so often; counted over all documents."""
+    ship(documents.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, list[int]] = {}
+        seen: dict[tuple[str, str], list[int]] = {}
+
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame([(*k, *c) for k, c in seen.items()], columns=["w", "head", "n", "free"])
+
         for b in batches:
             for t in b["t"]:
-                for w, free in free_words(t, given):
-                    c = seen.setdefault(w, [0, 0])
+                for w, free, head in free_words(t, given):
+                    c = seen.setdefault((w, head), [0, 0])
                     c[0] += 1
                     c[1] += free
             if len(seen) > 200_000:
-                yield pd.DataFrame([(w, *c) for w, c in seen.items()], columns=["w", "n", "free"])
-                seen = {}
-        yield pd.DataFrame([(w, *c) for w, c in seen.items()], columns=["w", "n", "free"])
+                yield rows()
+                seen.clear()
+        yield rows()
 
-    counts = spread(documents.select(F.col(text).alias("t")).where("t is not null")).mapInPandas(run, "w string, n long, free long")
-    return counts.groupBy("w").agg(F.sum("n").alias("n"), F.sum("free").alias("free")).where("free >= 0.3 * n and free > 0").select("w")
+    counts = spread(documents.select(F.col(text).alias("t")).where("t is not null")).mapInPandas(run, "w string, head string, n long, free long")
+    by_head = counts.groupBy("w", "head").agg(F.sum("n").alias("n"), F.sum("free").alias("free"))
+    by_word = by_head.groupBy("w").agg(F.sum("n").alias("n"), F.sum("free").alias("free"), F.count_if(F.col("head") != "").alias("heads"))
+    free = F.expr("free >= 0.3 * n and free > 0")
+    return by_word.select(F.concat(F.when(free, "c").when(F.col("heads") >= 2, "f"), "w").alias("w")).where("w is not null")
 
 
 def learn_lexicon(documents: DataFrame, text: str, given: frozenset[str]) -> Lexicon:
-    """The lexicon with the common words of all documents."""
-    words = durable(common_words(documents, text, given))
+    """The lexicon with the common words and family names of all documents."""
+    words = durable(corpus_words(documents, text, given))
     few = words.limit(COMMON_WORDS + 1).collect()
-    return Lexicon(given, frozenset(), words) if len(few) > COMMON_WORDS else Lexicon(given, frozenset(r["w"] for r in few))
+    return Lexicon(given, table=words) if len(few) > COMMON_WORDS else Lexicon(given, *marked(r["w"] for r in few))
 
 
-def with_common(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``rows`` (..., t) and ``c``, the common words that each text may ask for; null where the lexicon holds them all.
+def with_words(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``rows`` (..., t) and ``c``, the common words and family names that each text may ask for; null where the lexicon
+    holds them all.
 
-    Found by an equi-join with the table of common words, once for each different text."""
+    Found by an equi-join with the table of words, once for each different text."""
     if lexicon.table is None:
         return spread(rows).withColumn("c", F.lit(None).cast("array<string>"))
     ship(rows.sparkSession)
@@ -503,11 +623,12 @@ def with_common(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             pairs = [(d, w) for d, t in zip(b["d"], b["t"]) for w in asked_words(t)]
-            yield pd.DataFrame(pairs, columns=["d", "w"])
+            yield pd.DataFrame(pairs, columns=["d", "asked"])
 
     keyed = rows.withColumn("d", F.sha2("t", 256))
-    asked = spread(keyed.select("d", "t").where("t is not null")).mapInPandas(run, "d string, w string").distinct()
-    found = asked.join(lexicon.table, "w").groupBy("d").agg(F.collect_list("w").alias("c"))
+    asked = spread(keyed.select("d", "t").where("t is not null")).mapInPandas(run, "d string, asked string").distinct()
+    known = lexicon.table.select(F.expr("substring(w, 2)").alias("asked"), "w")
+    found = asked.join(known, "asked").groupBy("d").agg(F.collect_list("w").alias("c"))
     return keyed.join(found, "d", "left").drop("d").withColumn("c", F.coalesce("c", F.array().cast("array<string>")))
 
 
@@ -520,8 +641,8 @@ def fit(documents: DataFrame, text: str, given: frozenset[str], sample: int = SA
     """The lexicon (from all documents) and the model (from at most ``sample`` documents)."""
     ship(documents.sparkSession)
     lexicon = learn_lexicon(documents, text, given)
-    rows = documents.select(F.col(text).alias("t")).where("t is not null and length(t) between 1 and 20000").withColumn("h", F.xxhash64("t")).orderBy("h").limit(sample)
-    rows = rows.withColumn("c", F.lit(None).cast("array<string>")) if lexicon.table is None else with_common(durable(rows), lexicon)
+    rows = documents.select(F.col(text).alias("t")).where("t is not null and t <> ''").where(F.length("t") <= SAMPLE_CHARS).withColumn("h", F.xxhash64("t")).orderBy("h").limit(sample)
+    rows = rows.withColumn("c", F.lit(None).cast("array<string>")) if lexicon.table is None else with_words(durable(rows), lexicon)
     propose = Proposers(lexicon)
     return lexicon, train([m for r in sorted(rows.select("h", "t", "c").collect(), key=lambda r: (r["h"], r["t"])) if (m := propose(r["t"], r["c"]))])
 
@@ -534,7 +655,7 @@ def find_personal(documents: DataFrame, key: str, text: str, lexicon: Lexicon, m
     """
     spark = documents.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast((Lexicon(lexicon.given, lexicon.common), model))
+    shared = spark.sparkContext.broadcast((Lexicon(lexicon.given, lexicon.common, lexicon.family), model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex, crf = shared.value
@@ -546,7 +667,7 @@ def find_personal(documents: DataFrame, key: str, text: str, lexicon: Lexicon, m
                 rows += [(k, KINDS[y], m.start, m.end) for m, y in zip(found, crf.label(found)) if y != NONE]
             yield pd.DataFrame(rows, columns=["k", "kind", "start_pos", "end_pos"])
 
-    rows = with_common(documents.select(sent(documents, key, "k"), F.col(text).alias("t")).where("t is not null"), lexicon)
+    rows = with_words(documents.select(sent(documents, key, "k"), F.col(text).alias("t")).where("t is not null"), lexicon)
     found = rows.mapInPandas(run, f"k {sent_type(documents, key)}, kind string, start_pos int, end_pos int")
     return found.distinct().select(returned(documents, key, "k"), "kind", "start_pos", "end_pos")
 
@@ -555,7 +676,7 @@ def redact(documents: DataFrame, key: str, text: str, lexicon: Lexicon, model: S
     """(key, text): every piece replaced with its kind in square brackets; null stays null; a row for each row."""
     spark = documents.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast((Lexicon(lexicon.given, lexicon.common), model))
+    shared = spark.sparkContext.broadcast((Lexicon(lexicon.given, lexicon.common, lexicon.family), model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex, crf = shared.value
@@ -570,6 +691,6 @@ def redact(documents: DataFrame, key: str, text: str, lexicon: Lexicon, model: S
                 texts.append(t)
             yield pd.DataFrame({"k": b["k"], "text": texts})
 
-    rows = with_common(documents.select(sent(documents, key, "k"), F.col(text).alias("t")), lexicon)
+    rows = with_words(documents.select(sent(documents, key, "k"), F.col(text).alias("t")), lexicon)
     out = rows.mapInPandas(run, f"k {sent_type(documents, key)}, text string")
     return out.select(returned(documents, key, "k"), "text")

@@ -64,6 +64,10 @@ def test_names(proposer, text, found):
     assert spans(proposer, text, pii.NAME) == found
 
 
+NO_SKIP = np.zeros((len(pii.REPEATS), len(pii.KINDS), len(pii.KINDS)))
+AGREE = NO_SKIP + 1.5 * np.eye(len(pii.KINDS))
+
+
 def mention(a, z, kinds, features, keys=()):
     return pii.Mention(a, z, kinds, features, keys)
 
@@ -81,7 +85,7 @@ def brute_marginals(model, mentions, edges):
 def test_belief_propagation_is_exact_on_chains():
     rng = np.random.default_rng(3)
     for _ in range(20):
-        model = pii.SkipChainModel(rng.normal(size=(pii.BUCKETS, len(pii.KINDS))), rng.normal(size=(len(pii.KINDS),) * 2))
+        model = pii.SkipChainModel(rng.normal(size=(pii.BUCKETS, len(pii.KINDS))), rng.normal(size=(len(pii.KINDS),) * 2), NO_SKIP)
         ms = [mention(10 * i, 10 * i + 5, (pii.PHONE, pii.NAME), [f"f{rng.integers(9)}"]) for i in range(4)]
         assert model.label(ms) == brute_marginals(model, ms, [(i, i + 1, model.chain) for i in range(3)])
 
@@ -90,12 +94,46 @@ def test_repeated_mentions_agree():
     w = np.zeros((pii.BUCKETS, len(pii.KINDS)))
     w[pii.bucket("clear"), pii.NAME] = 3.0
     w[pii.bucket("vague"), pii.NONE] = 0.4
-    model = pii.SkipChainModel(w, np.zeros((len(pii.KINDS),) * 2))
+    model = pii.SkipChainModel(w, np.zeros((len(pii.KINDS),) * 2), AGREE)
     alone = [mention(0, 5, (pii.NAME,), ["clear"]), mention(900, 905, (pii.NAME,), ["vague"])]
     assert model.label(alone) == [pii.NAME, pii.NONE]
     for m in alone:
         m.keys = ("fsame",)
-    assert model.label(alone) == [pii.NAME, pii.NAME]
+    assert model.label(alone) == [pii.NAME, pii.NAME] and model.label(alone, skips=False) == [pii.NAME, pii.NONE]
+
+
+def test_belief_propagation_with_a_skip_edge_on_a_tree():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        skip = rng.normal(size=(len(pii.REPEATS), len(pii.KINDS), len(pii.KINDS)))
+        model = pii.SkipChainModel(rng.normal(size=(pii.BUCKETS, len(pii.KINDS))), rng.normal(size=(len(pii.KINDS),) * 2), skip)
+        ms = [mention(0, 5, (pii.PHONE, pii.NAME), ["f1"], ("fx",)), mention(10, 15, (pii.PHONE, pii.NAME), ["f2"]), mention(900, 905, (pii.PHONE, pii.NAME), ["f3"], ("fx",))]
+        assert pii.skip_edges(ms) == [(0, 2, pii.REPEATS.index("f"))] and pii.chain_edges(ms) == [(0, 1)]
+        assert model.label(ms) == brute_marginals(model, ms, [(0, 1, model.chain), (0, 2, skip[pii.REPEATS.index("f")])])
+
+
+def test_pseudo_likelihood_learns_repetition():
+    """Where features say nothing, the label of the repeated mention is learned to decide, for and against agreement."""
+    f = np.array([1])
+    admitted = np.array([0, -1e9, -1e9, -1e9, -1e9, 0])
+    for agree in (True, False):
+        examples = [pii.Example(f, admitted, y if agree else pii.NAME - y, 1.0, (), (), ((pii.REPEATS.index("f"), y),)) for y in (pii.NONE, pii.NAME)] * 50
+        skip = pii.pseudo_likelihood(examples, 4, 0.3, 1e-4).skip[pii.REPEATS.index("f")]
+        assert (skip[pii.NAME, pii.NAME] + skip[pii.NONE, pii.NONE] > skip[pii.NAME, pii.NONE] + skip[pii.NONE, pii.NAME] + 1) == agree
+
+
+def test_fitted_skip_edges_change_rows(spark, sf):
+    """A person named with a title is found elsewhere in the text too, in a place that says nothing; not so without the skip edges."""
+    sf = sf.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    given = pii.given_name_list(spark.read.parquet(f"{sf}/given_names.parquet"), "given_name")
+    lexicon, model = pii.fit(docs, "text", given)
+    propose, changed = pii.Proposer(lexicon), []
+    for later in ("Later Ilmari Quantock shared a desk.", "Version 4 of the Ilmari Quantock Glossary is out.", "The riddle asks which of Ilmari Quantock and others won."):
+        ms = propose(f"We met Dr. Ilmari Quantock near the archive. {later}")
+        assert [(x, y) for x, y in zip(model.label(ms), model.label(ms, skips=False))][0] == (pii.NAME, pii.NAME)
+        changed += [(x, y) for x, y in zip(model.label(ms), model.label(ms, skips=False)) if x != y]
+    assert changed and set(changed) == {(pii.NAME, pii.NONE)}
 
 
 def test_rows(spark, sf):
@@ -111,6 +149,29 @@ def test_rows(spark, sf):
     assert pii.find_personal(df.where("false"), "doc_id", "text", lexicon, model).count() == 0
 
 
+def test_words_that_follow_a_listed_name_as_a_rule_are_no_family_names(spark):
+    """"Last spring", where the spring is a listed name too, is no person, however often it is written."""
+    plain = ["نسخه را طبق توافق بهار گذشته بررسی کرد. هر بهار باران بارید.", "خانم بهار شاهگپور خواند.", "آقای نادر شاهگپور خواند.", "نادر دریاپور و سحر دریاپور خواندند."]
+    df = spark.createDataFrame([(i, plain[i % 4]) for i in range(80)], "doc_id long, text string")
+    lexicon, model = pii.fit(df, "text", GIVEN)
+    assert {"شاهگپور", "دریاپور"} <= lexicon.family and "گذشته" not in lexicon.family
+    found = {plain[r["doc_id"] % 4][r["start_pos"] : r["end_pos"]] for r in pii.find_personal(df, "doc_id", "text", lexicon, model).collect()}
+    assert found == {"بهار شاهگپور", "نادر شاهگپور", "نادر دریاپور", "سحر دریاپور"}
+
+
+def test_places_taken():
+    spans = pii.Spans([mention(10, 20, (), []), mention(2, 5, (), []), mention(30, 31, (), [])])
+    taken = [(2, 5), (10, 20), (30, 31)]
+    for a in range(35):
+        for z in range(a + 1, 36):
+            assert spans.hit(a, z) == any(a < y and x < z for x, y in taken)
+
+
+def test_sentence_starts():
+    for text, start in (("Word", True), ("« Word", True), ("It ended. Word", True), ("It ended.” — Word", True), ("by G. Word", False), ("with Prof. Word", False), ("see\n\n*   Word", True), ("list:\n- Word", True), ("a, Word", False), ("said “Word", True), ("page 5. Word", True)):
+        assert pii._begins_sentence(text, text.index("Word")) == start, text
+
+
 def test_common_words_are_not_cut(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     many = " ".join(f"{a}{b}{c}{d}" for a in letters[:3] for b in letters for c in letters for d in letters)
@@ -138,7 +199,7 @@ def test_looked_up_common_words(spark, sf, monkeypatch):
             asked.add(w)
             return super().__contains__(w)
 
-    propose = pii.Proposer(pii.Lexicon(given, Asked()))
+    propose = pii.Proposer(pii.Lexicon(given, Asked(), Asked()))
     for t in [r["text"] for r in docs.collect() if r["text"]] + ["Smith، شارع النصر 5، دبي", "كتبنا إلى دبي الجديدة، شارع النصر"]:
         asked = set()
         propose(t)
