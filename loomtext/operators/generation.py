@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import ship
+from ..shared import ship, vectorised
 from .checkpoint import KEY
 from .segments import estimate, normalize_column
 
@@ -84,7 +84,7 @@ def first_json_object(raw: str | None) -> dict | None:
 def extract_json(raw: Column) -> Column:
     """The first JSON object of a text, compact, keys as they come; null without any."""
 
-    @F.pandas_udf("string")
+    @vectorised("string")
     def run(texts: pd.Series) -> pd.Series:
         found = (first_json_object(t) for t in texts)
         return pd.Series([None if x is None else json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in found], dtype=object)

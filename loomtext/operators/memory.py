@@ -9,7 +9,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import ship
+from ..shared import ship, vectorised
 from .segments import estimate, pieces_under_budget
 
 
@@ -100,8 +100,8 @@ def _starts(text: str) -> list[str]:
 def with_own_terms(distinct: DataFrame, terms: DataFrame) -> DataFrame:
     """``distinct`` and ``own``, the terms (source, target) that occur in each text: found by an equi-join on what a term
     begins with, so the terms are never sent along as a whole."""
-    one_case = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else x.translate(_ONE_CASE)), "string")
-    starts = F.pandas_udf(lambda s: s.map(lambda x: _starts(x or "")), "array<string>")
+    one_case = vectorised("string")(lambda s: s.map(lambda x: None if x is None else x.translate(_ONE_CASE)))
+    starts = vectorised("array<string>")(lambda s: s.map(lambda x: _starts(x or "")))
     t = terms.select("source", "target", one_case("source").alias("_find")).withColumn("_start", F.substring("_find", 1, TERM_PREFIX))
     begun = distinct.select("cache_key", F.explode(starts("text")).alias("_start")).join(t, "_start").drop("_start")
     held = begun.join(distinct.select("cache_key", one_case("text").alias("_in")), "cache_key").where(F.col("_in").contains(F.col("_find")))
@@ -167,7 +167,7 @@ def protect_column(text: Column, terms: Sequence[tuple[str, str]] = ()) -> Colum
     """STRUCT<protected, held MAP>; null gives null."""
     terms = list(terms)
 
-    @F.pandas_udf("struct<protected:string,held:map<string,string>>")
+    @vectorised("struct<protected:string,held:map<string,string>>")
     def run(t: pd.Series) -> pd.DataFrame:
         p = Protector(terms)
         rows = [(None, None) if x is None else p.protect(x) for x in t]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.packing import pack_texts
-from .operators.split import split_items
+from .operators.split import cell_size, split_items
 from .shared import size_limit, table, unit_texts
 
 
@@ -23,9 +23,11 @@ def _sized_items(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, dict
 
 
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_kind, item_key, piece_no, start_pos, end_pos, piece) of each oversized item."""
+    """(item_kind, item_key, piece_no, start_pos, end_pos, piece) of each oversized item.
+
+    The items of these tables are short beside the ranges of the operator: with ranges of one cell, the longest have several."""
     parts = [
-        split_items(items, "item_key", "text", limit["max_chars"], limit["overlap_chars"]).select(F.lit(limit["item_kind"]).alias("item_kind"), "item_key", "piece_no", "start_pos", "end_pos", "piece")
+        split_items(items, "item_key", "text", limit["max_chars"], limit["overlap_chars"], range_chars=cell_size(limit["max_chars"])).select(F.lit(limit["item_kind"]).alias("item_kind"), "item_key", "piece_no", "start_pos", "end_pos", "piece")
         for items, limit in _sized_items(spark, sf_dir)
     ]
     return parts[0].unionByName(parts[1])

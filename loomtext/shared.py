@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +16,9 @@ from pyspark.sql.types import DecimalType, IntegralType
 _SHIPPED: set[str] = set()
 
 
-def ship(spark: SparkSession) -> None:
+def ship(spark: SparkSession | None = None) -> None:
     """Make this package importable in Python workers on other machines; once for each application."""
+    spark = spark or SparkSession.active()
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -29,16 +31,32 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def vectorised(kind: str) -> Callable[[Callable], Callable[..., Column]]:
+    """A function of pandas series as a function of columns, wherever its workers run."""
+
+    def made(f: Callable) -> Callable[..., Column]:
+        ship()
+        return F.pandas_udf(kind)(f)
+
+    return made
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a folder of our own only where the setting is unset, as in tests."""
+    """The shared folder named by the cluster in ``spark.checkpoint.dir``.  Where that is unset: on one machine a folder of
+    our own, on a cluster one in the default file system, if that is shared; else an error."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if where is None:
-        where = "file://" + os.path.join(tempfile.gettempdir(), "loomtext-checkpoints")
+        if sc.master.startswith("local"):
+            where = "file://" + os.path.join(tempfile.gettempdir(), "loomtext-checkpoints")
+        elif (root := sc._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")).startswith("file:"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        else:
+            where = f"{root.rstrip('/')}/tmp/loomtext-checkpoints"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(where)
     return where
@@ -46,10 +64,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def durable(df: DataFrame) -> DataFrame:
     """The rows written once as a Parquet table in the shared folder: cuts lineage, survives lost executors, and later
-    reads prune columns."""
+    reads prune columns.  The table is removed when the driver ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/loomtext-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.parquet(path)
 
 
@@ -87,6 +107,11 @@ def returned(df: DataFrame, column: str, name: str) -> Column:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan on its way to Python, over all cores where it comes in fewer partitions, as from one small file; else as it is."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+    """Rows on their way to Python, over all cores where they are read in fewer tasks, as from one small file; else as they
+    are.  Judged by the files alone (their bytes over those of a task, and their number): nothing is planned or run."""
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    optimized = scan._jdf.queryExecution().optimizedPlan()
+    if int(optimized.stats().sizeInBytes()) >= cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() or len(scan.inputFiles()) >= cores:
+        return scan
+    return scan.repartition(cores)
