@@ -1,10 +1,16 @@
 """Problem 5: stored texts that stop before their end, and how often each source truncates.
 
-The evidence is of two kinds.  *Word*: the final token is no known word but a proper prefix of known ones, looked up in
-a trie of the corpus vocabulary; the trie is a table of nodes (one row for each prefix, keyed by it), so it may grow with
-the corpus without ever being in one place.  *Length and shape*: what is left, after whatever was put behind the stop is
-taken off, lacks an end of sentence although sentences came before it, although the text it renders has one, or at
-exactly the length at which its source keeps stopping.  Headings, cells and codes lack an end of sentence by right.
+The vocabulary of the corpus is a *trie*: a table of nodes (one row for each prefix, keyed by it) with how many texts
+hold words that run through it, end in it, and end the text in it; it may grow with the corpus without ever being in one place.  Evidence:
+
+* ``word``: the final token is a proper prefix of known words and no word itself, or one next to never seen beside them.
+* ``ending``: the final token is a word that hardly ever ends a text.
+* ``sentence``: sentences came before, and the last one lacks its end.
+* ``length``: the text stops at a length at which its source keeps stopping.
+* ``source``: the text that it renders ends its sentence.  This only confirms a final token that seldom ends a text,
+  or no other text.
+
+What was put behind the stop is taken off first.  Headings, cells and codes lack an end of sentence by right.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..shared import durable, returned, sent, sent_type, ship, spread
 
@@ -28,9 +35,15 @@ _FINISHED = regex.compile(r"[.!?؟。！？۔][\"'”’»)\]]*\Z")
 _SENTENCE_BEFORE = regex.compile(r"[\p{L}\p{M}]{2}[\"'”’»)\]]*[.!?؟。۔][\"'”’»)\]]*\s")
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[‌'’-][\p{L}\p{M}\p{N}]+)*")
 _HAS_DIGIT = regex.compile(r"\p{N}")
+_LETTER, _JOINS = regex.compile(r"[\p{L}\p{M}\p{N}]"), "\u200c'’-"
 
-#: A length is a limit of a source where at least so many unfinished texts have it, and so large a share of all its texts of that length.
-LIMIT_ROWS, LIMIT_SHARE = 20, 0.5
+#: A word that fewer texts hold, relative to the longer words that begin with it, is none.
+KNOWN_SHARE = 0.01
+#: A final word is evidence where so small a share of its texts ends in it; and with the rendered text's, so small a one.
+ENDING_SHARE, SELDOM_SHARE = 0.002, 0.05
+#: A length is a limit of a source where at least so many unfinished texts stop at it, so many times as many as at the
+#: lengths around it (so far away) on average.
+LIMIT_ROWS, LIMIT_TIMES, LIMIT_AROUND = 3, 5, 10
 
 
 def stop_of(text: str) -> str:
@@ -49,26 +62,37 @@ def finished(text: str) -> bool:
     return _FINISHED.search(text) is not None
 
 
-def shape(text: str) -> tuple[str, str]:
-    """(shape, final token): 'blank', 'finished', 'open' (sentences, the last one unfinished) or 'fragment'."""
+def last_word(text: str) -> str:
+    """The last word, however long; '' without any."""
+    z = len(text)
+    while z and not _LETTER.match(text[z - 1]):
+        z -= 1
+    a = z
+    while a and (_LETTER.match(text[a - 1]) or (text[a - 1] in _JOINS and a > 1 and _LETTER.match(text[a - 2]))):
+        a -= 1
+    return text[a:z]
+
+
+def shape(text: str) -> tuple[str, str, int]:
+    """(shape, final token, where it stops): 'blank', 'finished', 'open' (sentences, the last one unfinished) or 'fragment'."""
     body = stop_of(text)
-    words = WORD.findall(body[-400:])
-    if not words:
-        return "blank", ""
-    last = words[-1]
+    last = last_word(body)
+    if not last:
+        return "blank", "", len(body)
     if finished(body):
-        return "finished", last
-    return ("open" if _SENTENCE_BEFORE.search(body) else "fragment"), last
+        return "finished", last, len(body)
+    return ("open" if _SENTENCE_BEFORE.search(body) else "fragment"), last, len(body)
 
 
 def vocabulary(texts: DataFrame, text: str, flush: int = 200_000) -> DataFrame:
-    """(word, n): words of all texts and how often they occur, except the final one of each text, which may be cut."""
+    """(word, n): words and how many texts hold them, except as the final one, which may be cut; counted over all texts."""
+    ship(texts.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, int] = {}
         for b in batches:
             for t in b["t"]:
-                for w in WORD.findall(stop_of(t))[:-1]:
+                for w in set(WORD.findall(stop_of(t))[:-1]):
                     seen[w] = seen.get(w, 0) + 1
             if len(seen) > flush:
                 yield pd.DataFrame(list(seen.items()), columns=["word", "n"])
@@ -80,9 +104,28 @@ def vocabulary(texts: DataFrame, text: str, flush: int = 200_000) -> DataFrame:
 
 
 def trie(words: DataFrame) -> DataFrame:
-    """(prefix, words): the inner nodes of the trie, each with the number of known words below it."""
-    inner = words.where(F.length("word") > 1).select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, 1, i))")).alias("prefix"))
-    return inner.groupBy("prefix").agg(F.count("*").alias("words"))
+    """(prefix, below): the inner nodes of the trie, each with the sum of n over the longer words below it; from (word, n)."""
+    spread_out = words.where(F.length("word") > 1).repartition(words.sparkSession.sparkContext.defaultParallelism)
+    inner = spread_out.select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, 1, i))")).alias("prefix"), "n")
+    return inner.groupBy("prefix").agg(F.sum("n").alias("below"))
+
+
+def final_words(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(last, no_word, hardly_word, ends, only_here): what the trie says of each final token of ``rows`` (last): whether it
+    is no word but a proper prefix of some; whether it is next to none beside them; the share of its texts that end
+    in it; whether it stands within texts and ends one only."""
+    finals = rows.where("last <> ''").groupBy("last").agg(F.count("*").alias("ended"))
+    said = finals.join(known.withColumnRenamed("word", "last"), "last", "left").join(trie(known).withColumnRenamed("prefix", "last"), "last", "left")
+    n, below = F.coalesce("n", F.lit(0)), F.coalesce("below", F.lit(0))
+    return said.select("last", ((n == 0) & (below > 0)).alias("no_word"), (n < KNOWN_SHARE * below).alias("hardly_word"), (F.col("ended") / (n + F.col("ended"))).alias("ends"), ((n > 0) & (F.col("ended") == 1)).alias("only_here"))
+
+
+def stopping_lengths(rows: DataFrame, source: str, length: str) -> DataFrame:
+    """(_source, _n): lengths at which unfinished texts of a source pile up, relative to the lengths around."""
+    bad = rows.where("shape = 'open'").groupBy(F.col(source).alias("_source"), F.col(length).alias("_n")).agg(F.count("*").alias("bad"))
+    around = Window.partitionBy("_source").orderBy("_n").rangeBetween(-LIMIT_AROUND, LIMIT_AROUND)
+    others = (F.sum("bad").over(around) - F.col("bad")) / (2 * LIMIT_AROUND)
+    return bad.withColumn("others", others).where((F.col("bad") >= LIMIT_ROWS) & (F.col("bad") >= LIMIT_TIMES * F.col("others"))).select("_source", "_n")
 
 
 def truncated(texts: DataFrame, keys: list[str], source: str, text: str, rendered: DataFrame | None = None, rendered_keys: list[str] | None = None) -> DataFrame:
@@ -98,24 +141,19 @@ def truncated(texts: DataFrame, keys: list[str], source: str, text: str, rendere
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            seen = [shape(t) if t else ("blank", "") for t in b["t"]]
+            seen = [shape(t) if t else ("blank", "", 0) for t in b["t"]]
             out = b[[*keys, source]].copy()
-            out["n_chars"] = [len(t) if t else 0 for t in b["t"]]
-            out["shape"], out["last"] = [s for s, _ in seen], ["" if _HAS_DIGIT.search(w) else w for _, w in seen]
+            out["n_chars"], out["stop"] = [len(t) if t else 0 for t in b["t"]], [n for _, _, n in seen]
+            out["shape"], out["last"] = [s for s, _, _ in seen], ["" if _HAS_DIGIT.search(w) else w for _, w, _ in seen]
             yield out
 
-    seen = spread(texts.select(*(sent(texts, c, c) for c in [*keys, source]), F.col(text).alias("t"))).mapInPandas(look, f"{kinds}, n_chars int, shape string, last string").distinct()
-    rows = durable(seen.select(*(returned(texts, c, c) for c in [*keys, source]), "n_chars", "shape", "last"))
-
-    known = durable(vocabulary(texts, text))
-    finals = rows.where("last <> ''").select(F.col("last").alias("word")).distinct()
-    strange = finals.join(known.select("word"), "word", "left_anti").withColumnRenamed("word", "prefix")
-    cut_words = strange.join(trie(known), "prefix", "left_semi").select(F.col("prefix").alias("last"), F.lit(True).alias("cut_word"))
-    rows = rows.join(cut_words, "last", "left")
+    seen = spread(texts.select(*(sent(texts, c, c) for c in [*keys, source]), F.col(text).alias("t"))).mapInPandas(look, f"{kinds}, n_chars int, stop int, shape string, last string").distinct()
+    rows = durable(seen.select(*(returned(texts, c, c) for c in [*keys, source]), "n_chars", "stop", "shape", "last"))
 
-    lengths = rows.where("shape <> 'blank'").groupBy(source, "n_chars").agg(F.count("*").alias("all"), F.count(F.when(F.col("shape") == "open", 1)).alias("bad"))
-    limits = lengths.where((F.col("bad") >= LIMIT_ROWS) & (F.col("bad") >= LIMIT_SHARE * F.col("all"))).select(F.col(source).alias("_source"), F.col("n_chars").alias("_n"), F.lit(True).alias("at_limit"))
-    rows = rows.join(limits, F.col(source).eqNullSafe(F.col("_source")) & (F.col("n_chars") == F.col("_n")), "left").drop("_source", "_n")
+    rows = rows.join(final_words(rows, durable(vocabulary(texts, text))), "last", "left")
+    for length, at_limit in (("n_chars", "stored_limit"), ("stop", "stop_limit")):
+        limits = stopping_lengths(rows, source, length).withColumn(at_limit, F.lit(True))
+        rows = rows.join(limits, F.col(source).eqNullSafe(F.col("_source")) & (F.col(length) == F.col("_n")), "left").drop("_source", "_n")
 
     if rendered is not None:
         kinds_r = ", ".join(f"`{c}` {sent_type(rendered, c)}" for c in rendered_keys)
@@ -134,12 +172,14 @@ def truncated(texts: DataFrame, keys: list[str], source: str, text: str, rendere
     unfinished = F.col("shape").isin("open", "fragment")
     evidence = F.array_compact(
         F.array(
-            F.when(F.col("cut_word"), "word"),
+            F.when(F.col("no_word") | (unfinished & F.col("hardly_word")), "word"),
+            F.when(unfinished & (F.col("ends") < ENDING_SHARE), "ending"),
             F.when(F.col("shape") == "open", "sentence"),
-            F.when(unfinished & F.col("whole"), "source"),
-            F.when(unfinished & F.col("at_limit"), "length"),
+            F.when(unfinished & (F.coalesce("stored_limit", F.lit(False)) | F.coalesce("stop_limit", F.lit(False))), "length"),
         )
     )
+    confirmed = unfinished & F.col("whole") & ((F.size(evidence) > 0) | (F.col("ends") < SELDOM_SHARE) | F.col("only_here"))
+    evidence = F.concat(evidence, F.when(confirmed, F.array(F.lit("source"))).otherwise(F.array().cast("array<string>")))
     rows = rows.select(*keys, source, "n_chars", evidence.alias("evidence"))
     by_key = rows.groupBy(*keys).agg(F.first(source).alias(source), F.max("n_chars").alias("n_chars"), F.max_by("evidence", F.size("evidence")).alias("evidence"))
     return by_key.withColumn("is_truncated", F.size("evidence") > 0)
