@@ -1,7 +1,7 @@
 """Problem 4: prompt and response pairs whose response is no usable answer, each with its first kind of defect.
 
 * ``empty``: nothing visible.
-* ``refusal``: a multi-pattern automaton finds phrases of declining in the response and none in the prompt.
+* ``refusal``: the refusal automaton accepts the response and not the prompt (:mod:`~loomtext.llm.refusal`).
 * ``copy``: the response walks through a suffix automaton of the prompt; the share of the prompt that runs of it cover is
   what was copied, whatever was done to case, spaces, punctuation or quotes.
 * ``truncated``: the prompt ends its last sentence, the response does not, or leaves delimiters of its stack open.
@@ -11,60 +11,29 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Mapping
 
-import ahocorasick
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..shared import durable, returned, sent, sent_type, ship, spread
 from .cutoff import finished, stop_of
 from .fold import Folder
-
-#: Phrases by which a model declines (2: alone enough; 1: only with another).
-DECLINING = {
-    2: """i can't translate|i cannot translate|i can not translate|i can't help|i cannot help|i can't assist|i cannot assist|i can't provide|i cannot provide
-i can't do|i cannot do|i can't continue|i cannot continue|i can't process|i cannot process|i can't fulfil|i cannot fulfil|i can't comply|i cannot comply|i can't complete|i cannot complete
-i am unable to|i'm unable to|i am not able to|i'm not able to|i must decline|i have to decline|i need to decline|i decline to|i won't be|i will not be|i won't translate|i will not translate
-i won't continue|i must refuse|i refuse to|as a language model|as an ai|as a large language model|no translation can be given|no translation can be provided|no translation is possible here
-i'm afraid i can|i am afraid i can|i'm not comfortable|i am not comfortable|against my guidelines|beyond my abilities|outside my abilities|outside what i may|outside what i can|beyond what i may|beyond what i can|is outside my|goes beyond my|not something i can|the assistant cannot|the assistant can't|the assistant is unable|this assistant cannot|the model cannot|cannot be completed by the assistant|i am not allowed|i'm not allowed|i'm not permitted
-نمی توانم این|نمی توانم به|نمی توانم در|نمی توانم ترجمه|نمیتوانم|قادر نیستم|قادر به ترجمه نیستم|به عنوان یک مدل|مدل زبانی|هوش مصنوعی|اجازه این کار را ندارم|خارج از توان من|معذورم|رهنمودهای من|نمی توانم|ترجمه ای ارائه نمی شود|دستیار نمی تواند|دستیار قادر|این دستیار|امکان پاسخ|امکان ترجمه این|امکان انجام این|از پاسخ دادن خودداری
-لا يمكنني|لا أستطيع|لا استطيع|ليس بإمكاني|لست قادرا|غير قادر على|أعتذر عن|نعتذر عن|بصفتي نموذجا|نموذجا لغويا|نموذج لغوي|كنموذج لغوي|خارج قدرتي|يتعذر علي|يؤسفني أنني|إرشاداتي|لن أتمكن|لن أستطيع|لا يسعني|لا تتوفر لدي|لن أواصل|لا يمكن للمساعد|لا يستطيع المساعد|المساعد غير قادر|لا يمكن للنموذج|هذا الطلب خارج|لا يمكن الرد على هذا الطلب|لا يمكن تقديم ترجمة""",
-    1: """i'm sorry|i am sorry|apologies|unfortunately|thank you for the text|thank you for your|i cannot|i can't|i won't|ask a human translator|let me know if|is there another text|without more context|looks sensitive
-متأسفم|پوزش|با عرض معذرت|سپاس از متن|شرمنده|از یک مترجم انسانی|متن دیگری دارید|اگر کار دیگری|متن کامل فرستاده شود
-للأسف|عذرا|آسف|نعتذر|أعتذر|معذرة|شكرا على النص|يرجى سؤال مترجم|أخبرني إن كان|هل لديك نص آخر|مترجم بشري""",
-}
+from .refusal import RefusalAutomaton
 
 MIN_RUN = 20  # letters of a copied run
 COPIED = 0.8  # share of the prompt's letters
-STOPWORDS = 5000  # of each language, where a short list is asked for
 #: Words with their languages, up to so many, are sent along; of more, each text gets its own.
 SENT_WORDS = 50_000
 _INVISIBLE = regex.compile(r"[\s\p{C}\p{Z}\p{M}ㅤ⠀]+")
 _NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 _NOT_TEXT = regex.compile(r"(?:https?://|www\.)\S+|(?<!\S)\S*@\S+|\b(?=[A-Za-z0-9]{10})[A-Za-z0-9]*?(?:[a-z][A-Z0-9]|[0-9][A-Za-z])[A-Za-z0-9]*")
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-_SPACES = re.compile("[\\s‌]+")
 _CLOSES = {"»": "«", "”": "“", ")": "(", "]": "["}
 
 
-def declining() -> ahocorasick.Automaton:
-    fold, a = Folder(), ahocorasick.Automaton()
-    for weight, phrases in DECLINING.items():
-        for p in re.split(r"[|\n]", phrases):
-            a.add_word(" " + _plain(fold(p)), (weight, p))
-    a.make_automaton()
-    return a
-
-
-def _plain(folded: str) -> str:
-    return _SPACES.sub(" ", folded.replace("’", "'").casefold())
-
-
 class SuffixAutomaton:
     """All substrings of one string."""
 
@@ -143,11 +112,8 @@ def words_of(folded: str) -> list[str]:
 
 class PairJudge:
     def __init__(self, stopwords: Mapping[str, str]) -> None:
-        self.fold, self.phrases, self.stopwords = Folder(), declining(), stopwords
-
-    def declines(self, folded: str) -> bool:
-        found = {x for _, x in self.phrases.iter_long(" " + _plain(folded))}
-        return sum(w for w, _ in found) >= 2
+        self.fold, self.stopwords = Folder(), stopwords
+        self.refusal = RefusalAutomaton(self.fold)
 
     def language_of(self, folded: str) -> str | None:
         """The language with most votes; None without any."""
@@ -173,7 +139,7 @@ class PairJudge:
             return "empty"
         source = source or ""
         s, t = self.fold(source), self.fold(target)
-        if self.declines(t) and not self.declines(s):
+        if self.refusal.declines(t) and not self.refusal.declines(s):
             return "refusal"
         if copied_share(s, t) >= COPIED:
             return "copy"
@@ -186,9 +152,9 @@ class PairJudge:
         return "language" if wanted and found and found != wanted else None
 
 
-def word_languages(pairs: DataFrame, language: str, text: str, top: int | None = None) -> DataFrame:
-    """(w, l): word and the language in which it is relatively most frequent; counted over all texts.  With ``top``, only
-    of the so many most frequent words of each language."""
+def word_languages(pairs: DataFrame, language: str, text: str) -> DataFrame:
+    """(w, l): word and the language in which it is relatively most frequent; counted over all texts."""
+    ship(pairs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fold, seen = Folder(), {}
@@ -204,19 +170,13 @@ def word_languages(pairs: DataFrame, language: str, text: str, top: int | None =
     counts = spread(pairs.select(F.col(language).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null")).mapInPandas(run, "l string, w string, n long")
     counts = counts.groupBy("l", "w").agg(F.sum("n").alias("n"))
     share = counts.join(counts.groupBy("l").agg(F.sum("n").alias("all")), "l").withColumn("share", F.col("n") / F.col("all"))
-    if top is not None:
-        share = share.withColumn("place", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).where(F.col("place") <= top)
     return share.groupBy("w").agg(F.max(F.struct("share", "l"))["l"].alias("l"))
 
 
-def learn_stopwords(pairs: DataFrame, language: str, text: str, top: int = STOPWORDS) -> dict[str, str]:
-    """Word -> the language in which it is relatively most frequent, of the ``top`` words of each language."""
-    return {r["w"]: r["l"] for r in word_languages(pairs, language, text, top).collect()}
-
-
 def with_own_words(rows: DataFrame, words: DataFrame) -> DataFrame:
     """``rows`` (..., t) and ``own``, the languages of the words of each text; found by an equi-join, once for each
     different text."""
+    ship(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fold = Folder()
