@@ -17,7 +17,6 @@ from pyspark.sql.window import Window
 
 from ..shared import sent, ship
 
-SALTS = 32
 NO_GROUP = "\0"
 
 
@@ -73,23 +72,23 @@ def slots(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return rows
 
 
-def pack(items: DataFrame, group: str, ids: list[str], length: str, capacity: int, salts: int = SALTS) -> DataFrame:
+def pack(items: DataFrame, group: str, ids: list[str], length: str, capacity: int, salts: int | None = None) -> DataFrame:
     """(group, ids..., length, request_no): containers numbered from 0 in each group, none above ``capacity``.
 
     Items longer than ``capacity`` are the caller's to cut (see :func:`pack_texts`); here they raise.  A null length counts
     as 0; items of a null group are a group.  Repeated ids of a group count once, with their greatest length.  Ties are ordered by id.  An empty table: no
     rows.  One group may hold any share of the rows: it is planned from at most ``capacity + 1`` lengths, and ranks
-    within a length are counted in ``salts`` parts that are then added up.
+    within a length are counted in ``salts`` parts (as many as there are shuffle partitions) that are then added up.
+    Items meet the plan part by part, where they were ranked: one row with the slots of their length.
     """
     spark = items.sparkSession
     ship(spark)
+    salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = items.groupBy(F.coalesce(sent(items, group, "_g").cast("string"), F.lit(NO_GROUP)).alias("_g"), *ids).agg(F.coalesce(F.max(length), F.lit(0)).cast("int").alias("_n"))
     keyed = keyed.withColumn("_s", F.pmod(F.xxhash64(*ids), F.lit(salts)).cast("int"))
     counts = keyed.groupBy("_g", "_n", "_s").agg(F.count("*").alias("_c"))
     before = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy("_g", "_n").orderBy("_s")) - F.col("_c"))
     ranked = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy("_g", "_n", "_s").orderBy(*ids)) - 1)
-    ranked = ranked.join(before.drop("_c"), ["_g", "_n", "_s"]).withColumn("_rank", F.col("_rn") + F.col("_before"))
-
     histogram = counts.groupBy("_g", "_n").agg(F.sum("_c").alias("_c")).groupBy("_g").agg(F.collect_list(F.struct("_n", "_c")).alias("_h"))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,8 +102,12 @@ def pack(items: DataFrame, group: str, ids: list[str], length: str, capacity: in
             yield pd.DataFrame(rows, columns=["_g", "_n", "_from", "_to", "_each", "_first"])
 
     planned = histogram.mapInPandas(fill, "_g string, _n int, _from long, _to long, _each long, _first long")
-    placed = ranked.join(planned, ["_g", "_n"]).where("_rank >= _from and _rank < _to")
-    number = (F.col("_first") + F.floor((F.col("_rank") - F.col("_from")) / F.col("_each"))).cast("int")
+    slots_of = planned.groupBy("_g", "_n").agg(F.array_sort(F.collect_list(F.struct("_from", "_to", "_each", "_first"))).alias("_slots"))
+    parts = before.drop("_c").join(slots_of, ["_g", "_n"])
+    placed = ranked.join(parts, ["_g", "_n", "_s"]).withColumn("_rank", F.col("_rn") + F.col("_before"))
+    slot = F.filter("_slots", lambda x: (F.col("_rank") >= x["_from"]) & (F.col("_rank") < x["_to"]))[0]
+    placed = placed.withColumn("_slot", slot)
+    number = F.col("_slot._first") + F.floor((F.col("_rank") - F.col("_slot._from")) / F.col("_slot._each"))
     placed = placed.withColumn("_g", F.nullif("_g", F.lit(NO_GROUP)))
     return placed.select(F.col("_g").cast(items.schema[group].dataType).alias(group), *ids, F.col("_n").alias("n_chars"), number.alias("request_no"))
 
