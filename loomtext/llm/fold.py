@@ -30,9 +30,9 @@ from ..shared import durable, returned, sent, sent_type, ship, spread
 #: Letters of one shape in two alphabets (Cyrillic, Greek and others, then the Latin letter).
 LOOKALIKES = (
     "аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ӏl ѵv АA ВB ЕE ЗƷ КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ԌG ԜW Ӏl "
-    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ιı ϳj ϲc ϹC ɑa ɡg ıі "
-    "ԍɢ ո n օo սu զq ցg հh լl աw ՏS ՕO"
-).replace("ո n", "ոn").replace("ıі", "").split()
+    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ιı ϳj ϲc ϹC ɑa ɡg "
+    "ԍɢ ոn օo սu զq ցg հh լl աw ՏS ՕO"
+).split()
 
 #: Punctuation of one shape.
 LOOKALIKE_MARKS = ((";", ";"), ("·", "·"), ("‐", "-"), ("‑", "-"), ("`", "`"), ("ʹ", "ʹ"))
@@ -262,14 +262,12 @@ def consistent_forms(texts: DataFrame, key: str, text: str, frequency: Mapping[s
     return out.select(returned(texts, key, "k"), "form")
 
 
-def lookalike_pairs(texts: DataFrame, scope: str, key: str, text: str, frequency: Mapping[str, int] | None = None) -> DataFrame:
-    """(scope, key_a, key_b), key_a < key_b: keys of one scope whose texts differ as stored and have one consistent form.
+#: Texts of a class, or copies of a text, that one task pairs at a time; larger ones are split.
+PART = 1_000
 
-    Null texts, and texts without a letter or digit: no pairs.  Equal texts: no pair.  Repeated rows of a key: once.
-    An empty table: no rows.  Extra columns are not read.  Only 128-bit digests of texts are shuffled, never texts;
-    pairs are formed between *different texts* first and only then carried over to the keys that share them, so a text
-    with many copies costs no more than the rows it must give.
-    """
+
+def _seen(texts: DataFrame, scope: str, key: str, text: str, frequency: Mapping[str, int] | None) -> DataFrame:
+    """(s, k, form, raw): scope and key of each text with a letter or digit, and digests of its form and of itself; written once."""
     ship(texts.sparkSession)
     frequency = frequencies(texts, text) if frequency is None else dict(frequency)
 
@@ -281,12 +279,50 @@ def lookalike_pairs(texts: DataFrame, scope: str, key: str, text: str, frequency
 
     seen = texts.select(sent(texts, scope, "s"), sent(texts, key, "k"), F.col(text).alias("t")).where("t is not null")
     seen = spread(seen).mapInPandas(run, f"s {sent_type(texts, scope)}, k {sent_type(texts, key)}, form binary, raw binary").distinct()
-    seen = seen.select(returned(texts, scope, "s").alias("s"), returned(texts, key, "k").alias("k"), "form", "raw")
-    kept = durable(seen)  # read four times below
-    several = kept.groupBy("s", "form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo < hi").select("s", "form")
-    members = kept.join(several, ["s", "form"], "left_semi")
-    raws = members.select("s", "form", "raw").distinct()
-    pairs = raws.withColumnRenamed("raw", "ra").join(raws.withColumnRenamed("raw", "rb"), ["s", "form"]).where("ra < rb")
-    sided = pairs.join(members.select("s", "form", F.col("raw").alias("ra"), F.col("k").alias("ka")), ["s", "form", "ra"])
-    sided = sided.join(members.select("s", "form", F.col("raw").alias("rb"), F.col("k").alias("kb")), ["s", "form", "rb"]).where("ka <> kb")
-    return sided.select(F.col("s").alias(scope), F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
+    return durable(seen.select(returned(texts, scope, "s").alias("s"), returned(texts, key, "k").alias("k"), "form", "raw"))
+
+
+def _variants(seen: DataFrame) -> DataFrame:
+    """(s, form, raw, n, v, m, c): each different text of a class of several: how many keys have it, how many texts the
+    class has, how many keys, and the least of them."""
+    raws = seen.groupBy("s", "form", "raw").agg(F.count("*").alias("n"), F.min("k").alias("least"))
+    classes = raws.groupBy("s", "form").agg(F.count("*").alias("v"), F.sum("n").alias("m"), F.min("least").alias("c"))
+    return raws.select("s", "form", "raw", "n").join(classes.where("v > 1"), ["s", "form"])
+
+
+def text_classes(texts: DataFrame, scope: str, key: str, text: str, frequency: Mapping[str, int] | None = None) -> DataFrame:
+    """(scope, key, class, texts, links): one row for each key whose text looks like another one: the least key of its class,
+    how many different texts the class has, and how many keys of the class have another text than this one.
+
+    Null texts, texts without a letter or digit, and texts that look like no other: no rows.  Repeated rows of a key: once
+    (for each different text of it).  An empty table: no rows.  Nothing is paired, so a class may hold any share of the rows.
+    """
+    seen = _seen(texts, scope, key, text, frequency)
+    rows = seen.join(_variants(seen), ["s", "form", "raw"])
+    return rows.select(F.col("s").alias(scope), F.col("k").alias(key), F.col("c").alias("class"), F.col("v").alias("texts"), (F.col("m") - F.col("n")).alias("links"))
+
+
+def lookalike_pairs(texts: DataFrame, scope: str, key: str, text: str, frequency: Mapping[str, int] | None = None, part: int = PART) -> DataFrame:
+    """(scope, key_a, key_b), key_a < key_b: keys of one scope whose texts differ as stored and have one consistent form.
+
+    Null texts, and texts without a letter or digit: no pairs.  Equal texts: no pair.  Repeated rows of a key: once.
+    An empty table: no rows.  Extra columns are not read.  Only 128-bit digests of texts are shuffled, never texts;
+    pairs are formed between *different texts* first and only then carried over to the keys that share them, so a text
+    with many copies costs no more than the rows it must give.  The texts of a large class, and the copies of a frequent
+    text, are split into parts of about ``part`` that other tasks pair; the rows without their pairs are
+    :func:`text_classes`.
+    """
+    seen = _seen(texts, scope, key, text, frequency)
+    raws = durable(_variants(seen))
+    parts = lambda n: F.ceil(F.col(n) / part).cast("int")
+    one_of = lambda c, n: F.pmod(F.xxhash64(c), parts(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    left = raws.select("s", "form", F.col("raw").alias("ra"), F.col("n").alias("na"), one_of("raw", "v").alias("p"))
+    right = raws.select("s", "form", F.col("raw").alias("rb"), F.col("n").alias("nb"), all_of("v").alias("p"))
+    pairs = left.join(right, ["s", "form", "p"]).where("ra < rb").drop("p")
+    members = seen.join(raws.select("s", "form", "raw", "n"), ["s", "form", "raw"]).select("s", "form", "raw", "k", one_of("k", "n").alias("p"))
+    for side in "ab":
+        keyed = members.select("s", "form", F.col("raw").alias(f"r{side}"), F.col("k").alias(f"k{side}"), "p")
+        pairs = pairs.withColumn("p", all_of(f"n{side}")).join(keyed, ["s", "form", f"r{side}", "p"]).drop("p")
+    pairs = pairs.where("ka <> kb")
+    return pairs.select(F.col("s").alias(scope), F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()

@@ -9,7 +9,7 @@ from ..shared import table, unit_texts
 from . import pii
 from .bpe import decode_column, encode_column
 from .cutoff import truncated, truncation_by_source
-from .fold import consistent_forms, frequencies, lookalike_pairs
+from .fold import consistent_forms, frequencies, lookalike_pairs, text_classes
 from .langid import detect_languages, fit, label_defects, segment_languages
 from .leak import find_leaks, remove_leaks
 from .pairs import defective_pairs
@@ -29,6 +29,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("place.item_kind", "key_a", "key_b")
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_kind, key, class, texts, links): each item that looks like another one, with its class and its number of links."""
+    texts = _lookalike_texts(spark, sf_dir).withColumn("place", F.struct("item_kind", "scope"))
+    return text_classes(texts, "place", "key", "text").select("place.item_kind", "key", "class", "texts", "links")
+
+
 def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_kind, key, form): every text in its consistent form."""
     texts = _lookalike_texts(spark, sf_dir)
@@ -121,7 +127,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(documents, "doc_id", "text", lexicon, model)
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_languages": p3_languages, "p3_segments": p3_segments, "p4_found": p4_found, "p5_found": p5_found, "p5_sources": p5_sources, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_items": p8_items, "p8_clean": p8_clean, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p1_forms": p1_forms, "p3_found": p3_found, "p3_languages": p3_languages, "p3_segments": p3_segments, "p4_found": p4_found, "p5_found": p5_found, "p5_sources": p5_sources, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_items": p8_items, "p8_clean": p8_clean, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 _WINDOWS = r"""SELECT DISTINCT {key}, array_to_string(ws[i:i + 9], ' ') AS g FROM (SELECT {key}, ws, unnest(range(1, len(ws) - 8)) AS i FROM (SELECT {key},
     regexp_extract_all(replace(lower(regexp_replace(text, '[\x{{ad}}\x{{34f}}\x{{61c}}\x{{180e}}\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}-\x{{2064}}\x{{2066}}-\x{{206f}}\x{{fe00}}-\x{{fe0f}}\x{{feff}}]', '', 'g')), 'ß', 'ss'),

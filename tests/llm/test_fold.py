@@ -76,6 +76,17 @@ def test_pairs_against_brute_force(spark):
     f = fold.Folder()
     want = {(s, *sorted((a, b))) for (s, a, x), (s2, b, y) in combinations(rows, 2) if s == s2 and a != b and x and y and x != y and f(x) == f(y) and any(c.isalnum() for c in x)}
     assert got == want and want
+    for part in (1, 3):  # classes and copies in parts
+        assert {tuple(r) for r in fold.lookalike_pairs(df, "scope", "key", "text", part=part).collect()} == want
+    links, kin = {}, {}
+    for s, x, y in want:
+        for p, q in ((x, y), (y, x)):
+            links[s, p] = links.get((s, p), 0) + 1
+            kin.setdefault((s, p), {p}).add(q)
+    classes = {(r["scope"], r["key"]): r for r in fold.text_classes(df, "scope", "key", "text").collect()}
+    assert {k: r["links"] for k, r in classes.items()} == links
+    assert all(classes[s, q]["class"] == r["class"] <= k for (s, k), r in classes.items() for q in kin[s, k])
+    assert fold.text_classes(df.where("false"), "scope", "key", "text").count() == 0
     assert fold.lookalike_pairs(df.where("false"), "scope", "key", "text").count() == 0
 
 
