@@ -4,20 +4,23 @@ The items are normalised to words and put into one generalised suffix automaton.
 it once, tracking the longest match that ends at each word; a match of ``min_words`` or more names the items that hold
 the last ``min_words`` words.  Spans beyond the limits can be removed from the text.
 
-The automaton is the stated query set: it is built in blocks of bounded size (``block_words``), so what is sent to the
-executors has a proven bound; all corpus rows are streamed against every block.
+The items are the stated query set.  They are put into blocks of bounded size (``block_words``) by a hash, an
+automaton for each block is built by the executors and written to the shared folder, and the corpus is read once for each
+group of blocks (``SCAN_WORDS``), so what is sent to the executors at a time has a proven bound; all corpus rows are
+streamed against every block.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import returned, sent, sent_type, ship, spread
+from ..shared import durable, returned, sent, sent_type, ship, spread
 
 #: Characters of no width, removed before words are cut.
 NO_WIDTH = dict.fromkeys([0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF])
@@ -25,7 +28,9 @@ WORD = regex.compile(r"[\p{L}\p{N}]+")
 _NO_WIDTH = regex.compile("[" + "".join(map(chr, NO_WIDTH)) + "]")
 
 MIN_WORDS = 10
-BLOCK_WORDS = 400_000
+#: Words of the items in one automaton, and in all automata of one pass over the corpus.
+BLOCK_WORDS = 200_000
+SCAN_WORDS = 800_000
 
 
 def words_of(text: str) -> list[str]:
@@ -136,24 +141,68 @@ class ItemAutomaton:
         return out
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, min_words: int, block_words: int) -> Iterator[ItemAutomaton]:
-    """Automata over the items, each of at most ``block_words`` words (one longer item is a block of its own)."""
-    block: list[tuple[int, list[str]]] = []
-    size = 0
-    for r in items.select(id_col, text_col).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).distinct().orderBy(id_col).toLocalIterator():
-        words = words_of(r[1])
-        if len(words) < min_words:
-            continue
-        if block and size + len(words) > block_words:
-            yield ItemAutomaton(block, min_words)
-            block, size = [], 0
-        block.append((r[0], words))
-        size += len(words)
-    if block:
-        yield ItemAutomaton(block, min_words)
-
-
-def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def block_automata(items: DataFrame, id_col: str, text_col: str, min_words: int, block_words: int) -> DataFrame:
+    """(block, words, automaton): pickled automata over the items, each of at most ``block_words`` words (an item that is
+    longer may be alone above it), from executors; a table in the shared folder."""
+    ship(items.sparkSession)
+    kind = sent_type(items, id_col)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(n=[len(words_of(t)) for t in b["t"]])
+
+    sized = items.select(sent(items, id_col, "i"), F.col(text_col).alias("t")).where("i is not null and t is not null").distinct()
+    sized = durable(spread(sized).mapInPandas(counted, f"i {kind}, t string, n long").where(F.col("n") >= min_words))
+    total = sized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    count = max(1, -(-total // block_words))
+    while True:  # a hash spreads items evenly enough after a doubling or two
+        block = F.pmod(F.xxhash64("i", "t"), F.lit(count)).cast("int")
+        most = sized.groupBy(block.alias("block")).agg(F.sum("n").alias("words"), F.count("*").alias("items")).where((F.col("words") > block_words) & (F.col("items") > 1))
+        if count == 1 and total <= block_words or most.isEmpty():
+            break
+        count *= 2
+
+    def build(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["i", "t"])
+        automaton = ItemAutomaton([(i, words_of(t)) for i, t in zip(own["i"], own["t"])], min_words)
+        return pd.DataFrame({"block": [int(own["block"].iloc[0])], "words": [int(own["n"].sum())], "automaton": [pickle.dumps(automaton, pickle.HIGHEST_PROTOCOL)]})
+
+    return durable(sized.withColumn("block", block).groupBy("block").applyInPandas(build, "block int, words long, automaton binary"))
+
+
+class SharedAutomata:
+    """The automata of one pass, sent once to each executor and opened once in each worker."""
+
+    def __init__(self, spark: SparkSession, pickled: list[bytes]) -> None:
+        self.sent = spark.sparkContext.broadcast(pickled)
+        self.opened: list[ItemAutomaton] | None = None
+
+    def __getstate__(self) -> dict:
+        return {"sent": self.sent, "opened": None}
+
+    def __iter__(self) -> Iterator[ItemAutomaton]:
+        if self.opened is None:
+            self.opened = [pickle.loads(p) for p in self.sent.value]
+        return iter(self.opened)
+
+
+def passes(items: DataFrame, id_col: str, text_col: str, min_words: int, block_words: int, scan_words: int) -> list[SharedAutomata]:
+    """Groups of automata, each of at most ``scan_words`` words, or of one block.  The driver holds the words of a block one
+    group at a time."""
+    spark = items.sparkSession
+    table = block_automata(items, id_col, text_col, min_words, block_words)
+    groups: list[list[int]] = []
+    room = 0
+    for r in table.select("block", "words").orderBy("block").collect():  # one small row for each block
+        if not groups or r["words"] > room:
+            groups.append([])
+            room = scan_words
+        groups[-1].append(r["block"])
+        room -= r["words"]
+    return [SharedAutomata(spark, [bytes(r["automaton"]) for r in table.where(F.col("block").isin(g)).orderBy("block").collect()]) for g in groups]
+
+
+def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, scan_words: int = SCAN_WORDS) -> DataFrame:
     """(key, item_id, windows): one row for each pair of a text and an item of which it holds ``min_words`` words on end.
 
     Null and empty texts: no rows.  Items of fewer words, or without an id: never found.  Texts that are the same: rows each.  Duplicate
@@ -161,56 +210,83 @@ def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_ke
     """
     spark = corpus.sparkSession
     ship(spark)
-    schema = f"k {sent_type(corpus, key)}, item_id {items.schema[item_key].dataType.simpleString()}, windows long"
+    schema = f"k {sent_type(corpus, key)}, item_id {sent_type(items, item_key)}, windows long"
     scan = spread(corpus.select(sent(corpus, key, "k"), F.col(text).alias("t")).where(F.col("t").isNotNull()))
     found = None
-    for automaton in blocks(items, item_key, item_text, min_words, block_words):
-        shared = spark.sparkContext.broadcast(automaton)
+    for shared in passes(items, item_key, item_text, min_words, block_words, scan_words):
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            a = shared.value
             for b in batches:
-                rows = [(k, i, n) for k, t in zip(b["k"], b["t"]) if t for i, n in a.items_in(words_of(t)).items()]
+                rows = []
+                for k, t in zip(b["k"], b["t"]):
+                    words = words_of(t)
+                    rows += [(k, i, n) for a in shared for i, n in a.items_in(words).items()]
                 yield pd.DataFrame(rows, columns=["k", "item_id", "windows"])
 
         part = scan.mapInPandas(run, schema)
         found = part if found is None else found.unionAll(part)
     if found is None:
         found = spark.createDataFrame([], schema)
-    return found.groupBy("k", "item_id").agg(F.max("windows").alias("windows")).select(returned(corpus, key, "k"), "item_id", "windows")
+    return found.groupBy("k", "item_id").agg(F.max("windows").alias("windows")).select(returned(corpus, key, "k"), returned(items, item_key, "item_id").alias("item_id"), "windows")
+
+
+def cut_runs(t: str, runs: Sequence[tuple[int, int]], max_coverage: float) -> tuple[str | None, int, bool]:
+    """(text without the runs of words, how many words they hold, whether the text is dropped)."""
+    words, spans = word_spans(t)
+    out, at, removed, done = [], 0, 0, -1
+    for first, last in sorted(runs):
+        removed += max(0, last - max(first, done + 1) + 1)
+        done = max(done, last)
+        if spans[first][0] >= at:
+            out.append(t[at : spans[first][0]])
+        at = max(at, spans[last][1])
+    return (None, removed, True) if removed > max_coverage * len(words) else ("".join(out) + t[at:], removed, False)
 
 
-def remove_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = MIN_WORDS, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
+def remove_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = MIN_WORDS, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS, scan_words: int = SCAN_WORDS) -> DataFrame:
     """(key, text, removed_words, dropped): every run of ``min_words`` or more words of an item is cut out of the text; a text of
-    which more than ``max_coverage`` is such runs is dropped whole (text null).  Null texts stay null."""
+    which more than ``max_coverage`` is such runs is dropped whole (text null).  Null texts stay null.
+
+    Where the items need several passes, each finds its runs (a small row for each different text with any), and the runs
+    of all are cut out of the texts that have them."""
     spark = corpus.sparkSession
     ship(spark)
-    shared = [spark.sparkContext.broadcast(a) for a in blocks(items, item_key, item_text, min_words, block_words)]
-
-    def clean(t: str | None) -> tuple[str | None, int, bool]:
-        if not t:
-            return t, 0, False
-        words = words_of(t)
-        if not any(True for a in shared for _ in a.value.stream(words)):
-            return t, 0, False
-        words, spans = word_spans(t)
-        runs = sorted(r for a in shared for r in a.value.covered(words))
-        cut = set()
-        for first, last in runs:
-            cut.update(range(first, last + 1))
-        if len(cut) > max_coverage * len(words):
-            return None, len(cut), True
-        out, at = [], 0
-        for first, last in runs:
-            if spans[first][0] >= at:
-                out.append(t[at : spans[first][0]])
-            at = max(at, spans[last][1])
-        return "".join(out) + t[at:], len(cut), False
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    groups = passes(items, item_key, item_text, min_words, block_words, scan_words)
+    rows = corpus.select(sent(corpus, key, "k"), F.col(text).alias("t"))
+    schema = f"k {sent_type(corpus, key)}, text string, removed_words int, dropped boolean"
+
+    def result(b: pd.DataFrame, cut: list[tuple[str | None, int, bool]]) -> pd.DataFrame:
+        return pd.DataFrame({"k": b["k"], "text": [r[0] for r in cut], "removed_words": [r[1] for r in cut], "dropped": [r[2] for r in cut]})
+
+    def covered(t: str | None, shared: SharedAutomata) -> list[tuple[int, int]]:
+        words = words_of(t) if t else []
+        return sorted(r for a in shared for r in a.covered(words)) if words else []
+
+    if len(groups) <= 1:
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                found = [covered(t, groups[0]) if groups else [] for t in b["t"]]
+                yield result(b, [cut_runs(t, r, max_coverage) if r else (t, 0, False) for t, r in zip(b["t"], found)])
+
+        out = spread(rows).mapInPandas(run, schema)
+        return out.select(returned(corpus, key, "k"), "text", "removed_words", "dropped")
+
+    keyed = rows.withColumn("d", F.sha2("t", 256))
+    runs = None
+    for shared in groups:
+
+        def look(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame([(d, *r) for d, t in zip(b["d"], b["t"]) for r in covered(t, shared)], columns=["d", "first", "last"])
+
+        part = spread(keyed.select("d", "t").where("t is not null")).mapInPandas(look, "d string, first int, last int")
+        runs = part if runs is None else runs.unionAll(part)
+    of_text = runs.distinct().groupBy("d").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # no more runs than a text has words
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [clean(t) for t in b["t"]]
-            yield pd.DataFrame({"k": b["k"], "text": [r[0] for r in rows], "removed_words": [r[1] for r in rows], "dropped": [r[2] for r in rows]})
+            yield result(b, [(t, 0, False) if r is None else cut_runs(t, [(x["first"], x["last"]) for x in r], max_coverage) for t, r in zip(b["t"], b["runs"])])
 
-    out = spread(corpus.select(sent(corpus, key, "k"), F.col(text).alias("t"))).mapInPandas(run, f"k {sent_type(corpus, key)}, text string, removed_words int, dropped boolean")
+    out = keyed.join(of_text, "d", "left").select("k", "t", "runs").mapInPandas(cut, schema)
     return out.select(returned(corpus, key, "k"), "text", "removed_words", "dropped")

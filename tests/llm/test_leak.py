@@ -52,8 +52,8 @@ def frames(spark):
 def test_rows_and_blocks(spark):
     docs, items = frames(spark)
     want = {(d, i) for d in (1, 5, None, 6, 7) for i in (10, 11)}
-    for block in (5, 15, 1000):
-        found = leak.find_leaks(docs, "doc_id", "text", items, "item_id", "text", block_words=block)
+    for block, scan in ((5, 5), (15, 15), (15, 1000), (1000, 1000)):
+        found = leak.find_leaks(docs, "doc_id", "text", items, "item_id", "text", block_words=block, scan_words=scan)
         assert sorted(map(str, ((r["doc_id"], r["item_id"]) for r in found.collect()))) == sorted(map(str, want))
     assert leak.find_leaks(docs, "doc_id", "text", items.where("false"), "item_id", "text").count() == 0
     assert leak.find_leaks(docs.where("false"), "doc_id", "text", items, "item_id", "text").count() == 0
@@ -61,13 +61,23 @@ def test_rows_and_blocks(spark):
 
 def test_removal(spark):
     docs, items = frames(spark)
-    rows = {r["doc_id"]: r for r in leak.remove_leaks(docs, "doc_id", "text", items, "item_id", "text", max_coverage=0.95).collect()}
+    got = [leak.remove_leaks(docs, "doc_id", "text", items, "item_id", "text", max_coverage=0.95, block_words=block, scan_words=scan).collect() for block, scan in ((1000, 1000), (5, 5), (5, 1000))]
+    assert sorted(map(str, got[0])) == sorted(map(str, got[1])) == sorted(map(str, got[2])) and len(got[0]) == len(ROWS)
+    rows = {r["doc_id"]: r for r in got[0]}
     assert rows[1]["text"] == "before.  after" and rows[1]["removed_words"] == 12
     assert rows[2]["text"] == ROWS[1][1] and rows[3]["text"] is None and not rows[3]["dropped"] and rows[4]["text"] == ""
     assert rows[None]["text"] is None and rows[None]["dropped"]
     assert rows[6]["text"] == "filler " * 5000
 
 
+def test_blocks_are_bounded(spark):
+    rnd = random.Random(2)
+    items = spark.createDataFrame([(i % 50, " ".join(rnd.choices("abcdefghij", k=rnd.randint(10, 40)))) for i in range(80)] + [(99, " ".join("abc" * 100))], "item_id long, text string")
+    table = leak.block_automata(items, "item_id", "text", 10, 120).collect()
+    assert len(table) > 10 and all(r["words"] <= 120 or r["words"] == 300 for r in table)
+    assert len(leak.passes(items, "item_id", "text", 10, 120, 500)) >= -(-sum(r["words"] for r in table) // 500)
+
+
 def test_query(spark, sf):
     docs = {r["doc_id"]: leak.words_of(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").collect()}
     items = {r["item_id"]: leak.words_of(r["text"]) for r in spark.read.parquet(f"{sf}/eval_items.parquet").collect()}
