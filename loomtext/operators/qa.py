@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import pytext as P
+from ..shared import spread
 
 BLOCKING = ("empty", "numbers", "urls", "emails", "placeholder")
-#: A glossary of up to so many terms is sent to every executor; a larger one is joined by its terms' first characters.
-BROADCAST_TERMS = 500
+#: Terms are found by so many characters that they begin with.
+GRAM = 3
 
 
 def quality_flags(source: Column, target: Column, language: Column) -> Column:
@@ -40,27 +41,23 @@ def locked_terms(glossary: DataFrame) -> DataFrame:
 def glossary_flags(pairs: DataFrame, keys: list[str], source: str, target: str, terms: DataFrame) -> DataFrame:
     """(keys..., position, flag): a locked term of two letters or more is in the source and its translation is not in the target.
 
-    The terms are sent along only when they are few (counted); otherwise a term is found by the three characters it
-    begins with, which keeps the join an equi-join.  Null texts are empty ones."""
+    An equi-join at any size of the glossary: a term is met by the characters it begins with, at every place of the text
+    where they stand.  Null texts are empty ones."""
     t = terms.where(F.length("source") >= 2).select("position", F.col("source").alias("_term"), F.col("target").alias("_wanted"), P.casefold(F.col("source")).alias("_find"), P.casefold(F.col("target")).alias("_need"))
+    t = t.withColumn("_g", F.substring("_find", 1, GRAM))
     folded = pairs.select(*keys, P.casefold(F.coalesce(F.col(source), F.lit(""))).alias("_s"), P.casefold(F.coalesce(F.col(target), F.lit(""))).alias("_t"))
-    hit = F.col("_s").contains(F.col("_find")) & ~F.col("_t").contains(F.col("_need"))
-    if t.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        found = folded.join(F.broadcast(t), hit)
-    else:
-        width = 3
-        grams = F.array_distinct(F.expr(f"transform(sequence(1, length(_s)), i -> substring(_s, i, {width}))"))
-        short = t.where(F.length("_find") < width).withColumn("_g", F.lit(""))
-        long = t.where(F.length("_find") >= width).withColumn("_g", F.substring("_find", 1, width))
-        seen = folded.where("_s <> ''").withColumn("_g", F.explode(F.array_union(F.array(F.lit("")), grams)))
-        found = seen.join(short.unionByName(long), "_g").where(hit)
+    characters = F.regexp_extract_all("_s", F.lit("(?s)."), F.lit(0))
+    at_each = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_c") - 1), lambda i: F.transform(F.sequence(F.lit(2), F.lit(GRAM)), lambda n: F.array_join(F.slice("_c", i, n), ""))))
+    seen = folded.where(F.length("_s") >= 2).withColumn("_c", characters).withColumn("_g", F.explode(F.array_distinct(at_each))).drop("_c")
+    found = seen.join(t, "_g").where(F.col("_s").contains(F.col("_find")) & ~F.col("_t").contains(F.col("_need")))
     flag = F.concat(F.lit("terminology:"), F.col("_term"), F.lit("→"), F.col("_wanted"))
     return found.select(*keys, "position", flag.alias("flag")).distinct()
 
 
 def collect_issues(pairs: DataFrame, keys: list[str], source: str, target: str, language: str, terms: DataFrame) -> DataFrame:
     """(keys..., flags): quality flags, then glossary flags by position; only pairs with a flag; no flag twice."""
-    own = pairs.select(*keys, quality_flags(F.col(source), F.col(target), F.col(language)).alias("own"))
+    pairs = spread(pairs.select(*keys, source, target, language))
+    own = pairs.select(*keys, F.explode(F.array(quality_flags(F.col(source), F.col(target), F.col(language)))).alias("own"))  # exploded, so that no filter repeats it
     named = glossary_flags(pairs, keys, source, target, terms).groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("position", "flag"))).alias("named"))
     both = own.join(named, keys, "left")
     flags = F.array_distinct(F.concat("own", F.coalesce(F.transform("named", lambda x: x["flag"]), F.array().cast("array<string>"))))

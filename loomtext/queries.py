@@ -10,7 +10,7 @@ from .operators import checkpoint as C
 from .operators import generation, ordered, qa, segments
 from .operators.memory import UpperBackend, cache_key, protect_column, restore_column
 from .plans import pipeline
-from .shared import durable, table
+from .shared import durable, spread, table
 from .sources import text as text_source
 
 LANGUAGES = ("en", "fa")  # of the pipeline's queries
@@ -128,7 +128,7 @@ def alpha_id(spark, sf_dir):
 
 
 def quality_flags(spark, sf_dir):
-    return pairs(spark, sf_dir).select("pair_id", F.array_join(qa.quality_flags(F.col("source"), F.col("target"), F.col("language")), ",").alias("flags"))
+    return spread(pairs(spark, sf_dir)).select("pair_id", F.array_join(qa.quality_flags(F.col("source"), F.col("target"), F.col("language")), ",").alias("flags"))
 
 
 def locked_terms(spark, sf_dir):

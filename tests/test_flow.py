@@ -58,7 +58,7 @@ def test_pipeline(spark, mode):
 @pytest.mark.parametrize("few", (True, False))
 def test_pipeline_keeps_locked_terms(spark, monkeypatch, mode, few):
     if not few:
-        monkeypatch.setattr(pipeline.qa, "BROADCAST_TERMS", 1)
+        monkeypatch.setattr(pipeline, "SENT_TERMS", 1)
     rows = [(1, "a", ["The Lease Agreement, no. 5"], []), (1, "b", ["lease"], []), (1, "c", ["a lease ", "agreement"], [1]), (1, "d", ["see https://lease.example/x of x"], []), (1, "e", ["lease agreement " * 300], []), (2, "f", ["draft it"], [])]
     terms = [(0, "lease agreement", "Ijare name", True), (1, "lease", "ijare", True), (2, "x", "ks", True), (3, "draft", "no", False)]
     done, left = pipeline.run(spark.createDataFrame(rows, UNITS), "en", "fa", spark.createDataFrame(terms, GLOSSARY), mode)
@@ -94,9 +94,9 @@ def test_pipeline_arguments(spark):
 
 def test_repair_is_bounded(spark):
     units = spark.createDataFrame([(1, "a", ["five 5 apples"], [])], UNITS)
-    _, left = pipeline.run(units, "en", "ar", spark.createDataFrame([], GLOSSARY), "balanced", repairs=2, reviewer=lambda c: F.lit("no number"))
+    _, left = pipeline.run(units, "en", "ar", spark.createDataFrame([], GLOSSARY), "balanced", repairs=2, reviewer=pipeline.Native(lambda c: F.lit("no number")))
     assert left.first()["flags"] == ["numbers"]
-    done, left = pipeline.run(units, "en", "ar", spark.createDataFrame([], GLOSSARY), "balanced", repairs=1, reviewer=lambda c: F.lit("no number"), repairer=lambda c: F.lit("5"))
+    done, left = pipeline.run(units, "en", "ar", spark.createDataFrame([], GLOSSARY), "balanced", repairs=1, reviewer=pipeline.Native(lambda c: F.lit("no number")), repairer=pipeline.Native(lambda c: F.lit("5")))
     assert left.count() == 0 and done.first()["segments"] == ["5"]
 
 

@@ -65,11 +65,9 @@ def test_glossary(spark):
     pairs = spark.createDataFrame([(1, "A Black Swan event and AI", "رویداد"), (2, "tree z", "x"), (3, None, None), (4, "black swan", "قوی سیاه")], "k int, s string, t string")
     want = {(1, 0, "terminology:ai→y"), (1, 2, "terminology:black swan→قوی سیاه")}
     assert {tuple(r) for r in qa.glossary_flags(pairs, ["k"], "s", "t", terms).collect()} == want
-    few, qa.BROADCAST_TERMS = qa.BROADCAST_TERMS, 1
-    try:
-        assert {tuple(r) for r in qa.glossary_flags(pairs, ["k"], "s", "t", terms).collect()} == want
-    finally:
-        qa.BROADCAST_TERMS = few
+    many = terms.unionByName(spark.createDataFrame([(i + 10, f"{chr(97 + i % 26)}{i}", "none") for i in range(2000)] + [(9, "nt", "yy"), (5000, "😀 tree", "x")], "position int, source string, target string"))
+    odd = pairs.unionByName(spark.createDataFrame([(5, "an old 😀 tree", "")], "k int, s string, t string"))
+    assert {tuple(r) for r in qa.glossary_flags(odd, ["k"], "s", "t", many).collect()} == want | {(1, 9, "terminology:nt→yy"), (5, 5000, "terminology:😀 tree→x")}
 
 
 def test_issues_and_blocking(spark):
