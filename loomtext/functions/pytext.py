@@ -69,11 +69,15 @@ def direction(language: Column) -> Column:
 
 
 def alpha_id(n: Column) -> Column:
-    """0 -> A, 25 -> Z, 26 -> AA: numbers up to 702 * 26 in bijective base 26."""
-    letter = lambda x: F.chr((x % 26 + 65).cast("int"))
-    one = F.floor(n / 26) - 1
-    two = F.floor(one / 26) - 1
-    return F.concat(F.when(two >= 0, letter(two)).otherwise(""), F.when(one >= 0, letter(one)).otherwise(""), letter(n))
+    """0 -> A, 25 -> Z, 26 -> AA: any number from 0 on, in bijective base 26; null for a negative one."""
+    n = n.cast("bigint")
+    letters, least, power = [], 0, 1
+    while least < 1 << 63:  # the letter of each place, where the number is long enough to have it
+        place = F.chr(F.call_function("div", n - F.lit(least), F.lit(power)) % 26 + 65)
+        letters.insert(0, F.when(n >= F.lit(least), place).otherwise(""))
+        power *= 26
+        least += power
+    return F.when(n >= 0, F.concat(*letters))
 
 
 def alnum_form(c: Column) -> Column:

@@ -47,6 +47,29 @@ class KeepBackend:
         return "Here it is: " + json.dumps({"translations": {u["id"]: [s.strip() for s in u["draft"]] for u in units}, "polish": []}, ensure_ascii=False)
 
 
+class GistBackend:
+    """The deterministic analyst: the beginning of the sample is the summary, its first long words are terms."""
+
+    id = "gist-1"
+
+    def answer(self, messages: list[str]) -> str:
+        sample = json.loads(messages[0]).get("sample", "")
+        terms = [{"source": w, "target": w, "locked": False} for w in dict.fromkeys(sample.split()) if len(w) > 9][:3]
+        return json.dumps({"domain": "general", "summary": sample[:80], "terms": terms}, ensure_ascii=False)
+
+
+ANALYSIS = "domain string, audience string, summary string, style string, entities array<string>, terms array<struct<source:string,target:string,locked:boolean>>"
+
+
+def analyse(samples: DataFrame, backend: Callable[[], JsonBackend], instruction: str = "", retries: int = 2) -> DataFrame:
+    """(doc_id, domain, audience, summary, style, entities, terms, error) of ``samples`` (doc_id, sample): one request for each
+    document.  Without terms in the answer: an empty list."""
+    requests = samples.select("doc_id", F.to_json(F.struct(F.lit(instruction).alias("instruction"), "sample")).alias("request"))
+    parsed = ask(requests, ["doc_id"], "request", backend, retries).withColumn("a", F.from_json("answer", ANALYSIS))
+    own = [F.coalesce("a.terms", F.from_json(F.lit("[]"), "array<struct<source:string,target:string,locked:boolean>>")).alias("terms") if c == "terms" else F.col(f"a.{c}") for c in ("domain", "audience", "summary", "style", "entities", "terms")]
+    return parsed.select("doc_id", *own, "error")
+
+
 def tone_guidance(tone: Column) -> Column:
     """The guidance of a tone; an unknown tone stands for itself."""
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in TONES.items() for x in kv)), tone), tone)
@@ -68,6 +91,11 @@ def longest_prefix(text: str, budget: int, count: Callable[[str], int] = estimat
     return text[: max(0, fits - 1)]
 
 
+def prefix_column(text: Column, budget: int) -> Column:
+    """The longest prefix within a budget of estimated tokens; null stays null."""
+    return F.substring(text, 1, len(longest_prefix(" " * (3 * max(0, budget) + 8), budget)))
+
+
 def first_json_object(raw: str | None) -> dict | None:
     """The first JSON object in a noisy text, by trying every brace; None without any."""
     at = -1

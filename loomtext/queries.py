@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .functions import pytext as P
 from .operators import checkpoint as C
-from .operators import generation, ordered, qa, segments
+from .operators import generation, ordered, qa, segments, tables
+from .operators.context import suffix_window
 from .operators.memory import UpperBackend, cache_key, protect_column, restore_column
 from .plans import pipeline
 from .shared import durable, spread, table
@@ -15,7 +16,8 @@ from .sources import text as text_source
 
 LANGUAGES = ("en", "fa")  # of the pipeline's queries
 REVIEW_BUDGET, REVIEW_UNITS = 2785, 6
-CONTEXT_CHARS, CONTEXT_FIXED = 4000, 28
+NOW = 1_761_700_000.0  # of the queries on jobs, so that they can be repeated
+ENDED = ("completed", "failed", "cancelled")
 
 # ---- what the queries share
 
@@ -184,15 +186,11 @@ def representative_sample(spark, sf_dir, limit: int = 14000):
     return rows.groupBy("doc_id").agg(F.substring(F.array_join(texts, "\n\n---\n\n"), 1, max(2000, limit)).alias("sample"))
 
 
-def context_window(spark, sf_dir):
-    """The last finished units of each document whose texts fit the context together."""
-    from pyspark.sql.window import Window
-
-    done = stage(spark, sf_dir, "finals").select("doc_id", "unit_id", F.length(F.array_join("segments", "")).alias("nt"))
-    u = units(spark, sf_dir).select("doc_id", "ord", "unit_id", F.length("text").alias("ns")).join(done, ["doc_id", "unit_id"])
-    placed = ordered.with_position(u, "doc_id", "ord", count="n").where(F.col("pos") >= F.col("n") - CONTEXT_CHARS // CONTEXT_FIXED - 1)
-    cost = F.sum(F.col("ns") + F.col("nt") + CONTEXT_FIXED).over(Window.partitionBy("doc_id").orderBy(F.desc("ord")))
-    return placed.withColumn("chars", cost).where(F.col("chars") <= CONTEXT_CHARS).select("doc_id", "unit_id", "chars")
+def context_window(spark, sf_dir, budget: int = 3000):
+    """The last finished units of each document that fit the context together, and their tokens up to the newest."""
+    done = stage(spark, sf_dir, "finals").select("doc_id", "unit_id", F.array_join("segments", "").alias("target"))
+    u = units(spark, sf_dir).select("doc_id", "ord", "unit_id", "text").join(done, ["doc_id", "unit_id"])
+    return suffix_window(u, "doc_id", "ord", ["unit_id"], "text", "target", budget).select("doc_id", "unit_id", "tokens")
 
 
 # ---- segments
@@ -310,11 +308,60 @@ def polish_select(spark, sf_dir):
 
 
 def coverage_check(spark, sf_dir):
-    """Whether the final text still has the first and last 32 letters and digits of the draft."""
-    a = stage(spark, sf_dir, "drafts").select("doc_id", "unit_id", P.alnum_form(F.array_join("segments", "")).alias("want"))
-    b = stage(spark, sf_dir, "finals").select("doc_id", "unit_id", P.alnum_form(F.array_join("segments", "")).alias("have"))
+    """Whether the final text covers the draft.  Of documents written from right to left: whether it has 55 % of the letters
+    and digits, document by document; of others: whether each unit's first and last 32 are in it."""
+    form = lambda: P.alnum_form(F.array_join("segments", ""))
+    a = stage(spark, sf_dir, "drafts").select("doc_id", "unit_id", form().alias("want"))
+    b = stage(spark, sf_dir, "finals").select("doc_id", "unit_id", form().alias("have"))
+    language = jobs(spark, sf_dir).where("doc_id is not null").groupBy("doc_id").agg(F.min("target_language").alias("language"))
+    both = a.join(b, C.KEY).join(language, "doc_id", "left").withColumn("rtl", F.coalesce(P.direction(F.col("language")) == "rtl", F.lit(False)))
     ends = F.col("have").contains(F.substring("want", 1, 32)) & F.col("have").contains(F.expr("right(want, 32)"))
-    return a.join(b, C.KEY).where(F.length("want") >= 4).select("doc_id", "unit_id", ends.alias("covered"))
+    units_ = both.where(~F.col("rtl") & (F.length("want") >= 4)).select("doc_id", "unit_id", ends.alias("covered"))
+    sums = both.where("rtl").groupBy("doc_id").agg(F.sum(F.length("want")).alias("w"), F.sum(F.length("have")).alias("h"))
+    return units_.unionByName(sums.where("w >= 4").select("doc_id", F.lit(None).cast("string").alias("unit_id"), (F.col("h") >= F.col("w") * F.lit(0.55)).alias("covered")))
+
+
+def protect_text(spark, sf_dir):
+    """Units whose locked terms came out as their targets: protected and restored, with nothing done between."""
+    t = [(r["source"], r["target"]) for r in sorted(terms(spark, sf_dir).collect())]  # a fixed table
+    u = units(spark, sf_dir).where("text is not null").select("doc_id", "unit_id", protect_column(F.col("text"), t).alias("p"))
+    u = u.select("doc_id", "unit_id", F.explode(F.array("p")).alias("p"))  # a barrier: one call of Python
+    return u.select("doc_id", "unit_id", F.size(F.map_keys("p.held")).alias("held"), restore_column(F.col("p.protected"), F.col("p.held")).alias("text")).withColumn("held", F.col("held") > 0)
+
+
+def truncate_budget(spark, sf_dir, budget: int = 60):
+    return units(spark, sf_dir).where("text is not null").select("doc_id", "unit_id", generation.prefix_column(F.col("text"), budget).alias("text"))
+
+
+def document_analysis(spark, sf_dir):
+    """What the analyst says of each document's sample."""
+    a = generation.analyse(representative_sample(spark, sf_dir), generation.GistBackend)
+    return a.select("doc_id", "domain", "summary", F.size("terms").alias("n_terms"), "error")
+
+
+def locked_terms_merged(spark, sf_dir):
+    """Configured terms, then those of an analysis (here: swapped sides of every fourth term), by one rule."""
+    g = table(spark, sf_dir, "glossary")
+    more = g.where("prio % 4 = 0").select((F.col("prio") + 100_000).alias("prio"), F.col("target").alias("source"), F.upper("source").alias("target"), "locked")
+    again = g.where("prio % 3 = 0").select((F.col("prio") + 200_000).alias("prio"), F.upper("source").alias("source"), "target", "locked")
+    return qa.locked_terms(g.select("prio", "source", "target", "locked").unionByName(more).unionByName(again))
+
+
+def repair_loop(spark, sf_dir):
+    """Flags that are left when the finals with blocking flags are edited by a structured model for one round."""
+    work, t = durable(_nonblank(spark, sf_dir)), durable(terms(spark, sf_dir))
+    finals = durable(C.overlay(work, stage(spark, sf_dir, "finals")))
+    left = durable(pipeline.issues(work, finals, LANGUAGES[1], t))
+    _, left = pipeline.repair_loop(work, finals, left, LANGUAGES[1], t, 1, pipeline.Structured(generation.KeepBackend))
+    return left.select("doc_id", "unit_id", F.array_join("flags", ",").alias("flags"))
+
+
+def resumed_drafts(spark, sf_dir):
+    """The pipeline in the mode fast, taken up where every third unit has its draft."""
+    u = durable(units(spark, sf_dir))
+    had = stage(spark, sf_dir, "drafts").join(u.where("ord % 3 = 0").select("doc_id", "unit_id"), C.KEY, "left_semi")
+    out, _ = pipeline.run(u, *LANGUAGES, table(spark, sf_dir, "glossary"), "fast", resume={"drafts": had}, reviewer=pipeline.REPAIRER, polisher=None)
+    return out.join(had.select("doc_id", "unit_id"), C.KEY, "left_semi").select("doc_id", "unit_id", F.array_join("segments", "").alias("text"))
 
 
 def tone_lookup(spark, sf_dir):
@@ -371,8 +418,42 @@ def active_count(spark, sf_dir):
     return jobs(spark, sf_dir).where(F.col("status").isin("queued", "running", "pausing")).agg(F.count("*").alias("active"))
 
 
+PUBLIC = "id status stage progress message error input_type original_name source_language target_language tone output_name created_at updated_at heartbeat_at paused_from_stage profile_name model_key model_state backend".split()
+
+
 def job_public(spark, sf_dir):
-    return jobs(spark, sf_dir).select("id", "status", "stage", "progress", "message", "error", "input_type", "original_name", "source_language", "target_language", "tone", "output_name", "created_at", "updated_at")
+    return jobs(spark, sf_dir).select(*PUBLIC)
+
+
+def job_health(spark, sf_dir, now: float = NOW):
+    """Ages of the last signs of life, and what they say."""
+    return tables.health(jobs(spark, sf_dir), now).select("id", "heartbeat_age_seconds", "progress_age_seconds", "health_state", "is_stalled")
+
+
+def job_update(spark, sf_dir):
+    """Jobs brought to their latest event, its progress between bounds; other columns of events change nothing."""
+    newest = events(spark, sf_dir).groupBy("job_id").agg(F.max_by(F.struct("stage", (F.col("progress") * 3 - 100).alias("progress"), "message", F.col("created_at").alias("updated_at"), F.lit("x").alias("backend")), "id").alias("e")).select("job_id", "e.*")
+    now = tables.update(jobs(spark, sf_dir), newest.withColumnRenamed("job_id", "id"), "id", ["stage", "progress", "message", "updated_at"], {"progress": (0, 100)})
+    return now.select("id", "stage", "progress", "message", "updated_at", "backend")
+
+
+def job_delete(spark, sf_dir):
+    """Events that are left when the jobs that ended are deleted with all that hangs on them."""
+    _, left = tables.delete_cascade(jobs(spark, sf_dir), "id", F.col("status").isin(*ENDED, "paused"), (events(spark, sf_dir), "job_id"))
+    return left.select("id", "job_id")
+
+
+def retention_sweep(spark, sf_dir, now: float = NOW, days: int = 60):
+    """Jobs that ended and are older than is kept."""
+    j = jobs(spark, sf_dir)
+    return j.where(tables.expired(j, now, days, ENDED)).select("id", "status", "updated_at")
+
+
+def progress_curve(spark, sf_dir):
+    """Progress behind each fixed batch of drafts of a document: from 12 to 50."""
+    b = fixed_batches(spark, sf_dir).select("doc_id", "batch_no").distinct()
+    n = b.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return b.join(n, "doc_id").select("doc_id", "batch_no", (F.lit(12) + F.call_function("div", F.lit(38) * (F.col("batch_no") + 1), F.col("n"))).cast("int").alias("progress"))
 
 
 def job_event_counts(spark, sf_dir):
@@ -394,7 +475,7 @@ QUERIES = {
         scan_text_units, rebuild_text, render_unit_html, output_names, alnum_forms, units_by_page, filter_nonblank, canonical_numbers, extract_urls, extract_emails, latin_words, length_ratio,
         token_estimate, direction, alpha_id, quality_flags, locked_terms, glossary_flags, collect_issues, blocking_flags, warning_totals, fixed_batches, adaptive_batches, representative_sample,
         context_window, semantic_split, budget_pieces, distribute_text, normalize_segments, prepare_units, reassemble_units, protect_roundtrip, memory_keys, memory_dedup, unit_digests,
-        checkpoint_reuse, pending_units, overlay_merge, memory_lookup, review_route, polish_select, coverage_check, tone_lookup, input_budget, extract_json, review_batches, draft_translate, event_change_log, latest_event, job_history, recent_jobs, active_count, job_public, job_event_counts, schema_evolve,
+        checkpoint_reuse, pending_units, overlay_merge, memory_lookup, review_route, polish_select, coverage_check, tone_lookup, input_budget, extract_json, review_batches, draft_translate, event_change_log, latest_event, job_history, recent_jobs, active_count, job_public, job_health, job_update, job_delete, retention_sweep, progress_curve, job_event_counts, schema_evolve, protect_text, truncate_budget, document_analysis, locked_terms_merged, repair_loop, resumed_drafts,
     )
 }
 QUERIES |= {f"pipeline_{m}": _pipeline(m) for m in pipeline.MODES}

@@ -36,25 +36,29 @@ def w(local: str) -> str:
     return f"{{{W_NS}}}{local}"
 
 
+#: What makes a package, or one of its entries, be refused: the reason, and the test.
+_PACKAGE_RULES = (
+    ("missing parts", lambda entries: not set(REQUIRED) <= {e.filename for e in entries}),
+    ("too many entries", lambda entries: len(entries) > MAX_ENTRIES),
+    ("too large unpacked", lambda entries: sum(e.file_size for e in entries) > MAX_BYTES),
+)
+_ENTRY_RULES = (
+    ("XML part too large", lambda e: e.file_size > MAX_XML and e.filename.lower().endswith(".xml")),
+    ("suspicious compression", lambda e: e.file_size > max(MAX_RATIO * max(1, e.compress_size), 1 << 20)),
+)
+
+
 def open_package(data: bytes) -> zipfile.ZipFile:
     """The package, if it is complete and within the limits."""
     try:
         z = zipfile.ZipFile(io.BytesIO(data))
     except zipfile.BadZipFile as e:
         raise BadPackage(f"no zip package: {e}") from e
-    infos = z.infolist()
-    names = {i.filename for i in infos}
-    if lacking := [r for r in REQUIRED if r not in names]:
-        raise BadPackage(f"missing parts: {', '.join(lacking)}")
-    if len(infos) > MAX_ENTRIES:
-        raise BadPackage("too many entries")
-    if sum(i.file_size for i in infos) > MAX_BYTES:
-        raise BadPackage("too large unpacked")
-    for i in infos:
-        if i.filename.lower().endswith(".xml") and i.file_size > MAX_XML:
-            raise BadPackage(f"XML part too large: {i.filename}")
-        if i.file_size > 1 << 20 and i.file_size / max(1, i.compress_size) > MAX_RATIO:
-            raise BadPackage(f"suspicious compression: {i.filename}")
+    entries = z.infolist()
+    found = [reason for reason, refuses in _PACKAGE_RULES if refuses(entries)]
+    found += [f"{reason}: {e.filename}" for reason, refuses in _ENTRY_RULES for e in filter(refuses, entries)]
+    if found:
+        raise BadPackage("; ".join(found))
     return z
 
 
@@ -153,41 +157,44 @@ def _child(parent: ET.Element, name: str, first: bool = False) -> ET.Element:
     return e
 
 
+def _style(paragraph: ET.Element) -> Iterator[ET.Element]:
+    """The properties of a paragraph's own runs; those of paragraphs inside it are left out."""
+    waiting = list(paragraph)
+    while waiting:
+        e = waiting.pop(0)
+        if e.tag == w("r"):
+            yield _child(e, "rPr", first=True)
+        if e.tag != w("p"):
+            waiting[:0] = list(e)
+
+
 def set_direction(root: ET.Element, paragraph: ET.Element, rtl: bool, language: str, font: str) -> None:
-    """Direction, alignment, language and font of a paragraph and its runs, and of the table around it."""
-    value = "1" if rtl else "0"
-    properties = _child(paragraph, "pPr", first=True)
-    if rtl or properties.find(w("bidi")) is not None:
-        _child(properties, "bidi").set(w("val"), value)
-    align = properties.find(w("jc"))
-    turned = {("left", True): "right", ("right", False): "left"}
-    if align is not None and (side := turned.get((align.get(w("val"), ""), rtl))):
-        align.set(w("val"), side)
-    for table in root.iter(w("tbl")):
-        if any(p is paragraph for p in table.iter(w("p"))):
-            _child(_child(table, "tblPr", first=True), "bidiVisual").set(w("val"), value)
+    """Direction, alignment, language and font of a paragraph and its runs, and of the tables around it.
 
-    def runs(e: ET.Element) -> Iterator[ET.Element]:
-        for c in e:
-            if c.tag == w("p"):
-                continue
-            if c.tag == w("r"):
-                yield c
-            yield from runs(c)
-
-    for run in runs(paragraph):
-        style = _child(run, "rPr", first=True)
-        if rtl or style.find(w("rtl")) is not None:
-            _child(style, "rtl").set(w("val"), value)
-        _child(style, "lang").set(w("val"), LOCALES[language])
-        if font:
-            fonts = _child(style, "rFonts", first=True)
-            if rtl:
-                fonts.set(w("cs"), font)
-                fonts.set(w("eastAsia"), font)
-            elif not fonts.get(w("ascii")):
-                fonts.set(w("ascii"), font)
-                fonts.set(w("hAnsi"), font)
+    A flag of the direction is written for a text from right to left, and else only where there is one to turn."""
+
+    def flag(properties: ET.Element, name: str, always: bool = rtl) -> None:
+        if always or properties.find(w(name)) is not None:
+            _child(properties, name).set(w("val"), str(int(rtl)))
+
+    def attributes(properties: ET.Element, name: str, values: dict[str, str], first: bool = False) -> None:
+        _child(properties, name, first).attrib.update({w(k): v for k, v in values.items()})
+
+    own = _child(paragraph, "pPr", first=True)
+    flag(own, "bidi")
+    align = own.find(w("jc"))
+    if align is not None and align.get(w("val")) == ("left" if rtl else "right"):
+        align.set(w("val"), "right" if rtl else "left")
+    for table in root.iter(w("tbl")):
+        if paragraph in list(table.iter(w("p"))):
+            flag(_child(table, "tblPr", first=True), "bidiVisual", always=True)
+    for style in _style(paragraph):
+        flag(style, "rtl")
+        attributes(style, "lang", {"val": LOCALES[language]})
+        if font and rtl:
+            attributes(style, "rFonts", {"cs": font, "eastAsia": font}, first=True)
+        elif font and not _child(style, "rFonts", first=True).get(w("ascii")):
+            attributes(style, "rFonts", {"ascii": font, "hAnsi": font}, first=True)
 
 
 def build_docx(spark: SparkSession, path: str, translations: DataFrame, language: str, font: str = "") -> DataFrame:

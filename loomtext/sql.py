@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from .operators.generation import TONES
-from .queries import CONTEXT_CHARS, CONTEXT_FIXED, REVIEW_BUDGET, REVIEW_UNITS
+from .queries import NOW, REVIEW_BUDGET, REVIEW_UNITS
 
 WS = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_URL = r"[^\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}<>()]"
@@ -111,8 +110,8 @@ SQL = {
     "length_ratio": f"SELECT pair_id, length({strip('target')}) / greatest(1, length({strip('source')})) AS ratio FROM {PAIRS} WHERE target IS NOT NULL",
     "token_estimate": f"SELECT {KEYS}, {tokens('text')} AS tokens FROM {UNITS}",
     "direction": "SELECT DISTINCT id, CASE WHEN target_language IN ('fa', 'ar') THEN 'rtl' WHEN target_language = 'en' THEN 'ltr' END AS direction FROM jobs",
-    "alpha_id": f"""SELECT ord, concat(CASE WHEN c >= 0 THEN chr(65 + c % 26) ELSE '' END, CASE WHEN b >= 0 THEN chr(65 + b % 26) ELSE '' END, chr(65 + ord % 26)) AS name
-        FROM (SELECT ord, b, b // 26 - 1 + CASE WHEN b < 0 THEN -1 ELSE 0 END AS c FROM (SELECT DISTINCT ord, ord // 26 - 1 AS b FROM {UNITS}))""",
+    "alpha_id": f"""WITH RECURSIVE a AS (SELECT DISTINCT ord, ord + 1 AS left_over, '' AS name FROM {UNITS}
+        UNION ALL SELECT ord, (left_over - 1) // 26, concat(chr(65 + (left_over - 1) % 26), name) FROM a WHERE left_over > 0) SELECT ord, name FROM a WHERE left_over = 0""",
     "quality_flags": f"WITH {_P} SELECT pair_id, array_to_string({flags('s', 't', 'language')}, ',') AS flags FROM p",
     "locked_terms": f"WITH {TERMS} SELECT position, v.s AS source, v.t AS target FROM terms",
     "glossary_flags": f"WITH {TERMS}, {_P} {named('p', 'pair_id')}",
@@ -128,8 +127,25 @@ SQL = {
     "representative_sample": f"""SELECT doc_id, left(string_agg(text, concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY ord), 14000) AS sample FROM (
         SELECT doc_id, ord, text, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS pos, count(*) OVER (PARTITION BY doc_id) AS n FROM {UNITS} WHERE {nonblank('text')})
         WHERE pos < 4 OR pos >= n - 4 OR (n > 8 AND pos IN (n // 2, n // 2 - 1)) GROUP BY doc_id""",
-    "context_window": f"""SELECT doc_id, unit_id, CAST(chars AS BIGINT) AS chars FROM (SELECT doc_id, unit_id, sum(length(text) + length(array_to_string(f.segments, '')) + {CONTEXT_FIXED}) OVER (PARTITION BY doc_id ORDER BY ord DESC) AS chars
-        FROM {UNITS} u JOIN {stage('finals')} f USING (doc_id, unit_id)) WHERE chars <= {CONTEXT_CHARS}""",
+    "context_window": f"""SELECT doc_id, unit_id, tokens FROM (SELECT doc_id, unit_id, CAST(greatest(1, floor((sum(30 + length(to_json(text)) - 2 + length(to_json(target)) - 2) OVER (PARTITION BY doc_id ORDER BY ord DESC)) / 2.6::DOUBLE) + 8) AS INT) AS tokens
+        FROM (SELECT u.doc_id, u.unit_id, u.ord, u.text, array_to_string(f.segments, '') AS target FROM {UNITS} u JOIN {stage('finals')} f USING (doc_id, unit_id))) WHERE tokens <= 3000""",
+    "semantic_split": rf"""WITH RECURSIVE p AS (SELECT doc_id, unit_id, -1 AS piece_no, '' AS piece, text AS rest FROM {UNITS} WHERE text <> ''
+        UNION ALL SELECT doc_id, unit_id, piece_no + 1, left(rest, n), substr(rest, n + 1) FROM (SELECT *, CASE WHEN length(rest) <= 200 THEN length(rest) ELSE coalesce(nullif(greatest(
+            length(regexp_extract(left(rest, 201), '\A([\s\S]*{WS})[^\t-\r\x1c-\x1f \x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]', 1)),
+            length(regexp_extract(left(rest, 201), '\A([\s\S]*\n{WS}*\n)[^\n]', 1))), 0), 200) END AS n FROM p WHERE rest <> ''))
+        SELECT doc_id, unit_id, piece_no, piece FROM p WHERE piece_no >= 0""",
+    "distribute_text": f"""WITH RECURSIVE t AS (SELECT u.doc_id, u.unit_id, array_to_string(d.segments, '') AS text, list_transform(u.segments, lambda x: greatest(1, CASE WHEN {strip('x')} = '' THEN length(x) ELSE length({strip('x')}) END)) AS w
+            FROM {UNITS} u JOIN {stage('drafts')} d USING (doc_id, unit_id) WHERE len(u.segments) > 0),
+        s AS (SELECT *, list_filter(range(0, length(text)), lambda i: text[i + 1] = ' ') AS spaces FROM t),
+        c AS (SELECT doc_id, unit_id, text, w, spaces, 0 AS k, 0::BIGINT AS a, 0::BIGINT AS z FROM s
+            UNION ALL SELECT doc_id, unit_id, text, w, spaces, k + 1, z, CASE WHEN k + 1 = len(w) THEN length(text) WHEN goal <= 0 OR goal >= length(text) THEN goal
+                ELSE coalesce(list_min(list_transform(list_filter([list_max(list_filter(spaces, lambda p: p >= z AND p <= goal)), list_min(list_filter(spaces, lambda p: p >= goal))], lambda p: p > z AND p < length(text)), lambda p: abs(p - goal) * 1000000 + p)) % 1000000, goal) END
+            FROM (SELECT *, least(length(text), greatest(z, CAST(round_even(length(text)::DOUBLE * list_sum(w[1:k + 1]) / list_sum(w), 0) AS BIGINT))) AS goal FROM c WHERE k < len(w)))
+        SELECT doc_id, unit_id, CAST(k - 1 AS INT) AS k, text[a + 1:z] AS segment FROM c WHERE k > 0""",
+    "document_analysis": rf"""SELECT doc_id, 'general' AS domain, left(sample, 80) AS summary, CAST(least(3, len(list_distinct(list_filter(regexp_extract_all(sample, '[^\t-\r\x1c-\x1f \x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+'), lambda x: length(x) > 9)))) AS INT) AS n_terms, CAST(NULL AS VARCHAR) AS error
+        FROM (@SAMPLE@)""",
+    "normalize_segments": f"""SELECT doc_id, unit_id, CASE WHEN len(u.segments) = len(d.segments) THEN array_to_string(d.segments, '') WHEN len(u.protected) > 0 OR {strip("array_to_string(d.segments, '')")} = '' THEN NULL ELSE {strip("array_to_string(d.segments, '')")} END AS text,
+        CASE WHEN len(u.segments) = len(d.segments) THEN NULL WHEN len(u.protected) > 0 THEN 'integrity' WHEN {strip("array_to_string(d.segments, '')")} = '' THEN 'empty' END AS error FROM {UNITS} u JOIN {stage('drafts')} d USING (doc_id, unit_id)""",
     "reassemble_units": f"SELECT doc_id, unit_id, CAST(to_json(segments) AS VARCHAR) AS segments FROM {UNITS} WHERE len(segments) > 0",
     "protect_roundtrip": "SELECT doc_id, text FROM documents WHERE text IS NOT NULL",
     "memory_keys": f"SELECT {KEYS}, sha256(concat('7:upper-1', '0:', '2:en', '2:fa', length(text), ':', text)) AS cache_key FROM {UNITS} WHERE {nonblank('text')}",
@@ -144,10 +160,33 @@ SQL = {
         i AS ({issues('p', KEYS)}) SELECT {KEYS}, CASE WHEN i.flags IS NULL THEN 'copy' ELSE 'review' END AS route FROM p LEFT JOIN i USING ({KEYS})""",
     "polish_select": f"""WITH {TERMS}, p AS (SELECT u.doc_id, u.unit_id, u.text AS s, coalesce(array_to_string(d.segments, ''), '') AS t, 'fa' AS language FROM {UNITS} u LEFT JOIN {stage('finals')} d USING (doc_id, unit_id) WHERE {nonblank('u.text')}),
         i AS ({issues('p', KEYS)}) SELECT {KEYS} FROM i UNION SELECT {KEYS} FROM {UNITS} WHERE {nonblank('text')} AND ord % 7 = 0""",
-    "coverage_check": f"""SELECT {KEYS}, contains(have, left(want, 32)) AND contains(have, right(want, 32)) AS covered FROM (
-        SELECT doc_id, unit_id, {casefold(ALNUM.replace('text', "array_to_string(d.segments, '')"))} AS want, {casefold(ALNUM.replace('text', "array_to_string(f.segments, '')"))} AS have
-        FROM {stage('drafts')} d JOIN {stage('finals')} f USING (doc_id, unit_id)) WHERE length(want) >= 4""",
-    "tone_lookup": "SELECT doc_id, CASE tone " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in TONES.items()) + " ELSE tone END AS guidance FROM documents WHERE tone IS NOT NULL",
+    "coverage_check": f"""WITH b AS (SELECT doc_id, unit_id, coalesce(language IN ('fa', 'ar'), false) AS rtl,
+        {casefold(ALNUM.replace('text', "array_to_string(d.segments, '')"))} AS want, {casefold(ALNUM.replace('text', "array_to_string(f.segments, '')"))} AS have
+        FROM {stage('drafts')} d JOIN {stage('finals')} f USING (doc_id, unit_id) LEFT JOIN (SELECT doc_id, min(target_language) AS language FROM {JOBS} WHERE doc_id IS NOT NULL GROUP BY 1) USING (doc_id))
+        SELECT doc_id, unit_id, contains(have, left(want, 32)) AND contains(have, right(want, 32)) AS covered FROM b WHERE NOT rtl AND length(want) >= 4
+        UNION ALL SELECT doc_id, NULL, sum(length(have)) >= sum(length(want)) * 0.55::DOUBLE FROM b WHERE rtl GROUP BY doc_id HAVING sum(length(want)) >= 4""",
+    "tone_lookup": """SELECT doc_id, CASE tone
+        WHEN 'auto' THEN 'Infer and preserve the document''s appropriate register.'
+        WHEN 'formal' THEN 'Use polished, formal, publication-ready prose.'
+        WHEN 'legal' THEN 'Use precise legal language; preserve ambiguity only when it exists in the source.'
+        WHEN 'business' THEN 'Use clear, concise, professional business language.'
+        WHEN 'academic' THEN 'Use disciplined academic language and stable technical terminology.'
+        WHEN 'literary' THEN 'Preserve imagery, rhythm, voice, and emotional effect without adding ideas.'
+        WHEN 'conversational' THEN 'Use natural contemporary speech appropriate to the target language.'
+        WHEN 'screenplay' THEN 'Write speakable dialogue; preserve character voice, rhythm, subtext, and scene directions.'
+        ELSE tone END AS guidance FROM documents WHERE tone IS NOT NULL""",
+    "protect_text": rf"""WITH {TERMS}, m AS (SELECT string_agg(regexp_replace(v.s, '([^\p{{L}}\p{{N}} ])', '\\\1', 'g'), '|' ORDER BY length(v.s) DESC, position) AS words, map_from_entries(list(({casefold('v.s')}, v.t))) AS t FROM terms),
+        p AS (SELECT {KEYS}, text, t, regexp_extract_all(text, concat('(?is)https?://{NOT_URL}+|[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_.-]+\.[A-Za-z]{{2,}}|', words, '|.')) AS ps FROM {UNITS}, m WHERE text IS NOT NULL)
+        SELECT {KEYS}, list_bool_or(list_transform(ps, lambda x: length(x) > 1)) IS TRUE OR len({numbers('text')}) > 0 AS held, array_to_string(list_transform(ps, lambda x: coalesce(t[{casefold('x')}], x)), '') AS text FROM p""",
+    "truncate_budget": f"SELECT {KEYS}, left(text, (SELECT CAST(max(n) AS BIGINT) FROM range(0, 1000) r(n) WHERE floor(n / 2.6::DOUBLE) + 8 <= 60)) AS text FROM {UNITS} WHERE text IS NOT NULL",
+    "locked_terms_merged": f"""WITH glossary AS (SELECT * FROM main.glossary UNION ALL SELECT prio + 100000, target, upper(source), locked FROM main.glossary WHERE prio % 4 = 0 UNION ALL SELECT prio + 200000, upper(source), target, locked FROM main.glossary WHERE prio % 3 = 0),
+        {TERMS} SELECT position, v.s AS source, v.t AS target FROM terms""",
+    "repair_loop": f"""WITH {TERMS}, p AS (SELECT u.doc_id, u.unit_id, u.text AS s, coalesce(f.segments, u.segments) AS seg, array_to_string(coalesce(f.segments, u.segments), '') AS t, 'fa' AS language FROM {UNITS} u LEFT JOIN {stage('finals')} f USING (doc_id, unit_id) WHERE {nonblank('u.text')}),
+        i AS ({issues('p', KEYS)}), blocked AS (SELECT {KEYS} FROM i WHERE len({_BLOCKING}) > 0),
+        q AS (SELECT {KEYS}, s, CASE WHEN b.unit_id IS NULL THEN t ELSE array_to_string(list_transform(seg, lambda x: {strip('x')}), '') END AS t, language FROM p LEFT JOIN blocked b USING ({KEYS})),
+        j AS ({issues('q', KEYS)}) SELECT {KEYS}, array_to_string(flags, ',') AS flags FROM j""",
+    "resumed_drafts": f"SELECT {KEYS}, array_to_string(CASE WHEN {nonblank('u.text')} THEN d.segments ELSE u.segments END, '') AS text FROM {stage('drafts')} d JOIN {UNITS} u USING (doc_id, unit_id) WHERE ord % 3 = 0",
+    "review_batches": f"""SELECT {KEYS}, array_to_string(list_transform(d.segments, lambda x: {strip('x')}), '|') AS text, false AS polish, CAST(NULL AS VARCHAR) AS error FROM {UNITS} u JOIN {stage('drafts')} d USING (doc_id, unit_id) WHERE {nonblank('u.text')}""",
     "input_budget": f"SELECT id, CASE WHEN b >= 64 THEN b END AS budget FROM (SELECT id, CAST(least(8192 - coalesce(length(source_text), 0) - 1400 - 200, 1120) AS INT) AS b FROM {JOBS})",
     "extract_json": f"""SELECT id, concat('{{"status":', to_json(status), ',"stage":', to_json(stage), '}}') AS json FROM {EVENTS}""",
     "event_change_log": f"""SELECT id, job_id, status, stage, progress, message FROM (SELECT *, row_number() OVER w AS r, lag(status) OVER w AS s, lag(stage) OVER w AS g, lag(progress) OVER w AS p, lag(message) OVER w AS m
@@ -156,7 +195,19 @@ SQL = {
     "job_history": f"SELECT job_id, id, CAST(place AS INT) AS place, status, message FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY id DESC) AS place FROM {EVENTS}) WHERE place <= 30",
     "recent_jobs": f"SELECT id, status, created_at FROM {JOBS} ORDER BY created_at DESC, id LIMIT 30",
     "active_count": f"SELECT count(*) AS active FROM {JOBS} WHERE status IN ('queued', 'running', 'pausing')",
-    "job_public": f"SELECT id, status, stage, progress, message, error, input_type, original_name, source_language, target_language, tone, output_name, created_at, updated_at FROM {JOBS}",
+    "job_public": f"""SELECT id, status, stage, progress, message, error, input_type, original_name, source_language, target_language, tone, output_name, created_at, updated_at,
+        heartbeat_at, paused_from_stage, profile_name, model_key, model_state, backend FROM {JOBS}""",
+    "job_health": f"""SELECT id, round_even(h, 1) AS heartbeat_age_seconds, round_even(p, 1) AS progress_age_seconds, s AS health_state, s IN ('worker_unresponsive', 'long_running') AS is_stalled FROM (
+        SELECT id, h, p, CASE WHEN status IN ('running', 'pausing') THEN CASE WHEN h > 10 THEN 'worker_unresponsive' WHEN p > 120 THEN 'long_running' ELSE 'working' END WHEN coalesce(status, '') = '' THEN 'unknown' ELSE status END AS s
+        FROM (SELECT id, status, greatest(0::DOUBLE, {NOW}::DOUBLE - CASE WHEN coalesce(heartbeat_at, 0) = 0 THEN coalesce(updated_at, 0) ELSE heartbeat_at END) AS h, greatest(0::DOUBLE, {NOW}::DOUBLE - coalesce(updated_at, 0)) AS p FROM {JOBS}))""",
+    "job_update": f"""SELECT j.id, coalesce(e.stage, j.stage) AS stage, coalesce(CAST(least(100, greatest(0, e.progress * 3 - 100)) AS INT), j.progress) AS progress, coalesce(e.message, j.message) AS message, coalesce(e.created_at, j.updated_at) AS updated_at, j.backend
+        FROM {JOBS} j LEFT JOIN (SELECT * FROM {EVENTS} QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY id DESC) = 1) e ON e.job_id = j.id""",
+    "job_delete": f"SELECT id, job_id FROM {EVENTS} e WHERE NOT EXISTS (SELECT 1 FROM {JOBS} j WHERE j.id = e.job_id AND j.status IN ('completed', 'failed', 'cancelled', 'paused'))",
+    "retention_sweep": f"SELECT id, status, updated_at FROM {JOBS} WHERE updated_at < {NOW}::DOUBLE - 60 * 86400 AND status IN ('completed', 'failed', 'cancelled')",
+    "progress_curve": f"""SELECT doc_id, batch_no, CAST(12 + (38 * (batch_no + 1)) // count(*) OVER (PARTITION BY doc_id) AS INT) AS progress
+        FROM (SELECT DISTINCT doc_id, CAST((r - 1) // 8 AS INT) AS batch_no FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS r FROM {UNITS} WHERE {nonblank('text')}))""",
     "job_event_counts": f"SELECT j.id AS job_id, j.status, e.n_events FROM {JOBS} j JOIN (SELECT job_id, count(*) AS n_events FROM {EVENTS} GROUP BY 1) e ON e.job_id = j.id",
     "schema_evolve": f"SELECT id, status, updated_at, 0 AS pause_requested, 'not_loaded' AS model_state FROM {JOBS}",
 }
+
+SQL["document_analysis"] = SQL["document_analysis"].replace("@SAMPLE@", SQL["representative_sample"])
