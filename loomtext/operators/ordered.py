@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..shared import ship
+from ..shared import durable, ship
 
 CHUNK = 10_000
+#: Chunks whose transitions are composed at a time, so that no row lists all chunks of a group.
+FAN = 1_000
 
 
 def with_position(df: DataFrame, group: str, order: str, name: str = "pos", count: str | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -42,14 +44,15 @@ def _run(costs: list[int], starts: list[int], budget: int, most: int, tokens: in
     return tokens, n, starts
 
 
-def greedy_batches(df: DataFrame, group: str, order: str, cost: str, budget: int, most: int, chunk: int = CHUNK) -> DataFrame:
+def greedy_batches(df: DataFrame, group: str, order: str, cost: str, budget: int, most: int, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """(group, order, batch_no): consecutive rows of a group in batches, closed when the next row would exceed ``budget`` or
     the batch has ``most`` rows; a row above the budget is a batch of its own; costs below 1, and null ones, count as 1.
 
     Ties of the order column are not allowed within a group.  An empty table: no rows.
 
     Every chunk is run once for each state in which it can be entered: with a fresh batch, or with a batch begun 1 to
-    ``most`` rows before it.  The chain of chunks then picks the true state of each, and the chunk's rows are numbered.
+    ``most`` rows before it.  Blocks of ``fan`` chunks are composed to one transition each; the chain of a group's blocks,
+    then that of each block's chunks, picks the true state of each chunk, and the chunk's rows are numbered.
     """
     if budget < 1 or most < 1:
         raise ValueError("budget and most must be positive")
@@ -78,22 +81,45 @@ def greedy_batches(df: DataFrame, group: str, order: str, cost: str, budget: int
             yield pd.DataFrame(out, columns=["g", "k", "moves"])
 
     moved = packed.join(before, ["g", "k"]).mapInPandas(states, f"g {gk}, k long, moves array<struct<held:int,open:int,starts:int>>")
-    # one state for each chunk: fold over the chunks of a group (a row of a few numbers each)
-    listed = moved.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("k", "moves"))).alias("m"))
+    # each block of chunks becomes one transition; the blocks of a group are chained, then the chunks of each block
+    steps = durable(moved.withColumn("j", F.floor(F.col("k") / fan)))
+    in_block = steps.groupBy("g", "j").agg(F.array_sort(F.collect_list(F.struct("k", "moves"))).alias("m"))
 
-    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for g, m in zip(b["g"], b["m"]):
-                held = begun = 0
-                for x in m:
-                    out.append((g, x["k"], held, begun))
-                    step = next(s for s in x["moves"] if s["held"] == held)
-                    begun += step["starts"]
-                    held = step["open"]
-            yield pd.DataFrame(out, columns=["g", "k", "held", "begun"])
-
-    entered = listed.mapInPandas(chain, f"g {gk}, k long, held int, begun long")
+            for g, j, m in zip(b["g"], b["j"], b["m"]):
+                tables = [{s["held"]: s for s in x["moves"]} for x in m]
+                moves = []
+                for entry in tables[0]:
+                    held, begun = entry, 0
+                    for t in tables:
+                        begun += t[held]["starts"]
+                        held = t[held]["open"]
+                    moves.append((entry, held, begun))
+                out.append((g, j, moves))
+            yield pd.DataFrame(out, columns=["g", "j", "moves"])
+
+    def chain(rows: DataFrame, name: str) -> DataFrame:
+        """(g, ``name``, held, begun): the state in which each row of ``rows`` (g, held, begun, m) is entered, m in order."""
+
+        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = []
+                for g, held, begun, m in zip(b["g"], b["held"], b["begun"], b["m"]):
+                    for x in m:
+                        out.append((g, x["k"], held, begun))
+                        step = next(s for s in x["moves"] if s["held"] == held)
+                        begun += step["starts"]
+                        held = step["open"]
+                yield pd.DataFrame(out, columns=["g", name, "held", "begun"])
+
+        return rows.select("g", "held", "begun", "m").mapInPandas(walk, f"g {gk}, {name} long, held int, begun long")
+
+    blocks = in_block.mapInPandas(compose, f"g {gk}, j long, moves array<struct<held:int,open:int,starts:int>>")
+    whole = blocks.groupBy("g").agg(F.array_sort(F.collect_list(F.struct(F.col("j").alias("k"), "moves"))).alias("m"))
+    entered_blocks = chain(whole.withColumns({"held": F.lit(0), "begun": F.lit(0).cast("long")}), "j")
+    entered = chain(in_block.join(entered_blocks, ["g", "j"]), "k")
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

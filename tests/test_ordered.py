@@ -31,7 +31,7 @@ def test_greedy_batches(spark, chunk):
         rows += [(g, o, c) for o, c in zip(orders, costs)]
         want |= {(g, o): b for o, b in zip(orders, greedy(costs, 10, 4))}
     random.shuffle(rows)
-    got = greedy_batches(spark.createDataFrame(rows, "g int, o int, c int"), "g", "o", "c", 10, 4, chunk)
+    got = greedy_batches(spark.createDataFrame(rows, "g int, o int, c int"), "g", "o", "c", 10, 4, chunk, fan=3)
     assert {(r["g"], r["o"]): r["batch_no"] for r in got.collect()} == want
 
 

@@ -20,9 +20,25 @@ TEXTS = [
 
 
 def python_numbers(t):
-    d = "0-9٠-٩۰-۹"
-    found = re.findall(rf"(?<!\w)[+\-−]?(?:[{d}][{d},٬.٫/⁄:：\-]*[{d}]|[{d}])(?!\w)", t)
-    return [x.translate(str.maketrans(P.LOCAL_SIGNS, P.PLAIN_SIGNS)) for x in found]
+    """By the definition: from left to right the longest run, with a sign where there is one, from a digit to a digit over
+    signs that may stand within a number, with no word character on either side."""
+    word = lambda i: 0 <= i < len(t) and re.match(r"\w", t[i]) is not None
+    digit, inner = "0123456789٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", ",٬.٫/⁄:：-"
+    out, at = [], 0
+    while at < len(t):
+        first = at + (t[at] in "+-−")
+        end = 0
+        if not word(at - 1) and first < len(t) and t[first] in digit:
+            ends = [first + 1]
+            for j in range(first + 1, len(t)):
+                if t[j] in digit:
+                    ends.append(j + 1)
+                elif t[j] not in inner:
+                    break
+            end = next((z for z in reversed(ends) if not word(z)), 0)
+        out += [t[at:end]] if end else []
+        at = end or at + 1
+    return [x.translate(str.maketrans(P.LOCAL_SIGNS, P.PLAIN_SIGNS)) for x in out]
 
 
 def test_functions_follow_python(spark):
