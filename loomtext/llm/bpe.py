@@ -15,12 +15,15 @@ from pathlib import Path
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import returned, sent, sent_type, ship, spread
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: The largest tokenizer file that is sent along.
+VOCABULARY_BYTES = 64 << 20
 #: Fixed value: how texts are cut into pieces before merging.
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
@@ -39,8 +42,9 @@ def byte_letters() -> list[str]:
 class ByteBpe:
     """Encoder and decoder; the memo of pieces is bounded and changes nothing but speed."""
 
-    def __init__(self, path: str = DEFAULT_VOCABULARY, memo: int = 200_000) -> None:
-        model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+    def __init__(self, file: str | bytes = DEFAULT_VOCABULARY, memo: int = 200_000) -> None:
+        """``file``: the tokenizer's file, by path or as it is."""
+        model = json.loads(Path(file).read_bytes() if isinstance(file, str) else file)["model"]
         self.letters = byte_letters()
         to_byte = {c: i for i, c in enumerate(self.letters)}
         self.vocabulary: dict[str, int] = model["vocab"]
@@ -104,9 +108,17 @@ class ByteBpe:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> ByteBpe:
+def tokenizer(file: str | bytes) -> ByteBpe:
     """One for each Python worker."""
-    return ByteBpe(path)
+    return ByteBpe(file)
+
+
+def sent_vocabulary(spark: SparkSession, path: str) -> Broadcast:
+    """The tokenizer's file, read by the driver and sent along, so that workers need no copy; its size is checked."""
+    size = Path(path).stat().st_size
+    if size > VOCABULARY_BYTES:
+        raise ValueError(f"{path} has {size} bytes, more than {VOCABULARY_BYTES}")
+    return spark.sparkContext.broadcast(Path(path).read_bytes())
 
 
 def encode_column(df: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -116,9 +128,10 @@ def encode_column(df: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_
     no rows.  Other columns are not read, so their names cannot clash.
     """
     ship(df.sparkSession)
+    file = sent_vocabulary(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = tokenizer(vocabulary)
+        bpe = tokenizer(file.value)
         for b in batches:
             yield pd.DataFrame({"k": b["k"], "ids": [bpe.encode(t) for t in b["t"]]})
 
@@ -129,9 +142,10 @@ def encode_column(df: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_
 def decode_column(df: DataFrame, key: str, ids: str = "ids", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(key, text): the inverse of :func:`encode_column`; a null list gives null, an empty one ''."""
     ship(df.sparkSession)
+    file = sent_vocabulary(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = tokenizer(vocabulary)
+        bpe = tokenizer(file.value)
         for b in batches:
             yield pd.DataFrame({"k": b["k"], "text": [None if x is None else bpe.decode(x) for x in b["i"]]})
 

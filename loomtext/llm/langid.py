@@ -24,6 +24,8 @@ from .fold import Folder
 LANGUAGES = ("ar", "en", "fa")
 #: Bound of the training sample: labelled sentences, taken in the order of a hash of their text.
 SAMPLE_SENTENCES = 9_000
+#: Characters of a sentence that may be in the sample, at least and at most.
+SAMPLE_CHARS = (12, 2_000)
 BUCKETS = 1 << 17
 NGRAMS = (1, 2, 3, 4)
 #: A second language counts where a whole sentence of it is at least so certain.
@@ -191,11 +193,11 @@ def fit(labelled: DataFrame, label: str, text: str, sample: int = SAMPLE_SENTENC
             for lab, t in zip(b["l"], b["t"]):
                 lang = named_language(lab)
                 if lang in LANGUAGES:
-                    kept += [(xxhash.xxh3_64_intdigest(s) >> 1, s, lang) for x, y in segments(t) if 12 <= y - x <= 2000 for s in (t[x:y],)]
+                    kept += [(xxhash.xxh3_64_intdigest(s) >> 1, s, lang) for x, y in segments(t) if SAMPLE_CHARS[0] <= y - x <= SAMPLE_CHARS[1] for s in (t[x:y],)]
                 if len(kept) > 4 * sample:
                     kept = sorted(set(kept))[:sample]
         fold = Folder()
-        rows = [(h, lang, letters) for h, s, lang in sorted(set(kept))[:sample] if len(letters := letters_of(s, fold)) >= 12]
+        rows = [(h, lang, letters) for h, s, lang in sorted(set(kept))[:sample] if len(letters := letters_of(s, fold)) >= SAMPLE_CHARS[0]]
         yield pd.DataFrame(rows, columns=["h", "lang", "s"])
 
     found = spread(labelled.select(F.col(label).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null")).mapInPandas(run, "h long, lang string, s string")
