@@ -128,6 +128,11 @@ class Lexicon:
 _TITLE_SET = frozenset(w.rstrip("،") for words in TITLES.values() for w in words if not w.endswith("،"))
 
 
+@lru_cache(maxsize=1 << 16)
+def _is_arabic(c: str) -> bool:
+    return _ARABIC.match(c) is not None
+
+
 def _begins_sentence(text: str, at: int) -> bool:
     """A word here follows the end of a sentence, which the dot of an initial or a title is not."""
     z = at
@@ -266,8 +271,10 @@ class Proposer:
         lower = [norm_word(t) for t, _, _ in tokens]
         before, after = ["", *lower], [*lower[1:], ""]
         #: persons that a title or the list names somewhere in the text: proposed wherever they stand
-        persons = {(w, after[i]) for i, w in enumerate(lower) if _ARABIC.match(w) and w not in _TITLE_SET and len(after[i]) >= 4 and _ARABIC.match(after[i]) and after[i] not in common and (w in given or before[i] in _TITLE_SET)}
-        may = [i for i, t in enumerate(tokens) if t[0][0].isupper() or lower[i] in given or before[i] in _TITLE_SET or before[i] == "،" or (_ARABIC.match(t[0]) and _ARABIC.match(after[i]) and (after[i] in known or (lower[i], after[i]) in persons))]  # no name begins elsewhere
+        arabic = [_is_arabic(t[0][0]) for t in tokens]
+        led = [i for i, w in enumerate(lower) if arabic[i] and i + 1 < n and arabic[i + 1] and (w in given or before[i] in _TITLE_SET)]
+        persons = {(lower[i], after[i]) for i in led if lower[i] not in _TITLE_SET and len(after[i]) >= 4 and after[i] not in common}
+        may = [i for i, t in enumerate(tokens) if t[0][0].isupper() or lower[i] in given or before[i] in _TITLE_SET or before[i] == "،" or (arabic[i] and i + 1 < n and arabic[i + 1] and (after[i] in known or (lower[i], after[i]) in persons))]  # no name begins elsewhere
 
         def near(j: int) -> bool:
             """Token j follows the one before it closely: on this line or the next."""
@@ -318,8 +325,8 @@ class Proposer:
                 if kind:
                     out.append(self._name(text, tokens, lower, i, j, kind, fam, giv, given))
                     done = j + 1
-            elif _ARABIC.match(first):
-                if not near(i + 1) or not _ARABIC.match(tokens[i + 1][0]) or lower[i] in _TITLE_SET or lower[i + 1] in common or lower[i + 1] in given or len(lower[i + 1]) < 4:
+            elif arabic[i]:
+                if i + 1 >= n or not arabic[i + 1] or not near(i + 1) or lower[i] in _TITLE_SET or lower[i + 1] in common or lower[i + 1] in given or len(lower[i + 1]) < 4:
                     continue
                 title = i > 0 and near(i) and (lower[i - 1] in _TITLE_SET or (lower[i - 1] == "،" and i > 1 and lower[i - 2] == "ما"))
                 form = "titled" if title else "listed" if lower[i] in given else "repeated" if (lower[i], lower[i + 1]) in persons else "unlisted" if lower[i + 1] in known and lower[i] not in common and len(lower[i]) > 2 else ""
