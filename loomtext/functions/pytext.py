@@ -47,7 +47,8 @@ def urls(c: Column) -> Column:
 
 
 def emails(c: Column) -> Column:
-    return every(c, EMAIL)
+    """As EMAIL finds them; looked for only where a run of its letters begins or the match before ended, so in linear time."""
+    return every(c, EMAIL.replace("[", r"(?:(?<![\p{L}\p{N}_.+-])|\G)[", 1).replace("]+@", "]++@", 1))
 
 
 def latin_words(c: Column) -> Column:

@@ -22,8 +22,8 @@ def quality_flags(source: Column, target: Column, language: Column) -> Column:
     leak = F.size(P.latin_words(t)) >= F.greatest(F.lit(8), F.floor(F.size(P.latin_words(s)) * F.lit(0.65)).cast("int"))
     flags = F.array(
         F.when(F.array_sort(P.canonical_numbers(s)) != F.array_sort(P.canonical_numbers(t)), "numbers"),
-        F.when(P.urls(s) != P.urls(t), "urls"),
-        F.when(P.emails(s) != P.emails(t), "emails"),
+        F.when((s.contains("://") | t.contains("://")) & (P.urls(s) != P.urls(t)), "urls"),
+        F.when((s.contains("@") | t.contains("@")) & (P.emails(s) != P.emails(t)), "emails"),
         F.when(t.rlike(P.PLACEHOLDER), "placeholder"),
         F.when((n_s > 80) & ((ratio < 0.28) | (ratio > 3.8)), "length"),
         F.when(language.isin(*P.RTL) & (F.length(s) > 100) & leak, "source_leakage"),
@@ -46,9 +46,8 @@ def glossary_flags(pairs: DataFrame, keys: list[str], source: str, target: str,
     t = terms.where(F.length("source") >= 2).select("position", F.col("source").alias("_term"), F.col("target").alias("_wanted"), P.casefold(F.col("source")).alias("_find"), P.casefold(F.col("target")).alias("_need"))
     t = t.withColumn("_g", F.substring("_find", 1, GRAM))
     folded = pairs.select(*keys, P.casefold(F.coalesce(F.col(source), F.lit(""))).alias("_s"), P.casefold(F.coalesce(F.col(target), F.lit(""))).alias("_t"))
-    characters = F.regexp_extract_all("_s", F.lit("(?s)."), F.lit(0))
-    at_each = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_c") - 1), lambda i: F.transform(F.sequence(F.lit(2), F.lit(GRAM)), lambda n: F.array_join(F.slice("_c", i, n), ""))))
-    seen = folded.where(F.length("_s") >= 2).withColumn("_c", characters).withColumn("_g", F.explode(F.array_distinct(at_each))).drop("_c")
+    at_each = F.concat(*(F.regexp_extract_all("_s", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(2, GRAM + 1)))
+    seen = folded.where(F.length("_s") >= 2).withColumn("_g", F.explode(F.array_distinct(at_each)))
     found = seen.join(t, "_g").where(F.col("_s").contains(F.col("_find")) & ~F.col("_t").contains(F.col("_need")))
     flag = F.concat(F.lit("terminology:"), F.col("_term"), F.lit("→"), F.col("_wanted"))
     return found.select(*keys, "position", flag.alias("flag")).distinct()

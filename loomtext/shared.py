@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegralType
 
 _SHIPPED: set[str] = set()
+#: Nodes of a printed plan that may shuffle.
+_SHUFFLES = re.compile(r"^[\s:+-]*(?:Join|Aggregate|Window|Deduplicate|Distinct)\b", re.M)
 
 
 def ship(spark: SparkSession | None = None) -> None:
@@ -107,11 +110,15 @@ def returned(df: DataFrame, column: str, name: str) -> Column:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Rows on their way to Python, over all cores where they are read in fewer tasks, as from one small file; else as they
-    are.  Judged by the files alone (their bytes over those of a task, and their number): nothing is planned or run."""
+    """Rows on their way to Python or other costly functions, over all cores where they come in fewer tasks: from a few
+    small files, or from a small shuffle, whose partitions are merged; else as they are.  Judged by the plan and the bytes
+    of the files it reads: nothing is run."""
     spark = scan.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    optimized = scan._jdf.queryExecution().optimizedPlan()
-    if int(optimized.stats().sizeInBytes()) >= cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() or len(scan.inputFiles()) >= cores:
+    plan = scan._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    read = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    if read >= cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes():
         return scan
-    return scan.repartition(cores)
+    shuffled = _SHUFFLES.search(plan.toString()) is not None
+    return scan.repartition(cores) if shuffled or len(scan.inputFiles()) < cores else scan

@@ -175,3 +175,12 @@ def test_word_class_follows_python(spark):
     got = {r["c"] for r in df.where(F.col("t").rlike(P.W)).collect()}
     odd = {c for c in codes if (c in got) != bool(re.match(r"\w", chr(c)))}
     assert len(odd) <= 40  # all of them letters that the Java machine's older tables lack
+
+
+def test_emails_are_found_in_linear_time(spark):
+    texts = ["a@b.com.d@e.org", "x a.b@c.de,f@g.h i@j.kl.", "@a@b.cc", "a@b", "p@q.rs_t@u.vw", "--@--.ab"] + ["".join(random.Random(i).choice("ab.@_-+c ") for _ in range(25)) for i in range(400)] + ["a" * 200_000, ("a" * 50 + "@") * 2000]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", P.emails(F.col("t")).alias("e")).collect()
+    pattern = re.compile(r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}")
+    for r in got:
+        if len(texts[r["i"]]) < 1000:
+            assert r["e"] == pattern.findall(texts[r["i"]]), texts[r["i"]]
